@@ -119,8 +119,10 @@ def running_total(df: DataFrame, group_cols, order_cols, value_col: str, out_col
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_exprs = [c if not isinstance(c, str) else F.col(c) for c in order_cols]
-    rp = df.repartitionByRange(parts, *[F.col(g) for g in group_cols], *order_exprs) \
-        .withColumn("_pid", F.spark_partition_id())
+    # the partition id must be the same for both branches below (local sums and totals);
+    # range bounds come from sampling, so the partitioned frame is materialised once
+    rp = materialize(df.repartitionByRange(parts, *[F.col(g) for g in group_cols], *order_exprs)
+                     .withColumn("_pid", F.spark_partition_id()))
     local_w = (Window.partitionBy("_pid", *group_cols).orderBy(*order_exprs)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = rp.withColumn("_local", F.coalesce(F.sum(value_col).over(local_w), F.lit(0)))
@@ -144,3 +146,11 @@ def average_ranks(df: DataFrame, group_cols, value_col: str, weight_col: str | N
     distinct = df.groupBy(*group_cols, value_col).agg(F.sum(w).cast("long").alias("cnt"))
     ranked = running_total(distinct, group_cols, [value_col], "cnt", "before")
     return ranked.withColumn(out_col, F.col("before") + (F.col("cnt") + 1) / 2.0)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> tuple[DataFrame, bool]:
+    """Hint a broadcast only after checking the row count (one job on an already small or
+    aggregated frame); above the bound the frame is returned as is for a shuffle join,
+    where AQE's skew-join split covers hot keys."""
+    n = df.limit(max_rows + 1).count()
+    return (F.broadcast(df), True) if n <= max_rows else (df, False)

@@ -21,3 +21,10 @@ def base_analytics(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY)
 def base_clean(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFrame:
     """Training base: the full cleaning chain (dedupe → medians → modes → case)."""
     return C.clean(raw(spark, sf_dir, spec), spec)
+
+
+def feature_base(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFrame:
+    """Rows of the cleaned base that pass every range and domain rule (row-local filter,
+    no anti-join against the violation table) — the input of feature engineering."""
+    from ..operators.features import valid_rows
+    return base_clean(spark, sf_dir, spec).where(valid_rows(spec))

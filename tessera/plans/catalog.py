@@ -7,9 +7,6 @@ whole survey view derived from ``lineitem``. Doubles are rounded in the query
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
@@ -18,26 +15,9 @@ from ..operators import validate as V
 from ..spec import OBESITY
 from . import bases
 from . import oracle as O
+from .registry import register, sql_survey_select, survey_select
 
 S = OBESITY
-REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        REGISTRY[name] = (fn, sql)
-        return fn
-    return deco
-
-
-def survey_select(df: DataFrame) -> DataFrame:
-    return df.select(S.id_col, *[F.round(c, 6).alias(c) if c in S.numeric_ranges else F.col(c)
-                                 for c in S.columns])
-
-
-def sql_survey_select(src: str) -> str:
-    cols = ", ".join(f"round({c}, 6) AS {c}" if c in S.numeric_ranges else c for c in S.columns)
-    return f"SELECT id, {cols} FROM {src}"
 
 
 # --------------------------------------------------------------------------- sources

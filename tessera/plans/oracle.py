@@ -81,3 +81,99 @@ def with_clean(*ctes: str) -> str:
 
 def pct(part: str, whole: str, places: int) -> str:
     return (f"coalesce(round(CAST({part} AS DOUBLE) / CAST(NULLIF({whole}, 0) AS DOUBLE) * 100.0, {places}), 0.0)")
+
+
+# ----------------------------------------------------------------- feature oracles
+def valid_sql() -> str:
+    conds = [f"coalesce({c} BETWEEN {lo} AND {hi}, false)" for c, (lo, hi, _, _) in S.numeric_ranges.items()]
+    conds += [f"coalesce({c} IN {in_list(v)}, false)" for c, v in S.categorical_values.items()]
+    return " AND ".join(conds)
+
+
+FEAT_BASE = f"feat_base AS (SELECT * FROM base_clean WHERE {valid_sql()})"
+
+
+def ordinal_sql(c: str) -> str:
+    whens = " ".join(f"WHEN {c} = {q(k)} THEN {v}" for k, v in S.frequency_ordinal.items())
+    return f"CAST(CASE {whens} END AS DOUBLE)"
+
+
+def yes_sql(c: str, positive: str = "yes") -> str:
+    return f"CASE WHEN lower({c}) = {q(positive)} THEN 1 ELSE 0 END"
+
+
+def _enc_cols() -> list:
+    cols = ["Weight / (Height * Height) AS BMI", "Age", "Height", "Weight", "FCVC", "NCP", "CH2O", "FAF", "TUE",
+            f"(CAST({yes_sql('FAVC')} AS DOUBLE) * 2.0 + FCVC + NCP + {ordinal_sql('CAEC')}) / 12.0 AS eating_score",
+            f"(CASE WHEN (FAF - TUE - {ordinal_sql('CALC')} * 0.5 - CAST({yes_sql('SMOKE')} AS DOUBLE) * 2.0) IS NULL "
+            f"THEN NULL ELSE least(greatest(FAF - TUE - {ordinal_sql('CALC')} * 0.5 - CAST({yes_sql('SMOKE')} AS DOUBLE) * 2.0, "
+            f"-7.0), 3.0) END + 7.0) / 10.0 AS lifestyle_score",
+            "CASE WHEN lower(FAVC) = 'yes' AND FAF < 1.0 THEN 1 ELSE 0 END AS high_calorie_sedentary"]
+    cols += [f"{yes_sql(c, p)} AS {c}" for c, p in S.positive_values.items()]
+    cols += [f"CAST({ordinal_sql(c)} AS INTEGER) AS {c}" for c in S.ordinal_cols]
+    cols += [f"CASE WHEN {S.onehot_col} = {q(cat)} THEN 1 ELSE 0 END AS {S.onehot_col}_{cat}" for cat in S.onehot_categories]
+    return cols
+
+
+ENC = "enc AS (SELECT id, Obesity, " + ", ".join(_enc_cols()) + " FROM feat_base)"
+
+
+def _stats_cte() -> str:
+    parts = [f"avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}" for c in S.standard_cols]
+    parts += [f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in S.minmax_cols]
+    return "fstats AS (SELECT " + ", ".join(parts) + " FROM enc)"
+
+
+FSTATS = _stats_cte()
+
+
+def scaled_sql(c: str) -> str:
+    if c in S.standard_cols:
+        return f"(enc.{c} - fstats.mean_{c}) / (CASE WHEN coalesce(fstats.std_{c}, 0) = 0 THEN 1.0 ELSE fstats.std_{c} END)"
+    if c in S.minmax_cols:
+        rng = f"(fstats.max_{c} - fstats.min_{c})"
+        return f"(enc.{c} - fstats.min_{c}) / (CASE WHEN coalesce({rng}, 0) = 0 THEN 1.0 ELSE {rng} END)"
+    return f"CAST(enc.{c} AS DOUBLE)"
+
+
+FEATURES_SELECT = ("SELECT enc.id, " + ", ".join(f"round({scaled_sql(c)}, 6) AS {c}" for c in S.feature_names)
+                   + " FROM enc CROSS JOIN fstats")
+
+
+def spearman_sql(src: str, features, target: str, places: int = 4) -> str:
+    """ρ(feature, target) per feature over all rows of ``src`` via average ranks + corr."""
+    lng = " UNION ALL ".join(f"SELECT {q(f)} AS feature, CAST({f} AS DOUBLE) AS v, CAST({target} AS DOUBLE) AS y FROM {src}"
+                             for f in features)
+    return (f"sp_long AS ({lng}),\n"
+            "sp_rank AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY v) + "
+            "(count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rx, "
+            "rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry "
+            "FROM sp_long),\n"
+            "sp AS (SELECT feature, CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS rho, "
+            "count(*) AS n FROM sp_rank GROUP BY feature)")
+
+
+def analytics_encoding_sql(src: str = "base_analytics") -> str:
+    cols = [f"CAST({c} AS DOUBLE) AS {c}" for c in S.numeric_cols]
+    for c, m in S.binary_codes.items():
+        whens = " ".join(f"WHEN {c} = {q(k)} THEN {v}" for k, v in m.items())
+        cols.append(f"CAST(CASE {whens} END AS DOUBLE) AS {c}")
+    cols += [f"{ordinal_sql(c)} AS {c}" for c in S.ordinal_cols]
+    tw = " ".join(f"WHEN Obesity = {q(c)} THEN {i}" for i, c in enumerate(S.class_order))
+    cols.append(f"CAST(CASE {tw} END AS DOUBLE) AS Obesity_encoded")
+    names = [*S.numeric_cols, *S.binary_codes, *S.ordinal_cols, "Obesity_encoded"]
+    return (f"aenc0 AS (SELECT id, {', '.join(cols)} FROM {src}),\n"
+            f"aenc AS (SELECT * FROM aenc0 WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)})")
+
+
+def exploratory_encoding_sql(src: str = "base_clean") -> str:
+    from ..spec import MTRANS_ACTIVITY
+    cols = [f"CAST({c} AS DOUBLE) AS {c}" for c in S.numeric_cols]
+    cols.append("CAST(CASE WHEN Gender = 'Male' THEN 1 ELSE 0 END AS DOUBLE) AS Gender")
+    cols += [f"CAST({yes_sql(c)} AS DOUBLE) AS {c}" for c in ("family_history", "FAVC", "SMOKE", "SCC")]
+    cols += [f"{ordinal_sql(c)} AS {c}" for c in S.ordinal_cols]
+    mw = " ".join(f"WHEN MTRANS = {q(k)} THEN {v}" for k, v in MTRANS_ACTIVITY.items())
+    cols.append(f"CAST(CASE {mw} END AS DOUBLE) AS MTRANS")
+    tw = " ".join(f"WHEN Obesity = {q(c)} THEN {i}" for i, c in enumerate(S.class_order))
+    cols.append(f"CAST(CASE {tw} END AS DOUBLE) AS Obesity_Ordinal")
+    return f"xenc AS (SELECT id, {', '.join(cols)} FROM {src})"
