@@ -106,16 +106,19 @@ def exact_quantiles_wide(df: DataFrame, value_cols, probs, by=(), names=None) ->
     return q.groupBy(*by, "column").agg(*aggs)
 
 
-def running_total(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str,
+def running_total(df: DataFrame, group_cols, order_cols, value_col, out_col,
                   partitions: int | None = None) -> DataFrame:
     """Adds ``out_col`` = sum of ``value_col`` over the rows of the same group that come
     strictly before this row in ``order_cols`` (which must be a total order per group).
+    ``value_col``/``out_col`` may be lists to carry several sums through one pass.
 
     Plan: range-partition on (group, order) → each task sums its own slice (bounded by the
     range partition size); per-(partition, group) totals (≤ partitions + groups rows) give the
     offsets through a window on that small table; offsets are joined back.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
+    values = [value_col] if isinstance(value_col, str) else list(value_col)
+    outs = [out_col] if isinstance(out_col, str) else list(out_col)
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_exprs = [c if not isinstance(c, str) else F.col(c) for c in order_cols]
@@ -125,13 +128,14 @@ def running_total(df: DataFrame, group_cols, order_cols, value_col: str, out_col
                      .withColumn("_pid", F.spark_partition_id()))
     local_w = (Window.partitionBy("_pid", *group_cols).orderBy(*order_exprs)
                .rowsBetween(Window.unboundedPreceding, -1))
-    local = rp.withColumn("_local", F.coalesce(F.sum(value_col).over(local_w), F.lit(0)))
-    totals = rp.groupBy("_pid", *group_cols).agg(F.sum(value_col).alias("_t"))
+    local = rp.withColumns({f"_local{i}": F.coalesce(F.sum(v).over(local_w), F.lit(0)) for i, v in enumerate(values)})
+    totals = rp.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
     off_w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *group_cols, F.coalesce(F.sum("_t").over(off_w), F.lit(0)).alias("_off"))
-    return (local.join(offsets, ["_pid", *group_cols])
-            .withColumn(out_col, F.col("_local") + F.col("_off"))
-            .drop("_pid", "_local", "_off"))
+    offsets = totals.select("_pid", *group_cols, *[F.coalesce(F.sum(f"_t{i}").over(off_w), F.lit(0)).alias(f"_off{i}")
+                                                  for i in range(len(values))])
+    out = local.join(offsets, ["_pid", *group_cols])
+    out = out.withColumns({o: F.col(f"_local{i}") + F.col(f"_off{i}") for i, o in enumerate(outs)})
+    return out.drop("_pid", *[f"_local{i}" for i in range(len(values))], *[f"_off{i}" for i in range(len(values))])
 
 
 def average_ranks(df: DataFrame, group_cols, value_col: str, weight_col: str | None = None,
