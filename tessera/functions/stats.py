@@ -122,8 +122,10 @@ def running_total(df: DataFrame, group_cols, order_cols, value_col, out_col,
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_exprs = [c if not isinstance(c, str) else F.col(c) for c in order_cols]
-    # the partition id must be the same for both branches below (local sums and totals);
-    # range bounds come from sampling, so the partitioned frame is materialised once
+    # range bounds come from a sampling job over the input: materialise the input first so the
+    # sample and the shuffle read it once; the partition id must be the same for both branches
+    # below (local sums and totals), so the partitioned frame is materialised too
+    df = materialize(df)
     rp = materialize(df.repartitionByRange(parts, *[F.col(g) for g in group_cols], *order_exprs)
                      .withColumn("_pid", F.spark_partition_id()))
     local_w = (Window.partitionBy("_pid", *group_cols).orderBy(*order_exprs)

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import feature_text_dim
-from ..functions.stats import average_ranks, broadcast_if_small
+from ..functions.stats import average_ranks, broadcast_if_small, running_total
+from ..session import materialize
 
 
 def _rho(cov, vx, vy):
@@ -29,6 +30,7 @@ def spearman_vs_target(df: DataFrame, features, target: str, places: int = 4) ->
     NULL rows first: listwise, as the reference). Returns ``feature, correlation,
     abs_correlation, n``."""
     features = list(features)
+    df = materialize(df.select(*features, target))  # read by the target ranking and the main pass
     yr = average_ranks(df, [], target).select(F.col(target), F.col("rank").alias("_ry"), "cnt").cache()
     yr_stats = yr.agg(F.sum(F.col("cnt") * F.col("_ry") * F.col("_ry")).alias("_syy"))
     # the target has few levels, each possibly holding a third of the rows: a shuffle join on it
@@ -39,8 +41,9 @@ def spearman_vs_target(df: DataFrame, features, target: str, places: int = 4) ->
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")) \
         .select("x.feature", "x.v", "_ry")
     per_value = long.groupBy("feature", "v").agg(F.count("*").alias("cnt"), F.sum("_ry").alias("_sry"))
-    ranked = average_ranks(per_value, ["feature"], "v", weight_col="cnt").select("feature", "v", F.col("rank").alias("_rx"))
-    joined = per_value.join(ranked, ["feature", "v"])
+    # per_value is already one row per (feature, value): prefix sums directly give the ranks
+    joined = running_total(per_value, ["feature"], ["v"], "cnt", "_before") \
+        .withColumn("_rx", F.col("_before") + (F.col("cnt") + 1) / 2.0)
     agg = joined.groupBy("feature").agg(
         F.sum("cnt").alias("n"), F.sum(F.col("_rx") * F.col("_sry")).alias("_sxy"),
         F.sum(F.col("cnt") * F.col("_rx") * F.col("_rx")).alias("_sxx"))
@@ -84,6 +87,7 @@ def spearman_matrix(df: DataFrame, cols, id_col: str = "id", places: int = 4) ->
             .select(id_col, "x.col", "x.v")
         if key:  # rows where a member other than the key is NULL are not complete for that pair
             long = long.where(F.col("v").isNotNull())
+        long = materialize(long)  # read by the ranking and by the join back to rows
         ranks = average_ranks(long, ["col"], "v").select("col", "v", "rank").cache()
         # low-cardinality columns (binary/ordinal: hot values) join a checked broadcast;
         # high-cardinality ones a shuffle join on (col, value), whose keys are spread out

@@ -31,5 +31,5 @@ def sql_survey_select(src: str, spec=OBESITY) -> str:
 
 def all_queries() -> dict:
     # importing the catalog modules fills the registry
-    from . import catalog, catalog_eval, catalog_features, catalog_model, catalog_stream  # noqa: F401
+    from . import catalog, catalog_eval, catalog_features, catalog_model, catalog_more, catalog_stream  # noqa: F401
     return REGISTRY
