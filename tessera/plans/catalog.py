@@ -304,3 +304,17 @@ def a26_shape(spark, sf):
 @register("a26_head", O.with_clean() + "\n" + sql_survey_select("base_clean") + " ORDER BY id LIMIT 5")
 def a26_head(spark, sf):
     return A.head(survey_select(bases.base_clean(spark, sf)))
+
+
+@register("s1_csv_roundtrip", O.with_raw() + "\n" + sql_survey_select("survey_raw"))
+def s1_csv_roundtrip(spark, sf):
+    """The survey view written as header CSV in the shared folder and read back with the
+    CSV source (schema given, every pandas NA token → NULL, NaN → NULL)."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.survey import read_survey_csv
+    path = f"{shared_dir(spark)}/tessera/csv-{uuid.uuid4().hex[:8]}"
+    (bases.raw(spark, sf).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(path))
+    return survey_select(read_survey_csv(spark, path))

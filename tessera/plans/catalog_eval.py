@@ -253,3 +253,24 @@ def o6_prediction_display(spark, sf):
     e = Oe.enrich_prediction(scored(spark, sf))
     return e.select("id", "predicted", "label_pt", "icon", "color", "risk_level", "risk_label",
                     F.round("confidence", 6).alias("confidence"))
+
+
+@register("l5_prediction_sample", O.with_clean(*SCORED)
+          + "\nSELECT id, actual, predicted, round(confidence, 6) AS confidence, "
+          "CAST(CASE WHEN actual = predicted THEN 1 ELSE 0 END AS INTEGER) AS correct FROM sc ORDER BY id LIMIT 5")
+def l5_prediction_sample(spark, sf):
+    """L5 + T3 + M7: first rows (by id) with prediction, truth and confidence — a sample report."""
+    s = scored(spark, sf)
+    return (s.select("id", "actual", "predicted", F.round("confidence", 6).alias("confidence"),
+                     (F.col("actual") == F.col("predicted")).cast("int").alias("correct"))
+            .orderBy("id").limit(5))
+
+
+@register("p7_visible_classes", O.with_clean(*SCORED)
+          + "\nSELECT actual AS class_en, count(*) AS n FROM sc WHERE actual IN ('Obesity_Type_I', 'Obesity_Type_II', "
+          "'Obesity_Type_III') GROUP BY actual")
+def p7_visible_classes(spark, sf):
+    """A result table restricted to the classes visible in a view (here the severe ones)."""
+    from ..spec import SEVERE_CLASSES
+    return scored(spark, sf).where(F.col("actual").isin(SEVERE_CLASSES)).groupBy(
+        F.col("actual").alias("class_en")).agg(F.count("*").alias("n"))

@@ -86,7 +86,8 @@ def read_survey_csv(spark: SparkSession, path: str, spec: SurveySpec = OBESITY,
     """Header CSV → typed survey frame. Fields are read as text so every pandas NA token
     (not just one ``nullValue``) becomes NULL; numbers then go through ``try_cast``."""
     raw = (spark.read.schema(survey_schema(spec, with_id, as_text=True))
-           .option("header", True).option("mode", "PERMISSIVE").csv(path))
+           .option("header", True).option("mode", "PERMISSIVE")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     out = {}
     for f in raw.schema.fields:
         c = F.col(f.name)
