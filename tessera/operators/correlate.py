@@ -10,8 +10,11 @@ divide-by-zero error under ANSI).
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +62,8 @@ def spearman_matrix(df: DataFrame, cols, id_col: str = "id", places: int = 4) ->
 
     Columns without NULLs share one ranking over all rows; every pair involving a
     column with NULLs is ranked over that pair's complete rows. Per subset: ranks
-    per column from the distinct-value tables, joined back per row, then one aggregate
-    of all pair products.
+    per column from the distinct-value tables (distributed prefix sums), looked up per
+    row, then Pearson over the rank vectors (``ml.stat.Correlation``).
     """
     cols = list(cols)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
@@ -79,44 +82,33 @@ def spearman_matrix(df: DataFrame, cols, id_col: str = "id", places: int = 4) ->
     for key, (members, pairs) in subsets.items():
         if not pairs:
             continue
-        sub = df.select(id_col, *members)
+        sub = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in members])
         for k in key:
             sub = sub.where(F.col(k).isNotNull())
-        long = sub.select(id_col, F.explode(F.array(*[
-            F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in members])).alias("x")) \
-            .select(id_col, "x.col", "x.v")
-        if key:  # rows where a member other than the key is NULL are not complete for that pair
-            long = long.where(F.col("v").isNotNull())
-        long = materialize(long)  # read by the ranking and by the join back to rows
-        ranks = average_ranks(long, ["col"], "v").select("col", "v", "rank").cache()
-        # low-cardinality columns (binary/ordinal: hot values) join a checked broadcast;
-        # high-cardinality ones a shuffle join on (col, value), whose keys are spread out
+        sub = materialize(sub)  # read by the ranking and by the rank lookups
+        long = sub.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in members])).alias("x")) \
+            .select("x.col", "x.v").where(F.col("v").isNotNull())
+        ranks = materialize(average_ranks(long, ["col"], "v").select("col", "v", "rank"))
         card = {r["col"]: r["n"] for r in ranks.groupBy("col").agg(F.count("*").alias("n")).collect()}
-        low = [c for c in members if card.get(c, 0) <= 100_000]
-        parts = []
-        if low:
-            small, _ = broadcast_if_small(ranks.where(F.col("col").isin(low)))
-            parts.append(long.where(F.col("col").isin(low)).join(small, ["col", "v"]))
-        high = [c for c in members if c not in low]
-        if high:
-            parts.append(long.where(F.col("col").isin(high)).join(ranks.where(F.col("col").isin(high)), ["col", "v"]))
-        joined = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        per_row = joined.groupBy(id_col).pivot("col", members).agg(F.first("rank"))
-        aggs = [F.count("*").alias("_n")]
+        # rank lookup per column on the wide rows: low-cardinality columns (binary/ordinal, hot
+        # values) join a broadcast of their ≤100k-row rank table (size known from ``card``);
+        # high-cardinality columns use a shuffle join on the value, whose keys are spread out
+        per_row = sub
+        for c in members:
+            rc = ranks.where(F.col("col") == c).select(F.col("v").alias(c), F.col("rank").alias(f"_r_{c}"))
+            per_row = per_row.join(F.broadcast(rc) if card.get(c, 0) <= 100_000 else rc, c, "left")
+        per_row = per_row.select(*[F.col(f"_r_{c}").alias(c) for c in members])
+        # every member is non-NULL on the subset's rows, so Pearson of the rank columns over the
+        # subset is the pairwise Spearman ρ: one tree-aggregated Gramian (k×k, k = #columns)
+        vec = VectorAssembler(inputCols=members, outputCol="_ranks").transform(per_row).select("_ranks")
+        mat = Correlation.corr(vec, "_ranks", "pearson").first()[0].toArray()
+        idx = {c: i for i, c in enumerate(members)}
+        rows = []
         for a, b in pairs:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs += [F.sum(F.when(both, F.col(a) * F.col(b))).alias(f"sab|{a}|{b}"),
-                     F.sum(F.when(both, F.col(a) * F.col(a))).alias(f"saa|{a}|{b}"),
-                     F.sum(F.when(both, F.col(b) * F.col(b))).alias(f"sbb|{a}|{b}"),
-                     F.count_if(both).alias(f"n|{a}|{b}")]
-        wide = per_row.agg(*aggs)
-        items = []
-        for a, b in pairs:
-            n = F.col(f"`n|{a}|{b}`")
-            m2 = n * ((n + 1) / 2.0) * ((n + 1) / 2.0)
-            rho = _rho(F.col(f"`sab|{a}|{b}`") - m2, F.col(f"`saa|{a}|{b}`") - m2, F.col(f"`sbb|{a}|{b}`") - m2)
-            items.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rho.alias("rho")))
-        pieces.append(wide.select(F.explode(F.array(*items)).alias("x")).select("x.*"))
+            v = float(mat[idx[a], idx[b]])
+            rows.append((a, b, None if math.isnan(v) else v))
+        pieces.append(df.sparkSession.createDataFrame(rows, "a string, b string, rho double"))
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)

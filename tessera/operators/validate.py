@@ -66,10 +66,11 @@ def violations(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
     items = []
     for c, rule, ordinal, bad, msg in violation_checks(spec):
         message = F.concat(F.lit("Row "), F.col(spec.id_col).cast("string"), F.lit(": "), *msg)
-        items.append(F.struct(bad.alias("bad"), F.lit(c).alias("column"),
-                              F.col(c).cast("string").alias("value"), F.lit(rule).alias("rule"),
-                              F.lit(ordinal).alias("rule_ord"), message.alias("message")))
-    cells = F.filter(F.array(*items), lambda x: x["bad"])
+        # CASE WHEN builds the struct (and its message) only for a failing cell
+        items.append(F.when(bad, F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+                                          F.lit(rule).alias("rule"), F.lit(ordinal).alias("rule_ord"),
+                                          message.alias("message"))))
+    cells = F.filter(F.array(*items), lambda x: x.isNotNull())
     return (df.select(F.col(spec.id_col).alias("id"), F.explode(cells).alias("x"))
             .select("id", "x.column", "x.value", "x.rule", "x.rule_ord", "x.message"))
 
