@@ -99,7 +99,11 @@ def clean(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
     The deduplicated frame feeds two statistics jobs and the final plan, so it is
     materialised once (checkpoint in the shared folder on a cluster, cache locally).
     """
-    deduped = materialize(remove_duplicates(df, spec))
+    return clean_deduplicated(materialize(remove_duplicates(df, spec)), spec)
+
+
+def clean_deduplicated(deduped: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
+    """C2→C3→C4 on an already deduplicated (and materialised) frame."""
     medians = numeric_medians(deduped, spec)
     step = impute_numeric(deduped, spec, medians)
     modes = category_modes(step, spec)

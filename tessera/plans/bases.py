@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import clean as C
+from ..session import materialize
 from ..sources.survey import survey_raw
 from ..spec import OBESITY, SurveySpec
 
@@ -13,14 +14,34 @@ def raw(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFra
     return survey_raw(spark, sf_dir, spec)
 
 
+_SHARED: dict = {}
+
+
+def _key(spark: SparkSession, sf_dir: str, spec: SurveySpec, what: str):
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), id(spec), what)
+
+
+def deduplicated(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFrame:
+    """C1 over the raw view, materialised once per application and input (checkpoint in the
+    shared folder on a cluster): both bases and all their queries share it."""
+    key = _key(spark, sf_dir, spec, "dedup")
+    if key not in _SHARED:
+        _SHARED[key] = materialize(C.remove_duplicates(raw(spark, sf_dir, spec), spec))
+    return _SHARED[key]
+
+
 def base_analytics(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFrame:
     """Analytics base: dedupe (keep min id) → known-class filter; no imputation."""
-    return C.known_classes(C.remove_duplicates(raw(spark, sf_dir, spec), spec), spec)
+    return C.known_classes(deduplicated(spark, sf_dir, spec), spec)
 
 
 def base_clean(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFrame:
-    """Training base: the full cleaning chain (dedupe → medians → modes → case)."""
-    return C.clean(raw(spark, sf_dir, spec), spec)
+    """Training base: the full cleaning chain (dedupe → medians → modes → case). The medians and
+    modes are computed once per application and input; the result is a lazy projection."""
+    key = _key(spark, sf_dir, spec, "clean")
+    if key not in _SHARED:
+        _SHARED[key] = C.clean_deduplicated(deduplicated(spark, sf_dir, spec), spec)
+    return _SHARED[key]
 
 
 def feature_base(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFrame:
