@@ -7,7 +7,7 @@ no per-column scans, no unions, nothing collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ def _text(c: str, quoted: bool) -> Column:
     return F.concat(F.lit("'"), shown, F.lit("'")) if quoted else shown
 
 
-def violation_checks(spec: SurveySpec = OBESITY, row_prefix: bool = True):
+def violation_checks(spec: SurveySpec = OBESITY):
     """(column, rule, ordinal, is_bad, message) for every range and domain rule."""
     checks = []
     ordinal = 0

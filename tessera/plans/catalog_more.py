@@ -10,8 +10,6 @@ from ..operators import summary as A
 from ..spec import OBESITY, SEVERE_CLASSES
 from . import bases
 from . import oracle as O
-from .catalog import _describe_sql
-from .catalog_eval import sev_sql
 from .catalog_features import FEAT, fitted, unscaled
 from .registry import register, survey_select
 
