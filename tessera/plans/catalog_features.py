@@ -242,3 +242,21 @@ def k2_spearman_matrix(spark, sf):
     """K2: 17×17 Spearman matrix with pairwise NULL deletion (long format)."""
     x = E.exploratory_encoding(bases.base_clean(spark, sf))
     return K.spearman_matrix(x, _XENC_COLS, "id")
+
+
+_W1 = ["Age", "Weight", "FAF"]
+
+
+@register("w1_average_ranks", O.with_clean(
+    "wl AS (" + " UNION ALL ".join(f"SELECT {O.q(c)} AS \"column\", {c} AS value FROM base_clean WHERE {c} IS NOT NULL"
+                                   for c in _W1) + ")",
+    "wc AS (SELECT \"column\", value, count(*) AS cnt FROM wl GROUP BY \"column\", value)")
+    + "\nSELECT \"column\", round(value, 6) AS value, cnt, coalesce(sum(cnt) OVER (PARTITION BY \"column\" ORDER BY value "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (cnt + 1) / 2.0 AS rank FROM wc")
+def w1_average_ranks(spark, sf):
+    """Tie-averaged rank of every distinct value (distributed prefix sums over the
+    distinct-value table; no window spans a whole column)."""
+    from ..functions.stats import average_ranks, to_long
+    long = to_long(bases.base_clean(spark, sf), _W1)
+    r = average_ranks(long, ["column"], "v")
+    return r.select("column", F.round("v", 6).alias("value"), "cnt", "rank")
