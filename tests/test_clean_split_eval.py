@@ -108,3 +108,20 @@ def test_alerts_calorie_sedentary_preempts_sedentary(spark):
                                "family_history string, SMOKE string, FAF double, FAVC string, CH2O double")
     got = [r[0] for r in df.select(alerts(df)).collect()]
     assert got == [["family_history", "smoking", "calorie_sedentary", "low_water"], ["low_activity"]]
+
+
+def test_form_decoding_and_activity_days(spark):
+    from tessera.operators.enrich import decode_form
+    df = spark.createDataFrame(
+        [("Feminino", "Às vezes", "Não", "Caminhada", "Sempre", "Mais de 3 litros", "0 a 2 horas", 4, "Sim", "Não",
+          "Sim", "x")],
+        "Gender string, CAEC string, CALC string, MTRANS string, FCVC string, CH2O string, TUE string, FAF int, "
+        "family_history string, FAVC string, SMOKE string, SCC string")
+    r = decode_form(df).first()
+    assert (r["Gender"], r["CAEC"], r["CALC"], r["MTRANS"]) == ("Female", "Sometimes", "no", "Walking")
+    assert (r["FCVC"], r["CH2O"], r["TUE"], r["FAF"]) == (3.0, 3.0, 0.0, 2.0)
+    assert (r["family_history"], r["FAVC"], r["SMOKE"], r["SCC"]) == ("yes", "no", "yes", "no")
+    days = spark.createDataFrame([(d,) for d in range(8)], "d int")
+    from tessera.operators.enrich import activity_days_to_faf
+    assert [x[0] for x in days.select(activity_days_to_faf(F.col("d"))).collect()] == [0.0, 1.0, 1.0, 2.0, 2.0,
+                                                                                          3.0, 3.0, 3.0]
