@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 _MAX_PASSES = 200
+ROWS_PER_RANGE = 250_000
 
 
 def to_long(df: DataFrame, value_cols, by=(), var="column", val="v") -> DataFrame:
@@ -120,12 +121,17 @@ def running_total(df: DataFrame, group_cols, order_cols, value_col, out_col,
     values = [value_col] if isinstance(value_col, str) else list(value_col)
     outs = [out_col] if isinstance(out_col, str) else list(out_col)
     spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_exprs = [c if not isinstance(c, str) else F.col(c) for c in order_cols]
     # range bounds come from a sampling job over the input: materialise the input first so the
     # sample and the shuffle read it once; the partition id must be the same for both branches
     # below (local sums and totals), so the partitioned frame is materialised too
     df = materialize(df)
+    if not partitions:
+        # enough range partitions for ≤ ROWS_PER_RANGE rows each, at most the shuffle partitions
+        rows = df.count()
+        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(1, min(cap, -(-rows // ROWS_PER_RANGE)))
+    parts = partitions
     rp = materialize(df.repartitionByRange(parts, *[F.col(g) for g in group_cols], *order_exprs)
                      .withColumn("_pid", F.spark_partition_id()))
     local_w = (Window.partitionBy("_pid", *group_cols).orderBy(*order_exprs)

@@ -40,7 +40,7 @@ def test_exact_quantiles_even_count_and_constant(spark):
 
 def test_running_total_matches_cumsum(spark):
     df = frame(spark, n=300)
-    got = {r["id"]: r["before"] for r in running_total(df, ["g"], ["x", "id"], "y", "before").collect()}
+    got = {r["id"]: r["before"] for r in running_total(df, ["g"], ["x", "id"], "y", "before", partitions=5).collect()}
     pdf = df.toPandas().sort_values(["g", "x", "id"])
     pdf["before"] = pdf.groupby("g")["y"].cumsum() - pdf["y"]
     for i, b in zip(pdf.id, pdf.before):
