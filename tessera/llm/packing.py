@@ -139,7 +139,7 @@ def _fullest(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[int]:
     return count
 
 
-def plan(counts: dict[int, int], capacity: int = 1024, groups: int = 64, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int = 1024, groups: int = 256, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """Intervals (length, first rank, count, first sequence, offset) that place every piece.
 
     ``counts`` has the number of pieces of each length. Lengths of at most ``small`` (default: an
@@ -226,6 +226,12 @@ def plan(counts: dict[int, int], capacity: int = 1024, groups: int = 64, small:
     return out
 
 
+def best_plan(counts: dict[int, int], capacity: int = 1024, groups: int = 256) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences over several limits of what counts as small."""
+    plans = [plan(counts, capacity, groups, capacity * k // 16) for k in (2, 4, 5, 6, 8)]
+    return min(plans, key=lambda rows: max((s + c for _, _, c, s, _ in rows), default=0))
+
+
 def merge_plan(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Join neighbouring intervals of a plan that continue each other."""
     out: list[tuple[int, int, int, int, int]] = []
@@ -238,7 +244,7 @@ def merge_plan(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, in
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 1024, end_id: int = 2,
-         groups: int = 64, rows_per_bucket: int = 100_000) -> DataFrame:
+         groups: int = 256, rows_per_bucket: int = 100_000) -> DataFrame:
     """Pack all documents into sequences of at most ``max_len`` tokens.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. NULL and empty texts
@@ -253,7 +259,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 1024, end
     # at most max_len rows, whatever the corpus size
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    places = spark.createDataFrame(merge_plan(plan(counts, max_len, groups)) or [(0, 0, 0, 0, 0)],
+    places = spark.createDataFrame(merge_plan(best_plan(counts, max_len, groups)) or [(0, 0, 0, 0, 0)],
                                    "length bigint, first bigint, many bigint, seq0 bigint, offset bigint")
     # rank within a length: position in a hash bucket plus the sizes of the buckets before it
     buckets = max(64, -(-total // rows_per_bucket))
