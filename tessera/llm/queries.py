@@ -11,6 +11,7 @@ from .common import documents
 from .langid import held_out, identify, learn
 from .mixing import mix
 from .packing import pack
+from .rules import quality_rules, references
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +39,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs.filter(~held_out(F.col("doc_id"))))
     got = identify(docs, model)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules(docs, references(docs))
