@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import importlib
 import uuid
 
@@ -33,7 +34,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and keeps column pruning. The folder is marked
-    for removal when the application ends.
+    for removal when the application ends. The shuffle files that led to it aren't needed any
+    more; a collection on the driver lets Spark's cleaner remove them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -41,7 +43,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +66,13 @@ def words_of(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Number of words of a text (NULL: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def per_worker(name: str, make):
+    """A table that is costly to build, kept for the life of a Python worker."""
+    import sys
+
+    tables = sys.modules.setdefault("_tessera_worker_tables", {})
+    if name not in tables:
+        tables[name] = make()
+    return tables[name]

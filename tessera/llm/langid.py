@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_worker
+
 BUCKETS = 1 << 14
 #: Text is scored in pieces of this many characters, to bound a task's memory.
 PIECE = 1 << 20
@@ -40,10 +42,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _letter_table() -> np.ndarray:
-    kept = np.__dict__.setdefault("_letters_of_unicode", [])  # one per Python worker
-    if not kept:
-        kept.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return kept[0]
+    return per_worker("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def _script(points: np.ndarray) -> np.ndarray:

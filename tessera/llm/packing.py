@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import per_worker, saved
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -47,41 +47,37 @@ def encoder(path: str):
     makes the same ids. It is used only if both agree on a probe, and not for texts with a
     special token's string or a very long run without white space.
     """
-    import tiktoken
+    return per_worker(f"encoder {path}", lambda: _load(path))
+
+
+def _load(path: str):
+    import json
+    import os
+    import re
 
-    kept = tiktoken.__dict__.setdefault("_encoders_by_file", {})  # one per Python worker, not per task
-    if path not in kept:
-        import json
-        import os
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(path)
-
-        def plain(text: str) -> list[int]:
-            return slow.encode(text, add_special_tokens=False).ids
-
-        chosen = plain
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        special = [t["content"] for t in model.get("added_tokens", [])]
-        try:
-            letters = _byte_alphabet()
-            ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-            fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            probe = "It's 12,345 tests\n\n  of élève 中文 \U0001f600!! don't\t x  "
-            if fast.encode_ordinary(probe) == plain(probe):
-                odd = re.compile("|".join([re.escape(s) for s in special] + [r"\S{2000}", r"\s{2000}"]))
-
-                def chosen(text: str) -> list[int]:
-                    return plain(text) if odd.search(text) else fast.encode_ordinary(text)
-        except (KeyError, ValueError):  # not a byte-level vocabulary
-            chosen = plain
-        kept[path] = chosen
-    return kept[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(path)
+
+    def plain(text: str) -> list[int]:
+        return slow.encode(text, add_special_tokens=False).ids
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    special = [t["content"] for t in model.get("added_tokens", [])]
+    letters = _byte_alphabet()
+    try:
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+        fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        probe = "It's 12,345 tests\n\n  of élève 中文 \U0001f600!! don't\t x  "
+        same = fast.encode_ordinary(probe) == plain(probe)
+    except (KeyError, ValueError):  # not a byte-level vocabulary
+        return plain
+    odd = re.compile("|".join([re.escape(s) for s in special] + [r"\S{2000}", r"\s{2000}"]))
+    return (lambda text: plain(text) if odd.search(text) else fast.encode_ordinary(text)) if same else plain
 
 
 def token_pieces(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 2) -> DataFrame:

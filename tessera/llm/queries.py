@@ -12,6 +12,7 @@ from .langid import held_out, identify, learn
 from .mixing import mix
 from .packing import pack
 from .rules import quality_rules, references
+from .substring import repeated_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules(docs, references(docs))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeated_words(documents(spark, sf_dir), 35)
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
