@@ -13,6 +13,7 @@ from .mixing import mix
 from .packing import pack
 from .rules import quality_rules, references
 from .substring import repeated_words
+from .suffix import later_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = repeated_words(documents(spark, sf_dir), 35)
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = later_bytes(documents(spark, sf_dir), 100)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
