@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .langid import held_out, identify, learn
 from .mixing import mix
+from .ngram_join import near_duplicates
 from .packing import pack
 from .rules import quality_rules, references
 from .substring import repeated_words
@@ -59,3 +60,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = later_bytes(documents(spark, sf_dir), 100)
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
