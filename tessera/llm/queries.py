@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, table
 from .langid import held_out, identify, learn
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .packing import pack
+from .quality import classify
 from .rules import quality_rules, references
 from .substring import repeated_words
 from .suffix import later_bytes
@@ -72,3 +73,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fingerprints(documents(spark, sf_dir))
     return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a document's source is its host, and its language section there its path
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    return classify(docs, table(spark, sf_dir, "labels"))
