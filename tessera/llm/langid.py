@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +174,21 @@ def identify(docs: DataFrame, model: dict | None, penalty: float = 12.0) -> Data
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, spans string")
 
 
+def keep_identified(docs: DataFrame, model: dict | None, least: float = 0.5, penalty: float = 12.0) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others), unchanged, whose language is identified with
+    a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in range(0, batch.num_rows, 2000):
+                part = batch.slice(rows, 2000)
+                got = _label(part.select(["doc_id", "text"]), shared.value, penalty)
+                yield part.filter(pc.and_(pc.not_equal(got.column(1), "und"), pc.greater_equal(got.column(2), least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _label(batch: pa.RecordBatch, m: dict | None, penalty: float) -> pa.RecordBatch:
     n = batch.num_rows
     pred, score, spans = ["und"] * n, [0.0] * n, [""] * n

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import pandas as pd
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import count_words, saved
@@ -140,3 +140,19 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     return (got.alias("d").join(t, F.col("d.source").eqNullSafe(F.col("t.source")))
             .select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "d.copies",
                     (F.col("d.copies") * F.col("d.size")).cast("long").alias("taken")))
+
+
+def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: int = 7) -> DataFrame:
+    """The mix itself: the rows of ``docs`` (doc_id, text, source and others) as often as taken.
+
+    Rows with equal ids are told apart by their size, equal sizes by chance."""
+    taken = mix(docs, share, cap, weights, seed)
+    missing = F.lit(-(1 << 63))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    rows = rows.select("r", F.coalesce(F.col("r.doc_id"), missing).alias("d"), count_words(F.col("r.text")).alias("size"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("d").orderBy("size")))
+    taken = taken.select(F.coalesce("doc_id", missing).alias("d"), "size", "copies")
+    taken = taken.withColumn("i", F.row_number().over(Window.partitionBy("d").orderBy("size", "copies"))).drop("size")
+    both = rows.alias("a").join(taken.alias("b"), (F.col("a.d") == F.col("b.d")) & (F.col("a.i") - F.col("b.i") == 0))
+    both = both.filter("copies > 0").select("r", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return both.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])

@@ -208,20 +208,9 @@ def _sets(n: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """Classes of documents linked by a Jaccard similarity of ``threshold`` on their word n-grams.
-
-    Returns per row of ``docs`` (doc_id, text): doc_id, class_id (the least doc_id of the class),
-    class_size (rows), n_links (other rows linked to this one: copies of its text and those of
-    similarity at or above the threshold), n_text_links (different texts among them). Classes are
-    the connected components of the links. Words are runs of characters that aren't ASCII white
-    space, unchanged. A text of fewer than n words has one n-gram, of all its words. NULL texts and
-    those without words have no links; each such row is a class of its own, as is any row without
-    links. A class whose ids are all NULL has the id NULL. Repeated rows are copies. A pair at the
-    threshold is found with probability ``recall`` or more, one well above it practically always;
-    all pairs found are verified on their full sets. An empty table gives no rows; other columns
-    are not read.
-    """
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, some, t: hash of the text) and texts (t, copies, least doc_id, root of its
+    class, texts and docs: numbers of links)."""
     b, r = bands(threshold, recall)
     rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("t"), (count_words(F.col("text")) > 0).alias("some"))
     members = saved(rows.select("doc_id", "some", "t"), "members")
@@ -243,8 +232,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
                   .mapInArrow(_verify(threshold), "t binary, root binary, texts bigint, docs bigint"), "verified")
     links = found.filter("root IS NULL").groupBy("t").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     classes = components(found.filter("root IS NOT NULL").select(F.col("t").alias("a"), F.col("root").alias("b")))
-    per_text = (texts.join(links, "t", "left").join(classes.withColumnRenamed("v", "t"), "t", "left")
-                .withColumn("root", F.coalesce("root", "t")))
+    return members, (texts.join(links, "t", "left").join(classes.withColumnRenamed("v", "t"), "t", "left")
+                     .withColumn("root", F.coalesce("root", "t")))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of ``threshold`` on their word n-grams.
+
+    Returns per row of ``docs`` (doc_id, text): doc_id, class_id (the least doc_id of the class),
+    class_size (rows), n_links (other rows linked to this one: copies of its text and those of
+    similarity at or above the threshold), n_text_links (different texts among them). Classes are
+    the connected components of the links. Words are runs of characters that aren't ASCII white
+    space, unchanged. A text of fewer than n words has one n-gram, of all its words. NULL texts and
+    those without words have no links; each such row is a class of its own, as is any row without
+    links. A class whose ids are all NULL has the id NULL. Repeated rows are copies. A pair at the
+    threshold is found with probability ``recall`` or more, one well above it practically always;
+    all pairs found are verified on their full sets. An empty table gives no rows; other columns
+    are not read.
+    """
+    members, per_text = _linked(docs, n, threshold, recall)
     per_class = per_text.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     per_text = saved(per_text.join(per_class, "root").select(
         "t", "class_id", "class_size", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
@@ -253,3 +259,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     alone = members.filter("NOT some").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
                                               F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"))
     return got.select(alone.columns).unionByName(alone)
+
+
+def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others), unchanged, that stand for their class: the
+    one with the least doc_id (see ``near_duplicates``). Rows without words all stay."""
+    members, per_text = _linked(docs, n, threshold, recall)
+    best = per_text.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "t")).alias("k")).select("k.least", "k.t")
+    best = saved(best.select(F.coalesce("least", F.lit(-(1 << 63))).alias("d"), "t"), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    rows = rows.select("r", F.coalesce(F.col("r.doc_id"), F.lit(-(1 << 63))).alias("d"), F.unhex(F.md5("r.text")).alias("t"),
+                       (count_words(F.col("r.text")) > 0).alias("some"))
+    kept = rows.filter("some").drop("some").join(best, ["d", "t"]).dropDuplicates(["d", "t"]).select("r")
+    kept = kept.unionByName(rows.filter("NOT some").select("r"))
+    return kept.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])

@@ -12,6 +12,7 @@ from .langid import held_out, identify, learn
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .packing import pack
+from .pii import personal_data
 from .quality import classify
 from .rules import quality_rules, references
 from .substring import repeated_words
@@ -80,3 +81,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a document's source is its host, and its language section there its path
     docs = documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
     return classify(docs, table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = personal_data(documents(spark, sf_dir))
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
