@@ -128,7 +128,7 @@ def spans(docs: DataFrame) -> DataFrame:
     for k, (kind, pattern) in enumerate(KINDS.items()):
         rows = _matches(rows, "t", pattern, kind, F.col("_at") if kind == "email" else F.col("_digit"))
         found.append(_kept(kind, k))
-    rows = rows.withColumn("base", F.array_sort(F.concat(*found))).drop(*KINDS)
+    rows = rows.withColumn("base", F.sort_array(F.concat(*found))).drop(*KINDS)
     proposed = []
     for g, pattern in enumerate(GENERATORS.values()):
         name = f"_g{g}"
@@ -210,7 +210,7 @@ def added(found: DataFrame, seed: int = 5) -> DataFrame:
         (b["score"] > a["score"]) | ((b["score"] == a["score"]) & ((b["end"] - b["start"] > a["end"] - a["start"])
                                                                   | ((b["end"] - b["start"] == a["end"] - a["start"]) & ((b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["g"] < a["g"])))))))
     best = F.filter("x", lambda a: ~F.exists("x", lambda b: better(a, b)))
-    return per.select("d", "th", F.array_sort(F.transform(best, lambda a: F.struct(a["start"], (a["g"] + len(KINDS)).alias("k"), a["end"]))).alias("extra"))
+    return per.select("d", "th", F.sort_array(F.transform(best, lambda a: F.struct(a["start"], (a["g"] + len(KINDS)).alias("k"), a["end"]))).alias("extra"))
 
 
 def _joined(found: Column) -> Column:
@@ -236,7 +236,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     f, e = found.drop("cand").alias("f"), extra.alias("e")
     rows = f.join(e, (F.col("f.d") == F.col("e.d")) & (F.col("f.th") == F.col("e.th")), "left").select("f.*", "e.extra")
     counts = [_count_of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    rows = rows.withColumn("found", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:bigint,k:int,end:bigint>>")))))
+    rows = rows.withColumn("found", F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:bigint,k:int,end:bigint>>")))))
     return rows.select("doc_id", *counts, _joined(F.col("base")).alias("base"), _joined(F.col("found")).alias("spans"), "found", "d", "th")
 
 

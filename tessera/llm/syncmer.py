@@ -34,7 +34,7 @@ def sketch(rows: DataFrame, text: str, out: str) -> DataFrame:
     chosen = F.filter(F.transform(h, closed), lambda x: x.isNotNull())
     short = F.when(F.size(w) > 0, F.array(F.hash(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<int>"))
     return (rows.withColumn("_c", F.when(F.size(w) >= K, chosen).otherwise(short))
-            .withColumn(out, F.slice(F.array_sort(F.array_distinct("_c")), 1, SIZE)).drop("_w", "_h", "_c"))
+            .withColumn(out, F.slice(F.sort_array(F.array_distinct("_c")), 1, SIZE)).drop("_w", "_h", "_c"))
 
 
 def as_text(hashes: Column) -> Column:
@@ -44,7 +44,7 @@ def as_text(hashes: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of the syncmer sets of two fingerprints; 1 if both are empty."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SIZE)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
 
