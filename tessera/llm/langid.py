@@ -107,7 +107,7 @@ def learn(docs: DataFrame) -> dict | None:
                     cells[BUCKETS:] += np.bincount(script, minlength=len(SCRIPT_NAMES))
         for lang, cells in sums.items():
             at = np.flatnonzero(cells)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(cells[at])], ["lang", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(cells[at])], ["lang", "cell", "n"])
 
     rows = (docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
             .mapInArrow(count, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")))
@@ -215,5 +215,5 @@ def _label(batch: pa.RecordBatch, m: dict | None, penalty: float) -> pa.RecordBa
             for d, r in runs.items():
                 top = int(letters[d].argmax())
                 pred[d], score[d], spans[d] = m["langs"][top], float(letters[d, top] / letters[d].sum()), ",".join(r)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score, pa.float64()), pa.array(spans)],
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())],
                                       ["doc_id", "lang_pred", "score", "spans"])
