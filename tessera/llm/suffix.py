@@ -29,7 +29,7 @@ from .common import saved
 from .repeats import candidates, covered, halves, keyed, types, windows_of, with_places
 
 #: Most occurrences of one anchor that are sorted in one block.
-HOT = 1000
+HOT = 10_000
 #: Bytes of a block, about.
 BLOCK = 1 << 20
 

@@ -101,15 +101,19 @@ def segments(units: np.ndarray, ends: np.ndarray, length: int, k: int) -> dict[s
     place = np.arange(len(grams), dtype=np.uint64)
     key = (grams >> bits << bits) | place
     at = (_least(key, length - k + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    starts = np.arange(len(at))
-    text = np.searchsorted(ends, starts, "right")
-    good = starts + length <= ends[np.minimum(text, len(ends) - 1)]
-    at, starts, text = at[good], starts[good], text[good]
-    if not len(at):
+    # runs of starts with the same anchor; a text's last length - 1 places start no window
+    sizes = np.diff(ends, prepend=0)
+    begins = ends - sizes
+    whole = sizes >= length
+    edge = np.append(True, at[1:] != at[:-1])
+    edge[begins[whole]] = True
+    first = np.flatnonzero(edge)
+    doc = np.searchsorted(ends, first, "right")
+    n = np.minimum(np.append(first[1:], len(at)), ends[doc] - length + 1) - first
+    first, doc, n = first[n > 0], doc[n > 0], n[n > 0]
+    if not len(first):
         return none
-    first = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(text) != 0)))
-    n = np.diff(np.append(first, len(at)))
-    a, anchor, doc = starts[first], at[first], text[first]
+    a, anchor = first, at[first]
     whole = h.runs(a, a + n + length - 1) + mix((anchor - a).astype(np.uint64) * np.uint64(1 << 32) + n.astype(np.uint64))
     return {"text": doc, "anchor": grams[anchor].view(np.int64), "hash": mix(whole).view(np.int64),
             "start": a - np.where(doc > 0, ends[doc - 1], 0), "n": n, "off": anchor - a}
