@@ -14,7 +14,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import personal_data
 from .quality import classify
-from .rules import quality_rules, references
+from .rules import quality_rules
 from .substring import repeated_words
 from .suffix import later_bytes
 from .syncmer import fingerprints
@@ -49,8 +49,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return quality_rules(docs, references(docs))
+    return quality_rules(documents(spark, sf_dir))
 
 
 @query
