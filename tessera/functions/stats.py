@@ -153,10 +153,3 @@ def average_ranks(df: DataFrame, group_cols, value_col: str, weight_col: str | N
     ranked = running_total(distinct, group_cols, [value_col], "cnt", "before")
     return ranked.withColumn(out_col, F.col("before") + (F.col("cnt") + 1) / 2.0)
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> tuple[DataFrame, bool]:
-    """Hint a broadcast only after checking the row count (one job on an already small or
-    aggregated frame); above the bound the frame is returned as is for a shuffle join,
-    where AQE's skew-join split covers hot keys."""
-    n = df.limit(max_rows + 1).count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)

@@ -1,4 +1,4 @@
-"""Duplicate removal, imputation, case standardisation and the cleaning report.
+"""Duplicate removal, imputation, case standardisation and the cleaning report.
 
 Every step is a DataFrame → DataFrame function. Statistics (medians, modes) are
 computed in one job each, collected as at most one scalar per column (bounded by
@@ -111,13 +111,15 @@ def clean_deduplicated(deduped: DataFrame, spec: SurveySpec = OBESITY) -> DataFr
     return standardize_case(step, spec)
 
 
-def cleaning_report(original: DataFrame, cleaned: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
+def cleaning_report(original: DataFrame, cleaned: DataFrame, deduped: DataFrame | None = None,
+                    spec: SurveySpec = OBESITY) -> DataFrame:
     """``(item, value)`` rows — duplicates removed, shapes, and NULLs per column of the
     *original* (only columns with NULLs, as ``missing:<column>``)."""
     cols = [c for c in spec.columns if c in original.columns]
     stats = original.agg(F.count("*").alias("rows_before"),
                          *[F.count_if(F.col(c).isNull()).alias(f"missing:{c}") for c in cols])
-    distinct = remove_duplicates(original.select(*cols), spec).agg(F.count("*").alias("distinct_rows"))
+    deduped = remove_duplicates(original.select(*cols), spec) if deduped is None else deduped
+    distinct = deduped.agg(F.count("*").alias("distinct_rows"))
     after = cleaned.agg(F.count("*").alias("rows_after"))
     wide = stats.crossJoin(distinct).crossJoin(after)  # three one-row frames
     items = [F.struct(F.lit("duplicates_removed").alias("item"),
@@ -150,7 +152,3 @@ def known_classes(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
     """Keep rows whose target is one of the declared classes (NULLs dropped too)."""
     return df.where(F.col(spec.target).isin(spec.class_order))
 
-
-def listwise_drop(df: DataFrame, cols) -> DataFrame:
-    """Drop rows with a NULL in any of ``cols``."""
-    return df.na.drop("any", subset=list(cols))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import feature_text_dim
-from ..functions.stats import average_ranks, broadcast_if_small, running_total
+from ..functions.stats import average_ranks
 from ..session import materialize
 
 
@@ -29,32 +29,28 @@ def _rho(cov, vx, vy):
 
 
 def spearman_vs_target(df: DataFrame, features, target: str, places: int = 4) -> DataFrame:
-    """K1/K3/K4: ρ(feature, target) for each feature over the rows of ``df`` (callers drop
-    NULL rows first: listwise, as the reference). Returns ``feature, correlation,
-    abs_correlation, n``."""
+    """K1/K3/K4: ρ(feature, target) for each feature over the rows where both are there (pairwise
+    deletion; callers that delete listwise have no NULLs left). Returns ``feature, correlation,
+    abs_correlation, n``; a feature without any pair has no row.
+
+    The rows are read once into (feature, value, target, count) cells; both rankings are taken from
+    the margins of that table, per feature.
+    """
     features = list(features)
-    df = materialize(df.select(*features, target))  # read by the target ranking and the main pass
-    yr = average_ranks(df, [], target).select(F.col(target), F.col("rank").alias("_ry"), "cnt").cache()
-    yr_stats = yr.agg(F.sum(F.col("cnt") * F.col("_ry") * F.col("_ry")).alias("_syy"))
-    # the target has few levels, each possibly holding a third of the rows: a shuffle join on it
-    # would put a whole level on one task, so its rank table is broadcast (size checked)
-    small, _ = broadcast_if_small(yr.select(target, "_ry"))
-    rows = df.join(small, target)
-    long = rows.select("_ry", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")) \
-        .select("x.feature", "x.v", "_ry")
-    per_value = long.groupBy("feature", "v").agg(F.count("*").alias("cnt"), F.sum("_ry").alias("_sry"))
-    # per_value is already one row per (feature, value): prefix sums directly give the ranks
-    joined = running_total(per_value, ["feature"], ["v"], "cnt", "_before") \
-        .withColumn("_rx", F.col("_before") + (F.col("cnt") + 1) / 2.0)
-    agg = joined.groupBy("feature").agg(
-        F.sum("cnt").alias("n"), F.sum(F.col("_rx") * F.col("_sry")).alias("_sxy"),
-        F.sum(F.col("cnt") * F.col("_rx") * F.col("_rx")).alias("_sxx"))
+    items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]
+    long = df.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*items)).alias("x")).select("x.*", "y")
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & F.col("y").isNotNull() & ~F.isnan("y"))
+    cells = materialize(long.groupBy("feature", "v", "y").agg(F.count("*").alias("cnt")))
+    rx = average_ranks(cells, ["feature"], "v", "cnt").select("feature", "v", F.col("rank").alias("_rx"))
+    ry = average_ranks(cells, ["feature"], "y", "cnt").select("feature", "y", F.col("rank").alias("_ry"))
+    joined = cells.join(rx, ["feature", "v"]).join(ry, ["feature", "y"])
+    c, x, y = F.col("cnt"), F.col("_rx"), F.col("_ry")
+    agg = joined.groupBy("feature").agg(F.sum("cnt").alias("n"), F.sum(c * x * y).alias("_sxy"),
+                                        F.sum(c * x * x).alias("_sxx"), F.sum(c * y * y).alias("_syy"))
     m2 = F.col("n") * ((F.col("n") + 1) / 2.0) * ((F.col("n") + 1) / 2.0)
     rho = _rho(F.col("_sxy") - m2, F.col("_sxx") - m2, F.col("_syy") - m2)
-    return agg.crossJoin(yr_stats).select(
-        "feature", F.round(rho, places).alias("correlation"), F.round(F.abs(rho), places).alias("abs_correlation"),
-        F.col("n").cast("long").alias("n"))
+    return agg.select("feature", F.round(rho, places).alias("correlation"), F.round(F.abs(rho), places).alias("abs_correlation"),
+                      F.col("n").cast("long").alias("n"))
 
 
 def spearman_matrix(df: DataFrame, cols, id_col: str = "id", places: int = 4) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import class_dim
 from ..functions.stats import running_total
+from ..session import materialize
 from ..spec import ACCURACY_GATE, OBESITY, SurveySpec
 
 # FIXED VALUES of the deterministic rule-based scorer used to exercise evaluation with an
@@ -24,12 +25,14 @@ RULE_SHIFT = 0.8
 
 
 def rule_scored(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
-    """``scored_rule``: prediction = BMI band of ``bmi + ((id % 7) − 3)·0.8``;
+    """``scored_rule``: prediction = BMI band of ``bmi + (k − 3)·0.8`` with k = 0..6
+    from the digest of the id;
     class probability ∝ 1 / (1 + |shifted − band centre|). Output: id, actual, predicted,
     one ``p_<class>`` column per class, confidence = probability of the predicted class."""
     classes = spec.class_order
     bmi = F.col("Weight") / (F.col("Height") * F.col("Height"))
-    shifted = bmi + ((F.col(spec.id_col) % 7) - 3).cast("double") * RULE_SHIFT
+    k = F.conv(F.substring(F.md5(F.col(spec.id_col).cast("string")), 1, 4), 16, 10).cast("int") % 7
+    shifted = bmi + (k - 3).cast("double") * RULE_SHIFT
     pred = None
     for cut, c in zip(RULE_CUTS, classes):
         pred = F.when(F.col("_s") < cut, c) if pred is None else pred.when(F.col("_s") < cut, c)
@@ -115,18 +118,25 @@ def _score_table(scored: DataFrame, classes) -> DataFrame:
 
 
 def roc_points(scored: DataFrame, spec: SurveySpec = OBESITY, places: int = 6) -> DataFrame:
-    """One-vs-rest ROC points per class present in the truth, one per distinct score
-    (threshold = score, descending): cumulative TP/FP rates."""
+    """One-vs-rest ROC points per class present in the truth: (0, 0) with no threshold, then
+    the distinct scores in descending order (threshold = score) with their cumulative TP/FP rates.
+    A point whose next one adds as many positives and negatives as it did itself lies on a straight
+    line and is dropped, except the first and the last."""
     classes = spec.class_order
-    t = _score_table(scored, classes)
-    totals = t.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = running_total(t, ["class"], [F.col("score").desc()], ["pos", "neg"], ["_tp_before", "_fp_before"])
-    j = cum.join(F.broadcast(totals.where(F.col("P") > 0)), "class")  # ≤ one row per class
-    tpr = (F.col("_tp_before") + F.col("pos")) / F.col("P")
+    t = _score_table(scored, classes).withColumn("one", F.lit(1))
+    totals = t.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).where(F.col("P") > 0)
+    cum = running_total(t, ["class"], [F.col("score").desc()], ["pos", "neg", "one"], ["_tp_before", "_fp_before", "_i"])
+    cum = materialize(cum)  # read by both sides of the join with the following point
+    following = cum.select("class", (F.col("_i") - 1).alias("_i"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"))
+    bend = (F.col("_i") == 0) | F.col("_pos").isNull() | (F.col("_pos") != F.col("pos")) | (F.col("_neg") != F.col("neg"))
+    j = cum.join(following, ["class", "_i"], "left").where(bend).join(F.broadcast(totals), "class")  # ≤ one row per class
+    tpr = (F.col("_tp_before") + F.col("pos")).cast("double") / F.col("P").cast("double")
     fpr = F.coalesce(F.try_divide((F.col("_fp_before") + F.col("neg")).cast("double"), F.col("N").cast("double")),
                      F.lit(0.0))
-    return j.select("class", F.round("score", places).alias("score"), F.round(tpr, places).alias("tpr"),
-                    F.round(fpr, places).alias("fpr"))
+    points = j.select("class", F.round("score", places).alias("score"), F.round(tpr, places).alias("tpr"),
+                      F.round(fpr, places).alias("fpr"))
+    return points.unionByName(totals.select("class", F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("tpr"),
+                                            F.lit(0.0).alias("fpr")))
 
 
 def auc(scored: DataFrame, spec: SurveySpec = OBESITY, places: int = 6) -> DataFrame:
@@ -137,6 +147,6 @@ def auc(scored: DataFrame, spec: SurveySpec = OBESITY, places: int = 6) -> DataF
     rank = F.col("_before") + (F.col("cnt") + 1) / 2.0
     agg = r.groupBy("class").agg(F.sum(F.col("pos") * rank).alias("_rs"), F.sum("pos").alias("P"),
                                  F.sum("neg").alias("N"))
-    u = F.col("_rs") - F.col("P") * (F.col("P") + 1) / 2.0
-    return agg.where((F.col("P") > 0) & (F.col("N") > 0)).select(
-        "class", F.round(u / (F.col("P") * F.col("N")), places).alias("auc"))
+    p, n = F.col("P").cast("double"), F.col("N").cast("double")  # their product outgrows a BIGINT
+    u = F.col("_rs") - p * (p + 1) / 2.0
+    return agg.where((F.col("P") > 0) & (F.col("N") > 0)).select("class", F.round(u / (p * n), places).alias("auc"))

@@ -93,6 +93,22 @@ def valid_rows(spec: SurveySpec = OBESITY, with_target: bool = True) -> Column:
     return out
 
 
+def encodable_rows(spec: SurveySpec = OBESITY) -> Column:
+    """Row-local predicate: the strict ordinals (E6) and the body-mass index (V9) are defined."""
+    out = F.coalesce(F.col("Height") > 0, F.lit(True))
+    for c in spec.ordinal_cols:
+        out = out & F.col(c).isin(list(spec.frequency_ordinal)) & F.col(c).isNotNull()
+    return out
+
+
+def summary_encoding(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
+    """Scores, numeric columns and binary codes of every row; nothing in it needs a valid ordinal
+    (an unknown one makes its score NULL)."""
+    enc = {c: e for c, e in encoded_columns(spec).items() if c not in spec.ordinal_cols}
+    keep = [c for c in (spec.id_col, spec.target) if c in df.columns]
+    return df.select(*keep, *[e.alias(n) for n, e in enc.items()])
+
+
 # ----------------------------------------------------------------- estimator / model
 class _StatsParams(Params):
     standardCols = Param(Params._dummy(), "standardCols", "standard-scaled columns", TypeConverters.toListString)
@@ -203,6 +219,12 @@ def correlation_encoding(df: DataFrame, spec: SurveySpec = OBESITY, extra=()) ->
 def exploratory_encoding(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
     """E16 (+ the K2 matrix input): binaries by lower-case equality, Gender by exact match,
     frequency ordinals, transport activity ordinal, target ordinal."""
+    keep = [spec.id_col] if spec.id_col in df.columns else []
+    return df.select(*keep, *[e.alias(n) for n, e in exploratory_columns(spec).items()])
+
+
+def exploratory_columns(spec: SurveySpec = OBESITY) -> dict:
+    """E16 as name → expression."""
     out = {c: F.col(c).cast("double") for c in spec.numeric_cols}
     out["Gender"] = flag(F.col("Gender") == "Male").cast("double")
     for c in ("family_history", "FAVC", "SMOKE", "SCC"):
@@ -211,24 +233,25 @@ def exploratory_encoding(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame
         out[c] = ordinal(c, spec)
     out["MTRANS"] = lookup_case("MTRANS", MTRANS_ACTIVITY).cast("double")
     out["Obesity_Ordinal"] = lookup_case(spec.target, {c: i for i, c in enumerate(spec.class_order)}).cast("double")
-    keep = [spec.id_col] if spec.id_col in df.columns else []
-    return df.select(*keep, *[e.alias(n) for n, e in out.items()])
+    return out
 
 
 ALT_FEATURES = ["Age", "Height", "Weight", "FCVC", "NCP", "CH2O", "FAF", "TUE",
                 "Gender", "family_history", "FAVC", "SMOKE", "SCC", "CAEC", "CALC", "MTRANS"]
 
 
-def alternative_encoding(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
-    """The stand-alone model's 16 all-ordinal features (exact-match binaries;
-    scoring defaults for unknown CAEC/CALC 0 and MTRANS 3)."""
+def alternative_encoding(df: DataFrame, spec: SurveySpec = OBESITY, scoring: bool = False) -> DataFrame:
+    """The stand-alone model's 16 all-ordinal features (exact-match binaries). Unknown
+    CAEC/CALC/MTRANS are NULL in training; in scoring they get the defaults 0, 0 and 3."""
     out = {c: F.col(c).cast("double") for c in spec.numeric_cols}
     out["Gender"] = flag(F.col("Gender") == "Male").cast("double")
     for c in ("family_history", "FAVC", "SMOKE", "SCC"):
         out[c] = flag(F.col(c) == "yes").cast("double")
     for c in spec.ordinal_cols:
-        out[c] = F.coalesce(lookup_case(c, spec.frequency_ordinal), F.lit(ALT_DEFAULTS[c])).cast("double")
-    out["MTRANS"] = F.coalesce(lookup_case("MTRANS", MTRANS_ALPHABETICAL), F.lit(ALT_DEFAULTS["MTRANS"])).cast("double")
+        out[c] = lookup_case(c, spec.frequency_ordinal).cast("double")
+    out["MTRANS"] = lookup_case("MTRANS", MTRANS_ALPHABETICAL).cast("double")
+    if scoring:
+        out |= {c: F.coalesce(out[c], F.lit(float(v))) for c, v in ALT_DEFAULTS.items()}
     keep = [c for c in (spec.id_col, spec.target) if c in df.columns]
     return df.select(*keep, *[out[c].alias(c) for c in ALT_FEATURES])
 

@@ -1,20 +1,19 @@
 """L1–L5 (+V11): deterministic stratified splits and folds.
 
 Row order inside a class is ``md5("<id>:<seed>")`` then id, the same digest in
-Spark and DuckDB. The position of a row inside its class comes from
-``running_total`` (range partitions + offsets), never from a window over a whole
-class — a class may hold a third of the rows. Per-class quotas follow the
+Spark and DuckDB. The position of a row inside its class comes from windows over
+buckets of the hash, never over a whole class — a class may hold a third of the
+rows. Per-class quotas follow the
 largest-remainder rule on the class-count table (one row per class, bounded by the
 label domain).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import literal_map
-from ..functions.stats import running_total
 from ..spec import OBESITY, RANDOM_STATE, SurveySpec
 
 
@@ -54,15 +53,34 @@ def split_quotas(counts: dict, order, holdout=(3, 10), test_of_holdout=(1, 2)) -
     return {c: (train[c], val[c], hold[c] - val[c]) for c in counts}
 
 
-def class_positions(df: DataFrame, label: str, id_col: str = "id", seed: int = RANDOM_STATE) -> DataFrame:
-    """Adds ``pos`` (0-based) = rank of the row inside its class by (hash, id)."""
-    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_one", F.lit(1))
-    return running_total(keyed, [label], ["_h", id_col], "_one", "pos").drop("_h", "_one")
+#: Rows of one class that are numbered in one window, about.
+WINDOW_ROWS = 200_000
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class — one row per label value (bounded by the label domain)."""
-    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+def class_positions(df: DataFrame, label: str, id_col: str = "id", seed: int = RANDOM_STATE) -> DataFrame:
+    """Adds ``pos`` (0-based) = rank of the row inside its class by (hash, id).
+
+    The hash's leading digits are buckets in hash order: rows are numbered inside (class, bucket),
+    which is one shuffle and a sort of bounded groups, and the sizes of the class's buckets before it
+    (a table of classes × buckets) are added. Nothing is sampled or stored.
+    """
+    digits, n = 1, df.count()
+    while 16 ** digits * WINDOW_ROWS < n:
+        digits += 1
+    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, digits))
+    sizes = keyed.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col(label).alias("_c"), F.col("_b").alias("_d"), F.coalesce(F.sum("_n").over(
+        Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    order = Window.partitionBy(label, "_b").orderBy("_h", id_col)
+    numbered = keyed.withColumn("_at", F.row_number().over(order) - 1)
+    joined = numbered.join(before, F.col(label).eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_d")))
+    return joined.withColumn("pos", F.col("_before") + F.col("_at")).drop("_h", "_b", "_c", "_d", "_at", "_before")
+
+
+def class_counts(df: DataFrame, label: str, order=None) -> dict:
+    """Rows per known class (bounded by the label domain)."""
+    known = df.where(F.col(label).isin(OBESITY.class_order if order is None else list(order)))
+    return {r[label]: r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
 
 
 def stratified_split(df: DataFrame, spec: SurveySpec = OBESITY, label: str | None = None,
@@ -70,7 +88,8 @@ def stratified_split(df: DataFrame, spec: SurveySpec = OBESITY, label: str | Non
     """L1 (70/15/15 by default) / L2 (``test_of_holdout=(1, 1)`` gives a single 80/20-style
     split with ``holdout=(1, 5)``): adds ``split`` ∈ {train, val, test}."""
     label = label or spec.target
-    counts = class_counts(df, label)
+    df = df.where(F.col(label).isin(spec.class_order))  # spellings outside the domain have no quota
+    counts = class_counts(df, label, spec.class_order)
     quotas = split_quotas(counts, spec.class_order, holdout, test_of_holdout)
     t = literal_map({c: q[0] for c, q in quotas.items()})
     v = literal_map({c: q[0] + q[1] for c, q in quotas.items()})

@@ -174,13 +174,15 @@ def mean_by_class(df: DataFrame, col: str, spec: SurveySpec = OBESITY, places: i
 
 
 def kpis(filtered: DataFrame, dist: DataFrame, visible, spec: SurveySpec = OBESITY) -> DataFrame:
-    """Rows of the filtered table, classes present in it, top visible class of the
-    unfiltered distribution and its share (ties → first in canonical order)."""
-    f = filtered.agg(F.count("*").alias("n_rows"), F.count_distinct(spec.target).alias("n_classes"))
+    """Rows of the filtered table; over the visible classes of the unfiltered distribution: how
+    many have rows, the largest (ties → first in canonical order) and its share of their rows."""
+    f = filtered.agg(F.count("*").alias("n_rows"))
     d = dist.where(F.col("class_en").isin(list(visible))).agg(
-        F.max_by("class_pt", F.struct(F.col("count"), -F.col("severity"))).alias("top_class"),
-        F.max_by("percentage", F.struct(F.col("count"), -F.col("severity"))).alias("top_share"))
-    return f.crossJoin(d)
+        F.count_if(F.col("count") > 0).alias("n_classes"), F.sum("count").alias("_all"), F.max("count").alias("_top"),
+        F.max_by("class_pt", F.struct(F.col("count"), -F.col("severity"))).alias("_class"))
+    d = d.select("n_classes", F.when(F.col("_all") > 0, F.col("_class")).otherwise(F.lit("—")).alias("top_class"),
+                 pct(F.coalesce(F.col("_top"), F.lit(0)), "_all", 1).alias("top_share"))
+    return f.crossJoin(d)  # two one-row frames
 
 
 def renormalize(df: DataFrame, cols, places: int = 1) -> DataFrame:

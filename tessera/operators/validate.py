@@ -15,7 +15,7 @@ from ..functions.exprs import in_domain, in_range
 from ..spec import OBESITY, SurveySpec
 
 VIOLATION_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("column", T.StringType()),
+    T.StructField("id", T.StringType()), T.StructField("column", T.StringType()),
     T.StructField("value", T.StringType()), T.StructField("rule", T.StringType()),
     T.StructField("rule_ord", T.IntegerType()), T.StructField("message", T.StringType()),
 ])

@@ -45,7 +45,7 @@ def base_clean(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) ->
 
 
 def feature_base(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFrame:
-    """Rows of the cleaned base that pass every range and domain rule (row-local filter,
-    no anti-join against the violation table) — the input of feature engineering."""
-    from ..operators.features import valid_rows
-    return base_clean(spark, sf_dir, spec).where(valid_rows(spec))
+    """The cleaned base without the rows that the strict ordinals can't encode — the input of
+    feature engineering and training. Rows with other violations stay."""
+    from ..operators.features import encodable_rows
+    return base_clean(spark, sf_dir, spec).where(encodable_rows(spec))

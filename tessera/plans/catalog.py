@@ -40,7 +40,7 @@ _MED_SQL = " UNION ALL ".join(
 @register("c2_numeric_medians", O.with_dedup() + f"\nSELECT * FROM ({_MED_SQL}) t")
 def c2_numeric_medians(spark, sf):
     from ..functions.stats import exact_quantiles
-    d = C.remove_duplicates(bases.raw(spark, sf))
+    d = bases.deduplicated(spark, sf)
     med = exact_quantiles(d, S.numeric_cols, [0.5]).select("column", F.round("value", 6).alias("median"))
     nulls = C.null_counts(d, S.numeric_cols).unpivot([], S.numeric_cols, "column", "n_missing")
     return med.join(nulls, "column", "right").select("column", "median", F.col("n_missing").cast("long"))
@@ -53,7 +53,7 @@ _MODE_SQL = " UNION ALL ".join(
 
 @register("c3_category_modes", O.with_dedup(*O.CLEAN.split(",\nimp2")[0:1]) + f"\nSELECT * FROM ({_MODE_SQL}) t")
 def c3_category_modes(spark, sf):
-    d = C.remove_duplicates(bases.raw(spark, sf))
+    d = bases.deduplicated(spark, sf)
     modes = C.category_modes(d, only_missing=False)
     nulls = C.null_counts(d, S.categorical_cols).first().asDict()
     rows = [(c, modes.get(c), int(nulls[c])) for c in S.categorical_cols]
@@ -68,7 +68,7 @@ _C7 = " UNION ALL ".join(
 @register("c4_standardize_case", O.with_dedup(O.CLEAN) + f"\nSELECT * FROM ({_C7}) t")
 def c4_standardize_case(spark, sf):
     """C4+C7: how many values case standardisation changes per column (after imputation)."""
-    d = C.remove_duplicates(bases.raw(spark, sf))
+    d = bases.deduplicated(spark, sf)
     d = C.impute_categorical(C.impute_numeric(d))
     return C.normalized_counts(d)
 
@@ -90,7 +90,7 @@ _C6_ITEMS = ["SELECT 'duplicates_removed' AS item, (SELECT count(*) FROM survey_
           + " UNION ALL ".join(_C6_ITEMS) + ") t WHERE item NOT LIKE 'missing:%' OR value > 0")
 def c6_cleaning_report(spark, sf):
     raw = bases.raw(spark, sf)
-    return C.cleaning_report(raw, C.clean(raw))
+    return C.cleaning_report(raw, bases.base_clean(spark, sf), bases.deduplicated(spark, sf))
 
 
 @register("c8_remaining_nulls", O.with_dedup(O.CLEAN) + "\nSELECT CAST("

@@ -87,7 +87,7 @@ def v11_split_drift(spark, sf):
 
 # --------------------------------------------------------------------------- evaluation
 def _scored_ctes() -> tuple:
-    s = "Weight / (Height * Height) + CAST((id % 7) - 3 AS DOUBLE) * 0.8"
+    s = "Weight / (Height * Height) + CAST((CAST('0x' || substr(md5(id), 1, 4) AS INTEGER) % 7) - 3 AS DOUBLE) * 0.8"
     ws = [f"1.0 / (1.0 + abs(s - {m}))" for m in N.RULE_MIDS]
     total = ws[0]
     for w in ws[1:]:
@@ -161,10 +161,14 @@ _ST = ("lng AS (" + " UNION ALL ".join(
 
 @register("n7_roc_points", O.with_clean(*SCORED, *_ST,
           "cum AS (SELECT class, score, sum(pos) OVER (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, "
-          "sum(neg) OVER (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM st)")
+          "sum(neg) OVER (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp, "
+          "row_number() OVER (PARTITION BY class ORDER BY score DESC) = 1 AS is_first, pos, neg, "
+          "lead(pos) OVER (PARTITION BY class ORDER BY score DESC) AS next_pos, "
+          "lead(neg) OVER (PARTITION BY class ORDER BY score DESC) AS next_neg FROM st)")
           + "\nSELECT cum.class, round(score, 6) AS score, round(CAST(tp AS DOUBLE) / P, 6) AS tpr, "
           "round(coalesce(CAST(fp AS DOUBLE) / NULLIF(N, 0), 0.0), 6) AS fpr FROM cum JOIN tt ON cum.class = tt.class "
-          "WHERE P > 0")
+          "WHERE P > 0 AND (is_first OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg) "
+          "UNION ALL SELECT class, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM tt WHERE P > 0")
 def n7_roc_points(spark, sf):
     """One-vs-rest ROC points per class, one per distinct score."""
     return N.roc_points(scored(spark, sf))
@@ -241,17 +245,18 @@ def _display_sql() -> str:
     risk = "coalesce(CASE " + " ".join(f"WHEN predicted = {O.q(c)} THEN {O.q(v)}" for c, v in SP.RISK_LEVELS.items()) + \
         f" END, {O.q(SP.RISK_DEFAULT)})"
     rlab = "CASE " + " ".join(f"WHEN {risk} = {O.q(k)} THEN {O.q(v)}" for k, v in SP.RISK_LABELS.items()) + " END"
+    rcol = f"CASE {risk} " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in SP.RISK_COLORS.items()) + " END"
     lab = "coalesce(CASE " + " ".join(f"WHEN predicted = {O.q(c)} THEN {O.q(v)}" for c, v in S.class_labels.items()) + \
         " END, predicted)"
     return (O.with_clean(*SCORED) + f"\nSELECT id, predicted, {lab} AS label_pt, {icon} AS icon, {color} AS color, "
-            f"{risk} AS risk_level, {rlab} AS risk_label, round(confidence, 6) AS confidence FROM sc")
+            f"{risk} AS risk_level, {rlab} AS risk_label, {rcol} AS risk_color, round(confidence, 6) AS confidence FROM sc")
 
 
 @register("o6_prediction_display", _display_sql())
 def o6_prediction_display(spark, sf):
     """O6 + M7/M8 + P4: label, icon, colour, risk level/label and confidence per prediction."""
     e = Oe.enrich_prediction(scored(spark, sf))
-    return e.select("id", "predicted", "label_pt", "icon", "color", "risk_level", "risk_label",
+    return e.select("id", "predicted", "label_pt", "icon", "color", "risk_level", "risk_label", "risk_color",
                     F.round("confidence", 6).alias("confidence"))
 
 

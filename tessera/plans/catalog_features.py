@@ -14,6 +14,7 @@ from .registry import register
 
 S = OBESITY
 FEAT = (O.FEAT_BASE, O.ENC, O.FSTATS)
+FEAT_ALL = (O.ALL_ROWS, O.ENC, O.FSTATS)  # summaries: every cleaned row
 
 
 def fitted(spark, sf):
@@ -69,11 +70,10 @@ _SCALED = [*S.standard_cols, *S.minmax_cols]
 def e13_inverse_roundtrip(spark, sf):
     """Largest |inverse(transform(x)) − x| per scaled column."""
     base, model = fitted(spark, sf)
-    f = model.feature_frame(base)
-    back = model.inverse(f).select("id", *[F.col(c).alias(f"inv_{c}") for c in _SCALED])
-    raw = unscaled(base).select("id", *_SCALED)
-    j = back.join(raw, "id")
-    return j.agg(*[F.round(F.max(F.abs(F.col(f"inv_{c}") - F.col(c))), 6).alias(f"err_{c}") for c in _SCALED])
+    scaled, raw = model.scaled_columns(), E.encoded_columns(S)
+    both = base.select(*[scaled[c].alias(c) for c in _SCALED], *[raw[c].alias(f"raw_{c}") for c in _SCALED])
+    back = model.inverse(both)
+    return back.agg(*[F.round(F.max(F.abs(F.col(c) - F.col(f"raw_{c}"))), 6).alias(f"err_{c}") for c in _SCALED])
 
 
 _AENC_COLS = [*S.correlation_features, "Obesity_encoded"]
@@ -95,23 +95,31 @@ def e16_exploratory_encoding(spark, sf):
     return E.exploratory_encoding(bases.base_clean(spark, sf)).select("id", *_XENC_COLS)
 
 
-def _alt_sql() -> str:
+def _alt_sql(scoring: bool = False) -> str:
     from ..spec import ALT_DEFAULTS, MTRANS_ALPHABETICAL
     cols = [f"CAST({c} AS DOUBLE) AS {c}" for c in S.numeric_cols]
     cols.append("CAST(CASE WHEN Gender = 'Male' THEN 1 ELSE 0 END AS DOUBLE) AS Gender")
     cols += [f"CAST(CASE WHEN {c} = 'yes' THEN 1 ELSE 0 END AS DOUBLE) AS {c}"
              for c in ("family_history", "FAVC", "SMOKE", "SCC")]
-    cols += [f"coalesce({O.ordinal_sql(c)}, {ALT_DEFAULTS[c]}.0) AS {c}" for c in S.ordinal_cols]
+    fill = (lambda c, x: f"coalesce({x}, {ALT_DEFAULTS[c]}.0)") if scoring else (lambda c, x: x)
+    cols += [f"{fill(c, O.ordinal_sql(c))} AS {c}" for c in S.ordinal_cols]
     mw = " ".join(f"WHEN MTRANS = {O.q(k)} THEN {v}" for k, v in MTRANS_ALPHABETICAL.items())
-    cols.append(f"CAST(coalesce(CASE {mw} END, {ALT_DEFAULTS['MTRANS']}) AS DOUBLE) AS MTRANS")
+    cols.append(fill("MTRANS", f"CAST(CASE {mw} END AS DOUBLE)") + " AS MTRANS")
     return "SELECT id, Obesity, " + ", ".join(cols) + " FROM base_clean"
 
 
 @register("e17_alternative_encoding", O.with_clean() + "\n" + _alt_sql())
 def e17_alternative_encoding(spark, sf):
+    """E17 in training: unknown categories are NULL."""
     return E.alternative_encoding(bases.base_clean(spark, sf))
 
 
+@register("e17_scoring_encoding", O.with_clean() + "\n" + _alt_sql(scoring=True))
+def e17_scoring_encoding(spark, sf):
+    """E17 in scoring: unknown categories get the defaults."""
+    return E.alternative_encoding(bases.base_clean(spark, sf), scoring=True)
+
+
 @register("e18_feature_telemetry", O.with_clean(*FEAT) + "\nSELECT " + ", ".join(
     f"round(avg({s}), 6) AS {s}_mean, round(min({s}), 6) AS {s}_min, round(max({s}), 6) AS {s}_max"
     for s in ("BMI", "eating_score", "lifestyle_score"))
@@ -165,12 +173,12 @@ def k6_top_risk_factors(spark, sf):
     return K.top_risk_factors(k1_frame(spark, sf), 5)
 
 
-@register("k3_spearman_bmi", O.with_clean(*FEAT, "kb AS (SELECT BMI, CASE " + " ".join(
+@register("k3_spearman_bmi", O.with_clean(*FEAT_ALL, "kb AS (SELECT BMI, CASE " + " ".join(
     f"WHEN Obesity = {O.q(c)} THEN {i}" for i, c in enumerate(S.class_order)) + " END AS sev FROM enc)",
     O.spearman_sql("kb", ["BMI"], "sev")) + _sp_select())
 def k3_spearman_bmi(spark, sf):
-    """K3: single pair — BMI vs target ordinal on the feature base."""
-    u = unscaled(bases.feature_base(spark, sf))
+    """K3: single pair — BMI vs target ordinal over all cleaned rows."""
+    u = E.summary_encoding(bases.base_clean(spark, sf))
     sev = E.lookup_case(S.target, {c: i for i, c in enumerate(S.class_order)}).cast("double")
     return K.spearman_vs_target(u.select("BMI", sev.alias("sev")), ["BMI"], "sev")
 
@@ -178,47 +186,72 @@ def k3_spearman_bmi(spark, sf):
 _K4 = [*S.numeric_cols, "BMI"]
 
 
-@register("k4_numeric_vs_target", O.with_clean(*FEAT, "kb AS (SELECT " + ", ".join(_K4) + ", CASE " + " ".join(
-    f"WHEN Obesity = {O.q(c)} THEN {i}" for i, c in enumerate(S.class_order)) + " END AS sev FROM enc)",
+@register("k4_numeric_vs_target", O.with_analytics("kb AS (SELECT " + ", ".join(S.numeric_cols)
+    + ", Weight / (Height * Height) AS BMI, CASE " + " ".join(
+        f"WHEN Obesity = {O.q(c)} THEN {i}" for i, c in enumerate(S.class_order)) + " END AS sev FROM base_analytics)",
     O.spearman_sql("kb", _K4, "sev"))
     + "\nSELECT feature, CASE WHEN n < 3 OR rho IS NULL OR isnan(rho) THEN 0.0 ELSE round(rho, 4) END AS correlation "
     "FROM sp")
 def k4_numeric_vs_target(spark, sf):
-    """K4: numeric columns (+BMI) vs target; fewer than 3 pairs or undefined ρ → 0.0."""
-    u = unscaled(bases.feature_base(spark, sf))
+    """K4: numeric columns (+BMI) vs target over the analytics base, whose NULLs are deleted pair by
+    pair; fewer than 3 pairs or undefined ρ → 0.0."""
+    base = bases.base_analytics(spark, sf)
     sev = E.lookup_case(S.target, {c: i for i, c in enumerate(S.class_order)}).cast("double")
-    r = K.spearman_vs_target(u.select(*_K4, sev.alias("sev")), _K4, "sev")
+    u = base.select(*S.numeric_cols, E.bmi().alias("BMI"), sev.alias("sev"))
+    r = K.spearman_vs_target(u, _K4, "sev")
     return r.select("feature", F.when((F.col("n") < 3) | F.col("correlation").isNull() | F.isnan("correlation"), 0.0)
                     .otherwise(F.col("correlation")).alias("correlation"))
 
 
 _K5_BEFORE = [c for c in _XENC_COLS if c != "Obesity_Ordinal"]
-_K5_AFTER = [*_K5_BEFORE, "BMI", "eating_score", "lifestyle_score"]
+# FIXED VALUES: the transformed features that are compared; the one-hot transport columns are left out
+_K5_AFTER = ["Age", "Height", "Weight", "BMI", "FCVC", "NCP", "CH2O", "FAF", "TUE", "eating_score", "lifestyle_score",
+             "high_calorie_sedentary", "Gender", "FAVC", "SMOKE", "SCC", "family_history", "CAEC", "CALC"]
 
 
 def _k5_sql() -> str:
-    cols = ", ".join(f"x.{c}" for c in _K5_BEFORE)
-    k5 = (f"k5 AS (SELECT {cols}, e.BMI, e.eating_score, e.lifestyle_score, x.Obesity_Ordinal "
-          "FROM xenc x JOIN enc e ON x.id = e.id)")
-    sp_b = O.spearman_sql("k5", _K5_BEFORE, "Obesity_Ordinal").replace("sp_long", "spb_long").replace(
+    before = ("kx AS (SELECT x.* EXCLUDE (id) FROM xenc x)")
+    after = ("ka AS (SELECT " + ", ".join(f"e.{c}" for c in _K5_AFTER) + ", CASE " + " ".join(
+        f"WHEN e.Obesity = {O.q(c)} THEN {i}" for i, c in enumerate(S.class_order)) + " END AS Obesity_Ordinal FROM enc e)")
+    sp_b = O.spearman_sql("kx", _K5_BEFORE, "Obesity_Ordinal").replace("sp_long", "spb_long").replace(
         "sp_rank", "spb_rank").replace("sp AS", "spb AS")
-    sp_a = O.spearman_sql("k5", _K5_AFTER, "Obesity_Ordinal").replace("sp_long", "spa_long").replace(
+    sp_a = O.spearman_sql("ka", _K5_AFTER, "Obesity_Ordinal").replace("sp_long", "spa_long").replace(
         "sp_rank", "spa_rank").replace("sp AS", "spa AS")
-    return (O.with_clean(*FEAT, O.exploratory_encoding_sql("feat_base"), k5, sp_b, sp_a)
+    return (O.with_clean(*FEAT, O.exploratory_encoding_sql("feat_base"), before, after, sp_b, sp_a)
             + "\nSELECT coalesce(a.feature, b.feature) AS feature, round(b.rho, 4) AS rho_before, "
             "round(a.rho, 4) AS rho_after FROM spa a FULL OUTER JOIN spb b ON a.feature = b.feature")
 
 
 @register("k5_fe_comparison", _k5_sql())
 def k5_fe_comparison(spark, sf):
-    """K5: ρ with the target before (16 encoded inputs) and after feature engineering (+3)."""
+    """K5: ρ with the target of the 16 encoded inputs and of the 19 transformed features. Unscaled
+    values stand for the scaled ones, which have the same ranks. Both lists come from one projection
+    and are ranked in one call."""
     base = bases.feature_base(spark, sf)
-    x = E.exploratory_encoding(base)
-    u = unscaled(base).select("id", "BMI", "eating_score", "lifestyle_score")
-    k5 = x.join(u, "id")
-    before = K.spearman_vs_target(k5, _K5_BEFORE, "Obesity_Ordinal").select("feature", F.col("correlation").alias("rho_before"))
-    after = K.spearman_vs_target(k5, _K5_AFTER, "Obesity_Ordinal").select("feature", F.col("correlation").alias("rho_after"))
-    return after.join(before, "feature", "full_outer").select("feature", "rho_before", "rho_after")
+    raw, new = E.exploratory_columns(), E.encoded_columns(S)
+    both = base.select(*[raw[c].alias(f"before_{c}") for c in _K5_BEFORE], *[new[c].alias(f"after_{c}") for c in _K5_AFTER],
+                       raw["Obesity_Ordinal"].alias("Obesity_Ordinal"))
+    names = [c for c in both.columns if c != "Obesity_Ordinal"]
+    rho = K.spearman_vs_target(both, names, "Obesity_Ordinal").select(
+        F.regexp_replace("feature", "^(before|after)_", "").alias("name"), F.col("feature").startswith("before_").alias("is_before"),
+        "correlation")
+    return rho.groupBy(F.col("name").alias("feature")).agg(
+        F.max(F.when(F.col("is_before"), F.col("correlation"))).alias("rho_before"),
+        F.max(F.when(~F.col("is_before"), F.col("correlation"))).alias("rho_after"))
+
+
+@register("t4_correlations_ascending", O.with_analytics(
+    O.analytics_encoding_sql(), O.spearman_sql("aenc", S.correlation_features, "Obesity_encoded"),
+    "r AS (SELECT feature, round(rho, 4) AS correlation FROM sp)")
+    + "\nSELECT CAST(row_number() OVER (ORDER BY correlation, feature) AS INTEGER) AS position, feature, correlation, "
+    "printf('%+.3f', correlation) AS correlation_text FROM r")
+def t4_correlations_ascending(spark, sf):
+    """T4 + P13: the K1 table in ascending signed order (one row per feature) with the chart's labels."""
+    from pyspark.sql import Window
+    from ..operators.filters import signed3
+    order = Window.orderBy("correlation", "feature")
+    return k1_frame(spark, sf).select(F.row_number().over(order).alias("position"), "feature", "correlation",
+                                      signed3(F.col("correlation")).alias("correlation_text"))
 
 
 def _k2_sql() -> str:

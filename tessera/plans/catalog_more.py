@@ -10,7 +10,7 @@ from ..operators import summary as A
 from ..spec import OBESITY, SEVERE_CLASSES
 from . import bases
 from . import oracle as O
-from .catalog_features import FEAT, fitted, unscaled
+from .catalog_features import FEAT_ALL
 from .registry import register, survey_select
 
 S = OBESITY
@@ -21,7 +21,7 @@ _SCORES = ["BMI", "eating_score", "lifestyle_score"]
 
 
 def _feat_unscaled(spark, sf):
-    return unscaled(bases.feature_base(spark, sf))
+    return E.summary_encoding(bases.base_clean(spark, sf))
 
 
 def _describe5_sql(src: str, cols) -> str:
@@ -31,20 +31,20 @@ def _describe5_sql(src: str, cols) -> str:
         for c in cols)
 
 
-@register("a10_score_summaries", O.with_clean(*FEAT) + "\n" + _describe5_sql("enc", _SCORES))
+@register("a10_score_summaries", O.with_clean(*FEAT_ALL) + "\n" + _describe5_sql("enc", _SCORES))
 def a10_score_summaries(spark, sf):
     """A10: mean, median, sample std, min, max of BMI and the two scores."""
     return A.describe(_feat_unscaled(spark, sf), _SCORES, quartiles=False)
 
 
-@register("a11_flag_share", O.with_clean(*FEAT) + "\nSELECT CAST(coalesce(sum(high_calorie_sedentary), 0) AS BIGINT) "
+@register("a11_flag_share", O.with_clean(*FEAT_ALL) + "\nSELECT CAST(coalesce(sum(high_calorie_sedentary), 0) AS BIGINT) "
           "AS n_flagged, count(*) AS n_rows, " + O.pct("coalesce(sum(high_calorie_sedentary), 0)", "count(*)", 2)
           + " AS pct_flagged FROM enc")
 def a11_flag_share(spark, sf):
     return A.flag_share(_feat_unscaled(spark, sf))
 
 
-@register("a12_crosstab_flag", O.with_clean(*FEAT, "ct AS (SELECT Obesity AS class_en, count(*) AS n, "
+@register("a12_crosstab_flag", O.with_clean(*FEAT_ALL, "ct AS (SELECT Obesity AS class_en, count(*) AS n, "
           "count(*) FILTER (WHERE high_calorie_sedentary = 0) AS z, count(*) FILTER (WHERE high_calorie_sedentary = 1) AS o "
           "FROM enc GROUP BY Obesity)")
           + f"\nSELECT d.class_en, d.severity, {O.pct('ct.z', 'ct.n', 1)} AS pct_0, {O.pct('ct.o', 'ct.n', 1)} AS pct_1 "
@@ -66,7 +66,7 @@ def a13_mean_target_by_caec(spark, sf):
 _BIN = ["Gender", "FAVC", "SMOKE", "SCC", "family_history"]
 
 
-@register("a15_binary_distribution", O.with_clean(*FEAT) + "\n" + " UNION ALL ".join(
+@register("a15_binary_distribution", O.with_clean(*FEAT_ALL) + "\n" + " UNION ALL ".join(
     f"SELECT {O.q(c)} AS \"column\", {v} AS code, count(*) FILTER (WHERE {c} = {v}) AS count, "
     + O.pct(f"count(*) FILTER (WHERE {c} = {v})", "count(*)", 2) + " AS percentage FROM enc"
     for c in _BIN for v in (0, 1)))
@@ -95,13 +95,13 @@ def a17_severe_ratio(spark, sf):
     return A.severe_ratio(A.severe_share(bases.base_analytics(spark, sf), "family_history"), "yes", "no")
 
 
-@register("a18_severe_by_flag", O.with_clean(*FEAT) + _severe_sql("enc", "high_calorie_sedentary"))
+@register("a18_severe_by_flag", O.with_clean(*FEAT_ALL) + _severe_sql("enc", "high_calorie_sedentary"))
 def a18_severe_by_flag(spark, sf):
     """Share of obesity types I–III with and without the calorie+sedentary flag."""
     return A.severe_share(_feat_unscaled(spark, sf), "high_calorie_sedentary")
 
 
-@register("a19_mean_bmi_by_class", O.with_clean(*FEAT)
+@register("a19_mean_bmi_by_class", O.with_clean(*FEAT_ALL)
           + "\nSELECT d.class_en, d.severity, round(avg(e.BMI), 1) AS mean_bmi FROM enc e JOIN class_dim d "
           "ON e.Obesity = d.class_en GROUP BY d.class_en, d.severity")
 def a19_mean_bmi_by_class(spark, sf):
@@ -155,11 +155,13 @@ _A1 = ("cnt AS (SELECT Obesity AS class_en, count(*) AS n FROM base_analytics GR
 @register("a20_kpis", O.with_analytics(*_A1, f"flt AS ({_filter_sql('base_analytics', FILTERS)})",
                                        "vis AS (SELECT * FROM dist WHERE class_en IN "
                                        + O.in_list(P.visible_classes(FILTERS)) + ")")
-          + "\nSELECT (SELECT count(*) FROM flt) AS n_rows, (SELECT count(DISTINCT Obesity) FROM flt) AS n_classes, "
-          "(SELECT class_pt FROM vis ORDER BY count DESC, severity LIMIT 1) AS top_class, "
-          "(SELECT percentage FROM vis ORDER BY count DESC, severity LIMIT 1) AS top_share")
+          + "\nSELECT (SELECT count(*) FROM flt) AS n_rows, (SELECT count(*) FROM vis WHERE count > 0) AS n_classes, "
+          "CASE WHEN (SELECT sum(count) FROM vis) > 0 THEN (SELECT class_pt FROM vis ORDER BY count DESC, severity LIMIT 1) "
+          "ELSE '—' END AS top_class, "
+          "coalesce(round((SELECT CAST(max(count) AS DOUBLE) / NULLIF(sum(count), 0) * 100 FROM vis), 1), 0.0) AS top_share")
 def a20_kpis(spark, sf):
-    """Filtered row count and classes, top visible class of the unfiltered distribution."""
+    """Filtered rows, and of the unfiltered distribution's visible classes: how many have rows,
+    which is the largest and its share among them."""
     base = bases.base_analytics(spark, sf)
     return A.kpis(P.filter_spec(base, FILTERS), A.class_distribution(base), P.visible_classes(FILTERS))
 
@@ -205,14 +207,15 @@ def _a25_sql() -> str:
         x = O.scaled_sql(c)
         parts.append(f"SELECT 'after', {O.q(c)}, round(avg({x}), 4), round(stddev_samp({x}), 4), round(min({x}), 4), "
                      f"round(max({x}), 4) FROM enc CROSS JOIN fstats")
-    return O.with_clean(*FEAT) + "\n" + " UNION ALL ".join(parts)
+    return O.with_clean(*FEAT_ALL) + "\n" + " UNION ALL ".join(parts)
 
 
 @register("a25_scaling_before_after", _a25_sql())
 def a25_scaling_before_after(spark, sf):
     """Mean, sample std, min, max of the scaled columns before and after scaling."""
-    base, model = fitted(spark, sf)
-    before = unscaled(base).select(*_SC)
+    base = bases.base_clean(spark, sf)
+    model = E.SurveyFeatures().fit(base)
+    before = E.summary_encoding(base).select(*_SC)
     after = model.feature_frame(base).select(*_SC)
 
     def summ(df, stage):
@@ -227,10 +230,18 @@ def a25_scaling_before_after(spark, sf):
 @register("p13_display_formats", O.with_analytics(*_A1)
           + "\nSELECT class_en, replace(format('{:,}', count), ',', '.') AS count_text, "
           "CASE WHEN percentage - 10 >= 0 THEN 'positive' ELSE 'negative' END AS vs_ten_pct, "
-          "replace(class_en, '_', ' ') AS class_text FROM dist")
+          "replace(class_en, '_', ' ') AS class_text, printf('%.1f', percentage) || '%' AS percent_text FROM dist")
 def p13_display_formats(spark, sf):
     """Thousands separator, sign label, underscores to spaces on the A1 table."""
     d = A.class_distribution(bases.base_analytics(spark, sf))
     return d.select("class_en", P.thousands(F.col("count")).alias("count_text"),
                     P.sign_label(F.col("percentage") - 10).alias("vs_ten_pct"),
-                    P.underscores_to_spaces(F.col("class_en")).alias("class_text"))
+                    P.underscores_to_spaces(F.col("class_en")).alias("class_text"),
+                    P.percent1(F.col("percentage")).alias("percent_text"))
+
+
+@register("p5_labels_back", O.with_analytics() + "\nSELECT Obesity, count(*) AS n FROM base_analytics GROUP BY Obesity")
+def p5_labels_back(spark, sf):
+    """P5 after P3: Portuguese labels mapped back to the dataset's values, counted per class."""
+    shown = P.get_filtered_data(bases.base_analytics(spark, sf), {})
+    return P.translate_back(shown, S.target, S.class_labels).groupBy(S.target).agg(F.count("*").alias("n"))

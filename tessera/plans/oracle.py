@@ -84,13 +84,13 @@ def pct(part: str, whole: str, places: int) -> str:
 
 
 # ----------------------------------------------------------------- feature oracles
-def valid_sql() -> str:
-    conds = [f"coalesce({c} BETWEEN {lo} AND {hi}, false)" for c, (lo, hi, _, _) in S.numeric_ranges.items()]
-    conds += [f"coalesce({c} IN {in_list(v)}, false)" for c, v in S.categorical_values.items()]
-    return " AND ".join(conds)
+def encodable_sql() -> str:
+    conds = [f"{c} IN {in_list(S.frequency_ordinal)}" for c in S.ordinal_cols]
+    return " AND ".join(["Height > 0", *conds])
 
 
-FEAT_BASE = f"feat_base AS (SELECT * FROM base_clean WHERE {valid_sql()})"
+FEAT_BASE = f"feat_base AS (SELECT * FROM base_clean WHERE {encodable_sql()})"
+ALL_ROWS = "feat_base AS (SELECT * FROM base_clean)"
 
 
 def ordinal_sql(c: str) -> str:
@@ -141,10 +141,10 @@ FEATURES_SELECT = ("SELECT enc.id, " + ", ".join(f"round({scaled_sql(c)}, 6) AS
 
 
 def spearman_sql(src: str, features, target: str, places: int = 4) -> str:
-    """ρ(feature, target) per feature over all rows of ``src`` via average ranks + corr."""
+    """ρ(feature, target) per feature over the complete pairs of ``src`` via average ranks + corr."""
     lng = " UNION ALL ".join(f"SELECT {q(f)} AS feature, CAST({f} AS DOUBLE) AS v, CAST({target} AS DOUBLE) AS y FROM {src}"
                              for f in features)
-    return (f"sp_long AS ({lng}),\n"
+    return (f"sp_long AS (SELECT * FROM ({lng}) u WHERE v IS NOT NULL AND y IS NOT NULL),\n"
             "sp_rank AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY v) + "
             "(count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rx, "
             "rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,37 +29,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    On a cluster the setting is given and is read as is. Only where it is unset
-    (local tests) a private folder is created and registered.
+    The setting is read as it is. Where it is unset, a local session uses a folder under its own
+    warehouse directory; a session on a cluster gets an error, since no folder is known to be shared.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir().rstrip("/")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return path.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Materialise a frame that several jobs read.
+    """Materialise a frame that several jobs read: written as Parquet in the shared folder and read back.
 
-    Where the cluster names a shared ``spark.checkpoint.dir`` the frame is checkpointed
-    there (reliable: survives executor loss, cuts lineage); otherwise (local runs) it is
-    cached. Set ``spark.tessera.materialize`` to ``cache``/``checkpoint`` to force one.
+    The copy survives lost executors, gives the same rows to every reader (also those of a
+    range-partitioned frame) and keeps column pruning. It is marked for removal when the
+    application ends.
     """
     spark = df.sparkSession
-    mode = spark.conf.get("spark.tessera.materialize", "")
-    if not mode:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        mode = "checkpoint" if configured else "cache"
-    if mode == "checkpoint":
-        shared_dir(spark)
-        return df.checkpoint(eager=True)
-    out = df.cache()
-    out.count()
-    return out
+    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    drop_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Mark a folder of the shared store for removal when the application ends."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)

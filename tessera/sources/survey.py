@@ -1,6 +1,6 @@
 """S1/S2 sources: the survey view over the driver tables, CSV and record input.
 
-All readers give the same shape: ``id BIGINT`` plus the spec's 17 columns,
+All readers give the same shape: ``id STRING`` plus the spec's 17 columns,
 doubles for numeric columns with NaN normalised to NULL once at ingest.
 """
 
@@ -15,9 +15,9 @@ from ..spec import OBESITY, SurveySpec
 
 # FIXED VALUES — the survey projection of ``lineitem`` (FIXTURES §3); valid in Spark SQL and DuckDB.
 FIXTURE_CTES = """k AS (
-  SELECT (((CAST(l_orderkey AS BIGINT) * 8 + CAST(l_linenumber AS BIGINT)) * 100000
-           + CAST(l_partkey AS BIGINT)) * 10000 + CAST(l_suppkey AS BIGINT)) * 100
-         + CAST(l_quantity AS BIGINT) AS id,
+  SELECT concat_ws('-', CAST(CAST(l_orderkey AS BIGINT) AS VARCHAR(20)), CAST(CAST(l_linenumber AS BIGINT) AS VARCHAR(20)),
+                   CAST(CAST(l_partkey AS BIGINT) AS VARCHAR(20)), CAST(CAST(l_suppkey AS BIGINT) AS VARCHAR(20)),
+                   CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(20))) AS id,
          CAST(l_orderkey AS BIGINT) AS o, CAST(l_partkey AS BIGINT) AS p,
          CAST(l_suppkey AS BIGINT) AS s, CAST(l_linenumber AS BIGINT) AS n,
          CAST(l_quantity AS BIGINT) AS q
@@ -28,7 +28,7 @@ g AS (
          (o * 13 + p * 7 + n * 5) % 1000 AS r
   FROM k),
 b AS (
-  SELECT id,
+  SELECT id, (o * 29 + p * 23 + s * 19 + n * 11 + q) % 89 AS twice,
     CASE WHEN (p + n) % 2 = 0 THEN 'Male' ELSE 'Female' END AS Gender,
     CASE WHEN r = 17 THEN CAST(5 AS DOUBLE) ELSE CAST(140 + (p * 7 + o) % 480 AS DOUBLE) / CAST(10 AS DOUBLE) END AS Age,
     h AS Height,
@@ -50,7 +50,11 @@ b AS (
          WHEN bmi0 < CAST(35 AS DOUBLE) THEN 'Obesity_Type_I' WHEN bmi0 < CAST(40 AS DOUBLE) THEN 'Obesity_Type_II'
          ELSE 'Obesity_Type_III' END AS Obesity
   FROM g)"""
-FIXTURE_SELECT = "SELECT * FROM b UNION ALL SELECT * FROM b WHERE id % 89 = 0"
+FIXTURE_COLUMNS = ", ".join([OBESITY.id_col, *OBESITY.columns])
+FIXTURE_SELECT = f"SELECT {FIXTURE_COLUMNS} FROM b UNION ALL SELECT {FIXTURE_COLUMNS} FROM b WHERE twice = 0"
+# the same rows from one scan
+FIXTURE_SPARK_SELECT = (f"SELECT {FIXTURE_COLUMNS} FROM b LATERAL VIEW explode("
+                        "CASE WHEN twice = 0 THEN array(1, 2) ELSE array(1) END) copies AS copy")
 
 # pandas' default missing-value tokens (public pandas documentation), applied to every CSV field
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -64,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def survey_raw(spark: SparkSession, sf_dir: str, spec: SurveySpec = OBESITY) -> DataFrame:
     """The 17-column survey view derived from ``lineitem`` (scan → project; no shuffle)."""
     lineitem = table(spark, sf_dir, "lineitem")
-    df = spark.sql(f"WITH {FIXTURE_CTES.replace('FROM lineitem', 'FROM {lineitem}')} {FIXTURE_SELECT}",
+    df = spark.sql(f"WITH {FIXTURE_CTES.replace('FROM lineitem', 'FROM {lineitem}')} {FIXTURE_SPARK_SELECT}",
                    lineitem=lineitem)
     return normalize_missing(df, spec)
 
@@ -75,7 +79,7 @@ def normalize_missing(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
 
 
 def survey_schema(spec: SurveySpec = OBESITY, with_id: bool = True, as_text: bool = False) -> T.StructType:
-    fields = [T.StructField(spec.id_col, T.StringType() if as_text else T.LongType())] if with_id else []
+    fields = [T.StructField(spec.id_col, T.StringType())] if with_id else []
     for c in spec.columns:
         num = c in spec.numeric_ranges
         fields.append(T.StructField(c, T.StringType() if as_text or not num else T.DoubleType()))
@@ -83,30 +87,49 @@ def survey_schema(spec: SurveySpec = OBESITY, with_id: bool = True, as_text: boo
 
 
 def read_survey_csv(spark: SparkSession, path: str, spec: SurveySpec = OBESITY, with_id: bool = True) -> DataFrame:
-    """Header CSV → typed survey frame. Fields are read as text so every pandas NA token
-    (not just one ``nullValue``) becomes NULL; numbers then go through ``try_cast``."""
-    raw = (spark.read.schema(survey_schema(spec, with_id, as_text=True))
-           .option("header", True).option("mode", "PERMISSIVE")
+    """Header CSV → typed survey frame. Columns are taken by their header name, in any order; a
+    column the file lacks is absent from the result, so that V1 can report it, and columns outside
+    the spec are dropped. Fields are read as text so every pandas NA token (not just one
+    ``nullValue``) becomes NULL; numbers then go through ``try_cast``.
+
+    A file without an id column gets one if ``with_id``: a digest of the row's fields and the
+    number of the copy among equal rows, which does not depend on how the file is split.
+    """
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    out = {}
-    for f in raw.schema.fields:
-        c = F.col(f.name)
+    wanted = ([spec.id_col] if with_id else []) + list(spec.columns)
+    present = [c for c in wanted if c in raw.columns]
+    out = []
+    for name in present:
+        c = F.col(f"`{name}`")
         text = F.when(c.isin(NA_TOKENS), F.lit(None)).otherwise(c)
-        if f.name == spec.id_col:
-            out[f.name] = F.expr(f"try_cast(`{f.name}` AS BIGINT)")
-        elif f.name in spec.numeric_ranges:
-            num = nan_to_null(F.expr(f"try_cast(trim(`{f.name}`) AS DOUBLE)"))
-            out[f.name] = F.when(text.isNull(), F.lit(None).cast("double")).otherwise(num)
-        else:
-            out[f.name] = text
-    return raw.withColumns(out)
+        if name in spec.numeric_ranges:
+            num = nan_to_null(F.expr(f"try_cast(trim(`{name}`) AS DOUBLE)"))
+            text = F.when(text.isNull(), F.lit(None).cast("double")).otherwise(num)
+        out.append(text.alias(name))
+    df = raw.select(*out)
+    return assign_id(df, spec) if with_id and spec.id_col not in present else df
+
+
+def assign_id(df: DataFrame, spec: SurveySpec = OBESITY) -> DataFrame:
+    """Adds an id to rows that have none: digest of the values, then the number of the copy.
+
+    Equal rows are counted before they are numbered, so a row that is repeated many times is
+    never gathered in one task: ``explode`` numbers the copies of one aggregated row.
+    """
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in df.columns]
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    key = F.concat_ws("-", F.md5(F.concat_ws("\u0001", *fields)), F.col("_i").cast("string"))
+    return numbered.select(key.alias(spec.id_col), *df.columns)
 
 
 def records(spark: SparkSession, rows: list, spec: SurveySpec = OBESITY) -> DataFrame:
     """A list of record dicts (for example one form submission) → frame with the input schema."""
-    fields = [T.StructField(spec.id_col, T.LongType())] + [
+    fields = [T.StructField(spec.id_col, T.StringType())] + [
         T.StructField(c, T.DoubleType() if c in spec.numeric_ranges else T.StringType()) for c in spec.input_cols]
     schema = T.StructType(fields)
-    data = [tuple(r.get(f.name) for f in fields) for r in rows]
+    text = lambda f, v: str(v) if f.name == spec.id_col and v is not None else v
+    data = [tuple(text(f, r.get(f.name)) for f in fields) for r in rows]
     return spark.createDataFrame(data, schema)
 

@@ -85,6 +85,7 @@ RISK_LEVELS = {
 }
 RISK_DEFAULT = "moderado"
 RISK_LABELS = {"baixo": "Baixo", "moderado": "Moderado", "alto": "Alto", "muito_alto": "Muito Alto"}
+RISK_COLORS = {"baixo": "#22C55E", "moderado": "#EAB308", "alto": "#EF4444", "muito_alto": "#B91C1C"}
 
 FEATURE_INTERPRETATIONS_PT = {
     "Weight": "Peso corporal elevado está diretamente associado à obesidade",

@@ -32,4 +32,5 @@ def survey_rows():
 def make_survey(spark, rows):
     from tessera.sources.survey import survey_schema
     schema = survey_schema()
-    return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
+    value = lambda f, v: str(v) if f.name == "id" and v is not None else v
+    return spark.createDataFrame([tuple(value(f, r.get(f.name)) for f in schema.fields) for r in rows], schema)

@@ -39,15 +39,15 @@ def test_null_counts_as_violation(spark, survey_rows):
     survey_rows[0]["Weight"] = None
     survey_rows[1]["CALC"] = None
     v = {(r["id"], r["column"]) for r in V.violations(make_survey(spark, survey_rows)).collect()}
-    assert v == {(1, "Weight"), (2, "CALC")}
+    assert v == {("1", "Weight"), ("2", "CALC")}
 
 
 def test_single_record_valid_and_invalid(spark, survey_rows):
     good = {k: v for k, v in survey_rows[0].items() if k != "Obesity"}
     bad = dict(good, id=9, Age=-1.0)
     out = {r["id"]: r["errors"] for r in V.record_errors(records(spark, [good, bad])).collect()}
-    assert out[1] == []
-    assert out[9] == ["Age value -1.0 is out of range [10.0, 100.0]"]
+    assert out["1"] == []
+    assert out["9"] == ["Age value -1.0 is out of range [10.0, 100.0]"]
 
 
 def test_single_record_missing_and_text_field(spark):
