@@ -38,8 +38,9 @@ def exact_quantiles(df: DataFrame, value_cols, probs, by=(), bins: int = 4096) -
     Returns ``(by..., column, p, n, value)``; groups with no non-null value are absent.
     """
     by = list(by)
-    # the candidate scan is repeated once per refinement pass → materialise the long column set once
-    long = materialize(to_long(df, value_cols, by))
+    # each pass reads the wide frame again (pruned to these columns) and unpivots it on the way to
+    # the histogram: nothing is copied
+    long = to_long(df, value_cols, by)
     keys = by + ["column"]
 
     stats = long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -50,7 +51,7 @@ def exact_quantiles(df: DataFrame, value_cols, probs, by=(), bins: int = 4096) -
                .withColumn("k1", F.ceil("h").cast("long"))
                .withColumn("frac", F.col("h") - F.col("k0")))
     targets = targets.cache()
-    cached = [targets, long]
+    cached = [targets]
 
     state = (targets.select(*keys, F.explode(F.array("k0", "k1")).alias("k"), "lo", "hi")
              .distinct()

@@ -28,88 +28,74 @@ def _rho(cov, vx, vy):
     return F.when((vx > 0) & (vy > 0), cov / den)
 
 
-def spearman_vs_target(df: DataFrame, features, target: str, places: int = 4) -> DataFrame:
-    """K1/K3/K4: ρ(feature, target) for each feature over the rows where both are there (pairwise
-    deletion; callers that delete listwise have no NULLs left). Returns ``feature, correlation,
-    abs_correlation, n``; a feature without any pair has no row.
+def pair_spearman(df: DataFrame, pairs) -> DataFrame:
+    """ρ(a, b) for each pair of columns over the rows where both are there: ``a, b, n, rho``. A pair
+    without any complete row has no row; one with a constant side has a NULL ρ.
 
-    The rows are read once into (feature, value, target, count) cells; both rankings are taken from
-    the margins of that table, per feature.
+    The rows are read once into (pair, value, value, count) cells; both rankings are taken from the
+    margins of that table, per pair.
     """
-    features = list(features)
-    items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]
-    long = df.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*items)).alias("x")).select("x.*", "y")
+    pairs = list(pairs)
+    items = [F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("v"), F.col(b).cast("double").alias("y"))
+             for i, (a, b) in enumerate(pairs)]
+    long = df.select(F.explode(F.array(*items)).alias("x")).select("x.*")
     long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & F.col("y").isNotNull() & ~F.isnan("y"))
-    cells = materialize(long.groupBy("feature", "v", "y").agg(F.count("*").alias("cnt")))
-    rx = average_ranks(cells, ["feature"], "v", "cnt").select("feature", "v", F.col("rank").alias("_rx"))
-    ry = average_ranks(cells, ["feature"], "y", "cnt").select("feature", "y", F.col("rank").alias("_ry"))
-    joined = cells.join(rx, ["feature", "v"]).join(ry, ["feature", "y"])
+    cells = materialize(long.groupBy("pair", "v", "y").agg(F.count("*").alias("cnt")))
+    rx = average_ranks(cells, ["pair"], "v", "cnt").select("pair", "v", F.col("rank").alias("_rx"))
+    ry = average_ranks(cells, ["pair"], "y", "cnt").select("pair", "y", F.col("rank").alias("_ry"))
+    joined = cells.join(rx, ["pair", "v"]).join(ry, ["pair", "y"])
     c, x, y = F.col("cnt"), F.col("_rx"), F.col("_ry")
-    agg = joined.groupBy("feature").agg(F.sum("cnt").alias("n"), F.sum(c * x * y).alias("_sxy"),
-                                        F.sum(c * x * x).alias("_sxx"), F.sum(c * y * y).alias("_syy"))
+    agg = joined.groupBy("pair").agg(F.sum("cnt").alias("n"), F.sum(c * x * y).alias("_sxy"),
+                                     F.sum(c * x * x).alias("_sxx"), F.sum(c * y * y).alias("_syy"))
     m2 = F.col("n") * ((F.col("n") + 1) / 2.0) * ((F.col("n") + 1) / 2.0)
     rho = _rho(F.col("_sxy") - m2, F.col("_sxx") - m2, F.col("_syy") - m2)
-    return agg.select("feature", F.round(rho, places).alias("correlation"), F.round(F.abs(rho), places).alias("abs_correlation"),
-                      F.col("n").cast("long").alias("n"))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    return agg.join(F.broadcast(names), "pair").select("a", "b", F.col("n").cast("long").alias("n"), rho.alias("rho"))
+
+
+def spearman_vs_target(df: DataFrame, features, target: str, places: int = 4) -> DataFrame:
+    """K1/K3/K4: ρ(feature, target) for each feature, with pairwise deletion (callers that delete
+    listwise have no NULLs left). Returns ``feature, correlation, abs_correlation, n``."""
+    r = pair_spearman(df, [(f, target) for f in features])
+    return r.select(F.col("a").alias("feature"), F.round("rho", places).alias("correlation"),
+                    F.round(F.abs("rho"), places).alias("abs_correlation"), "n")
 
 
 def spearman_matrix(df: DataFrame, cols, id_col: str = "id", places: int = 4) -> DataFrame:
     """K2: full Spearman matrix with pairwise deletion, long format ``(a, b, rho)``.
 
-    Columns without NULLs share one ranking over all rows; every pair involving a
-    column with NULLs is ranked over that pair's complete rows. Per subset: ranks
-    per column from the distinct-value tables (distributed prefix sums), looked up per
-    row, then Pearson over the rank vectors (``ml.stat.Correlation``).
+    Columns without NULLs share one ranking over all rows: ranks per column from the distinct-value
+    tables, looked up per row, then Pearson over the rank vectors (``ml.stat.Correlation``, one
+    tree-aggregated Gramian of k × k numbers). All pairs with a column that has NULLs are counted in
+    one scan and ranked over their complete rows (``pair_spearman``).
     """
     cols = list(cols)
+    spark = df.sparkSession
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
     clean = [c for c in cols if nulls[c] == 0]
-    subsets = {(): (clean, list(combinations(clean, 2)))}
-    for a, b in combinations(cols, 2):
-        if a in clean and b in clean:
-            continue
-        key = tuple(sorted({x for x in (a, b) if x not in clean}))
-        members, pairs = subsets.setdefault(key, ([], []))
-        for x in (a, b):
-            if x not in members:
-                members.append(x)
-        pairs.append((a, b))
-    pieces = []
-    for key, (members, pairs) in subsets.items():
-        if not pairs:
-            continue
-        sub = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in members])
-        for k in key:
-            sub = sub.where(F.col(k).isNotNull())
-        sub = materialize(sub)  # read by the ranking and by the rank lookups
+    mixed = [(a, b) for a, b in combinations(cols, 2) if not (a in clean and b in clean)]
+    rows = []
+    if len(clean) > 1:
+        sub = df.select(*[F.col(c).cast("double").alias(c) for c in clean])
         long = sub.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in members])).alias("x")) \
-            .select("x.col", "x.v").where(F.col("v").isNotNull())
+            F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in clean])).alias("x")).select("x.col", "x.v")
         ranks = materialize(average_ranks(long, ["col"], "v").select("col", "v", "rank"))
-        card = {r["col"]: r["n"] for r in ranks.groupBy("col").agg(F.count("*").alias("n")).collect()}
-        # rank lookup per column on the wide rows: low-cardinality columns (binary/ordinal, hot
-        # values) join a broadcast of their ≤100k-row rank table (size known from ``card``);
-        # high-cardinality columns use a shuffle join on the value, whose keys are spread out
         per_row = sub
-        for c in members:
+        for c in clean:  # a rank table is as large as its column has values; Spark picks the join by its size
             rc = ranks.where(F.col("col") == c).select(F.col("v").alias(c), F.col("rank").alias(f"_r_{c}"))
-            per_row = per_row.join(F.broadcast(rc) if card.get(c, 0) <= 100_000 else rc, c, "left")
-        per_row = per_row.select(*[F.col(f"_r_{c}").alias(c) for c in members])
-        # every member is non-NULL on the subset's rows, so Pearson of the rank columns over the
-        # subset is the pairwise Spearman ρ: one tree-aggregated Gramian (k×k, k = #columns)
-        vec = VectorAssembler(inputCols=members, outputCol="_ranks").transform(per_row).select("_ranks")
+            per_row = per_row.join(rc, c, "left")
+        per_row = per_row.select(*[F.col(f"_r_{c}").alias(c) for c in clean])
+        vec = VectorAssembler(inputCols=clean, outputCol="_ranks").transform(per_row).select("_ranks")
         mat = Correlation.corr(vec, "_ranks", "pearson").first()[0].toArray()
-        idx = {c: i for i, c in enumerate(members)}
-        rows = []
-        for a, b in pairs:
-            v = float(mat[idx[a], idx[b]])
+        for (i, a), (j, b) in combinations(enumerate(clean), 2):
+            v = float(mat[i, j])
             rows.append((a, b, None if math.isnan(v) else v))
-        pieces.append(df.sparkSession.createDataFrame(rows, "a string, b string, rho double"))
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
+    out = spark.createDataFrame(rows, "a string, b string, rho double")
+    if mixed:
+        every = spark.createDataFrame(mixed, "a string, b string")
+        out = out.unionByName(every.join(pair_spearman(df, mixed), ["a", "b"], "left").select("a", "b", "rho"))
     sym = out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))
-    diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "a string, b string, rho double")
+    diag = spark.createDataFrame([(c, c, 1.0) for c in cols], "a string, b string, rho double")
     return sym.unionByName(diag).select("a", "b", F.round("rho", places).alias("rho"))
 
 
