@@ -43,14 +43,3 @@ def class_info_dim(spark: SparkSession, spec: SurveySpec = OBESITY) -> DataFrame
 def feature_text_dim(spark: SparkSession) -> DataFrame:
     rows = list(S.FEATURE_INTERPRETATIONS_PT.items())
     return F.broadcast(spark.createDataFrame(rows, "feature string, interpretation_pt string"))
-
-
-def option_dim(spark: SparkSession) -> DataFrame:
-    """Every form label → dataset value, keyed by field (``field, label, value``)."""
-    rows = []
-    for field, opts in [("Gender", S.GENDER_OPTIONS), ("CAEC", S.FREQUENCY_OPTIONS),
-                        ("CALC", S.FREQUENCY_OPTIONS), ("MTRANS", S.MTRANS_OPTIONS)]:
-        rows += [(field, k, v) for k, v in opts.items()]
-    for field, opts in [("FCVC", S.FCVC_OPTIONS), ("CH2O", S.CH2O_OPTIONS), ("TUE", S.TUE_OPTIONS)]:
-        rows += [(field, k, str(v)) for k, v in opts.items()]
-    return F.broadcast(spark.createDataFrame(rows, "field string, label string, value string"))

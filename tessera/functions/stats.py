@@ -1,4 +1,4 @@
-"""Exact order statistics that stay distributed and bounded per task.
+"""Exact order statistics that stay distributed, with tasks of bounded size.
 
 * ``exact_quantiles`` — linear-interpolated quantiles (numpy/pandas "linear",
   DuckDB ``quantile_cont``) found by histogram refinement: every pass groups
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 _MAX_PASSES = 200
+#: Rows of one range of a running total, about; there are as many ranges as that takes.
+RANGE_ROWS = 250_000
 
 
 def to_long(df: DataFrame, value_cols, by=(), var="column", val="v") -> DataFrame:
@@ -126,7 +128,7 @@ def running_total(df: DataFrame, group_cols, order_cols, value_col, out_col,
     # sample and the shuffle read it once; the partition id must be the same for both branches
     # below (local sums and totals), so the partitioned frame is materialised too
     df = materialize(df)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     rp = materialize(df.repartitionByRange(parts, *[F.col(g) for g in group_cols], *order_exprs)
                      .withColumn("_pid", F.spark_partition_id()))
     local_w = (Window.partitionBy("_pid", *group_cols).orderBy(*order_exprs)

@@ -18,7 +18,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import flag, in_domain, in_range, lookup_case
+from ..functions.exprs import flag, lookup_case
 from ..spec import EATING_SCORE_MAX, LIFESTYLE_CLIP, MTRANS_ACTIVITY, MTRANS_ALPHABETICAL, ALT_DEFAULTS, OBESITY, SurveySpec
 from .validate import height_guard
 
@@ -83,16 +83,6 @@ def encoded_columns(spec: SurveySpec = OBESITY) -> dict:
     return out
 
 
-def valid_rows(spec: SurveySpec = OBESITY, with_target: bool = True) -> Column:
-    """Row-local predicate: every range and domain rule holds (no join against violations)."""
-    conds = [in_range(c, lo, hi) for c, (lo, hi, _, _) in spec.numeric_ranges.items()]
-    conds += [in_domain(c, v) for c, v in spec.categorical_values.items() if with_target or c != spec.target]
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
-
-
 def encodable_rows(spec: SurveySpec = OBESITY) -> Column:
     """Row-local predicate: the strict ordinals (E6) and the body-mass index (V9) are defined."""
     out = F.coalesce(F.col("Height") > 0, F.lit(True))

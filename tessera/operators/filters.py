@@ -69,13 +69,3 @@ def percent1(x: Column) -> Column:
 def underscores_to_spaces(c: Column) -> Column:
     """P14."""
     return F.translate(c, "_", " ")
-
-
-def ordered_unique(cols) -> list:
-    """Order-preserving de-duplication of a column list."""
-    seen, out = set(), []
-    for c in cols:
-        if c not in seen:
-            seen.add(c)
-            out.append(c)
-    return out

@@ -1,7 +1,8 @@
 """Registered queries: one per operator ID, each with its oracle SQL where SQL can say it.
 
-Every callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole survey view derived from ``lineitem``. Doubles are rounded in the query
+Every callable takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
+survey view derived from ``lineitem``; those that need statistics, ranks or quantiles
+run the jobs for them when called. Doubles are rounded in the query
 (and identically in the oracle) so both engines' last-digit noise cannot differ.
 """
 

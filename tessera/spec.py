@@ -1,7 +1,7 @@
 """Survey specification: the schema, domains and lookup tables every operator reads.
 
-Operators never name a survey column directly; they read it from a ``SurveySpec``.
-``OBESITY`` is the spec of the survey this project was built for.
+Schema-wide operators read their columns from a ``SurveySpec``; the scores, encodings and alerts
+that are defined on certain answers name them. ``OBESITY`` is the spec of the survey this project was built for.
 """
 
 from __future__ import annotations
@@ -112,7 +112,6 @@ BMI_BANDS = [(18.5, "Abaixo do Peso", "#3B82F6"), (24.9, "Normal", "#22C55E"),
 
 # contextual alert rules: defaults used when an answer is absent
 ALERT_DEFAULTS = {"family_history": "no", "SMOKE": "no", "FAF": 1.0, "FAVC": "no", "CH2O": 2.0}
-ALERT_CODES = ["family_history", "smoking", "calorie_sedentary", "low_activity", "low_water"]
 
 # form-label decoding (Portuguese label -> dataset value)
 GENDER_OPTIONS = {"Masculino": "Male", "Feminino": "Female"}
