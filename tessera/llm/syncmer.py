@@ -86,19 +86,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the next document in descending order of doc_id; after the last comes the first. Rows with
     equal ids are ordered by a hash of the text; NULL ids come last; NULL texts are empty. The only
     row of a table is its own next. Returns doc_id, n_chars, edited, fingerprint,
-    edited_fingerprint, near_edited, near_next. An empty table gives no rows; other columns are not
-    read. Texts are shuffled by key, and what is taken from the next document once more.
+    edited_fingerprint, near_edited, near_next, next_id, next_chars. An empty table gives no rows; other columns are not
+    read. Texts are shuffled by key, and what is taken from the next document once more. next_id and
+    next_chars tell which document that is; with them, both sides of the last join read the same
+    columns, so that Spark reuses the shuffle of the texts.
     """
     prev = followers(docs)
     rows = _numbered(_rows(docs)).alias("r").join(prev.alias("p"), (F.col("r.d") == F.col("p.d")) & (F.col("r.th") == F.col("p.th"))
                                                   & (F.col("r.occ") - F.col("p.occ") == 0)).select("r.*", "p.prev")
     mine = sketch(rows, "text", "own")
     given = mine.select(F.col("prev.d").alias("d"), F.col("prev.th").alias("th"), F.col("prev.occ").alias("occ"), F.col("own").alias("next"),
+                        F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"),
                         F.expr("substring(text, 1, cast(floor(prev.n_chars / 2) as int))").alias("tail"))
     both = (mine.drop("prev").alias("m").join(given.alias("g"), (F.col("m.d") == F.col("g.d")) & (F.col("m.th") == F.col("g.th"))
                                               & (F.col("m.occ") - F.col("g.occ") == 0))
-            .select("m.doc_id", "m.n_chars", "m.own", "g.next",
+            .select("m.doc_id", "m.n_chars", "m.own", "g.next", "g.next_id", "g.next_chars",
                     F.concat(F.expr("substring(m.text, 1, cast(m.n_chars - floor(m.n_chars / 2) as int))"), F.col("g.tail")).alias("edited")))
     done = sketch(both, "edited", "after")
     return done.select("doc_id", "n_chars", "edited", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("after")).alias("edited_fingerprint"),
-                       likeness(F.col("own"), F.col("after")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+                       likeness(F.col("own"), F.col("after")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+                       "next_id", "next_chars")
