@@ -11,6 +11,7 @@ from .common import documents, table
 from .langid import held_out, identify, learn
 from .mixing import mix
 from .ngram_join import near_duplicates
+from .oracles import NGRAM_JOIN, SUBSTRING, SUFFIX
 from .packing import pack
 from .pii import personal_data
 from .quality import classify
@@ -20,7 +21,7 @@ from .suffix import later_bytes
 from .syncmer import fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING, "op4_suffix_dedup": SUFFIX, "op9_ngram_jaccard_join": NGRAM_JOIN}
 
 
 def query(fn):
@@ -72,7 +73,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fingerprints(documents(spark, sf_dir))
-    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+                      "next_id", "next_chars")
 
 
 @query
