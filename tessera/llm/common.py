@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: the shared scratch folder and the table reader."""
+"""Helpers shared by the corpus operators: intermediate tables, words and the table reader."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_at_exit, shared_dir
+
 # executors need not have this package installed: its functions travel with the tasks
 cloudpickle.register_pickle_by_value(importlib.import_module(__package__))
 
@@ -18,36 +20,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the session names none (a local test session), a folder under the session's own
-    warehouse directory is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/corpus-{spark.sparkContext.applicationId}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors and keeps column pruning. The folder is marked
-    for removal when the application ends. The shuffle files that led to it aren't needed any
+    Cuts the lineage, survives lost executors and keeps column pruning. The folder goes when the
+    application ends, or before by ``discard``. The shuffle files that led to it aren't needed any
     more; a collection on the driver lets Spark's cleaner remove them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    drop_at_exit(spark, path)
     schema = df.schema
     del df
     gc.collect()
-    jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
                  .unionByName(low.select("v", F.col("m").alias("u"))).filter("v != u").distinct())
-        stars = saved(small, "stars")
+        old, stars = stars, saved(small, "stars")
+        discard(old)
         # a table of stars has one edge per vertex, and no vertex that is both a leaf and a centre
         n, state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before or not n:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .common import saved
+from .common import discard, saved
 
 _MISSING = -(1 << 63)
 
@@ -68,7 +68,9 @@ def candidates(rows: DataFrame, unit: str, length: int, k: int) -> DataFrame:
     repeated = saved(counts.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
     found = rows.select("d", "th", "text").mapInArrow(
         _segments(unit, length, k), "anchor bigint, hash bigint, d bigint, th int, start int, shape int")
-    return saved(found.join(repeated, "anchor"), "segments")
+    segments = saved(found.join(repeated, "anchor"), "segments")
+    discard(repeated)
+    return segments
 
 
 def types(segments: DataFrame) -> DataFrame:
@@ -97,12 +99,14 @@ def halves(kinds: DataFrame, rows: DataFrame, unit: str, length: int, k: int, pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists = batch.column(3).to_pylist()
+            begin, end, found = flat(batch.column(3))
             for first, texts in winnow.batches(_texts(batch.column(2))):
                 units, ends = winnow.UNITS[unit](texts)
                 h = winnow.Hashes(units)
-                of, place, shape, anchor, c = (np.array(x, np.int64) for x in zip(*(
-                    (i, s["start"], s["shape"], s["anchor"], s["c"]) for i in range(len(texts)) for s in lists[first + i])))
+                rows_ = slice(first, first + len(texts))
+                of = np.repeat(np.arange(len(texts)), end[rows_] - begin[rows_])
+                every = slice(begin[first], end[first + len(texts) - 1])  # lists lie one after the other
+                place, shape, anchor, c = (found[x][every] for x in ("start", "shape", "anchor", "c"))
                 base = np.where(of > 0, ends[of - 1], 0)
                 n, off = shape >> 16, shape & 0xFFFF
                 at = place + off
@@ -116,8 +120,8 @@ def halves(kinds: DataFrame, rows: DataFrame, unit: str, length: int, k: int, pa
                     if payload == "windows":
                         size = b - a
                         starts = np.repeat(np.array(lo, np.int64) - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        flat = h.runs(starts, starts + length).view(np.int64)
-                        data = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
+                        every_window = h.runs(starts, starts + length).view(np.int64)
+                        data = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(every_window))
                     else:
                         text = b"".join(texts)
                         data = pa.array([text[x:x + m + length - 1] for x, m in zip(lo, (b - a).tolist())], pa.binary())
@@ -129,7 +133,9 @@ def halves(kinds: DataFrame, rows: DataFrame, unit: str, length: int, k: int, pa
     found = saved(rows.select("d", "th", "text").join(firsts, ["d", "th"]).select("d", "th", "text", "s").mapInArrow(
         run, f"anchor bigint, side int, context bigint, d bigint, th int, start int, n int, c bigint, {payload} {kind}"), "halves")
     alive = found.groupBy("anchor", "side", "context").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    return found.join(alive, ["anchor", "side", "context"])
+    kept = saved(found.join(alive, ["anchor", "side", "context"]).drop("side", "context"), "alive")
+    discard(found)
+    return kept
 
 
 def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -138,12 +144,19 @@ def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
     return rows.join(by_row, ["d", "th"], "left").select("doc_id", "text", "p")
 
 
-def covered(size: int, places: list[dict] | None, length: int) -> np.ndarray:
-    """Which of ``size`` units the windows at ``places`` cover."""
-    edge = np.zeros(size + 1, np.int64)
-    if places:
-        start = np.array([p["start"] for p in places])
-        stop = start + np.array([p["n"] for p in places]) + length - 1
-        np.add.at(edge, start, 1)
-        np.add.at(edge, stop, -1)
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """A column of lists of structs as arrays: where each row's list begins and ends (a NULL list is
+    empty), and the fields of all elements."""
+    ends = column.offsets.to_numpy()
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    values = column.values
+    fields = {f.name: values.field(i).to_numpy().astype(np.int64) for i, f in enumerate(values.type)}
+    return ends[:-1], np.where(null, ends[:-1], ends[1:]), fields
+
+
+def covered(size: int, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``size`` units the windows of ``length`` units cover, n of them from each start."""
+    if not len(start):
+        return np.zeros(size, bool)
+    edge = np.bincount(start, minlength=size + 1) - np.bincount(start + n + length - 1, minlength=size + 1)
     return np.cumsum(edge)[:size] > 0

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-from .repeats import candidates, covered, halves, keyed, types, windows_of, with_places
+from .common import discard, saved
+from .repeats import candidates, covered, flat, halves, keyed, types, windows_of, with_places
 
 
 def repeated_words(docs: DataFrame, length: int = 35) -> DataFrame:
@@ -36,20 +36,23 @@ def repeated_words(docs: DataFrame, length: int = 35) -> DataFrame:
     # whole segments that occur again
     again = kinds.filter("c > 1").select("anchor", "hash")
     whole = saved(segments.join(again, ["anchor", "hash"]).select("d", "th", "start", windows_of(F.col("shape")).alias("n")), "whole")
+    discard(segments)
     # windows of the others, against all that share their anchor
-    open_ = saved(halves(kinds, rows, "words", length, k, "windows")
-                  .select("anchor", "d", "th", "start", "c", F.posexplode("windows").alias("i", "w")), "windows")
+    alive = halves(kinds, rows, "words", length, k, "windows")
+    open_ = alive.select("anchor", "d", "th", "start", "c", F.posexplode("windows").alias("i", "w"))
     twice = open_.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     single = (open_.filter("c = 1").join(twice, ["anchor", "w"])
               .select("d", "th", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n")))
     places = saved(whole.unionByName(single), "places")
+    discard(kinds, whole, alive)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, places in zip(batch.column(1), batch.column(2)):
+            begin, end, found = flat(batch.column(2))
+            for text, a, b in zip(batch.column(1), begin, end):
                 words = (text.as_py() or "").encode().split()
-                gone = covered(len(words), places.as_py(), length)
+                gone = covered(len(words), found["start"][a:b], found["n"][a:b], length)
                 total.append(len(words))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(words if not removed[-1] else [w for w, g in zip(words, gone.tolist()) if not g]).decode())

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .common import saved
-from .repeats import candidates, covered, halves, keyed, types, windows_of, with_places
+from .common import discard, saved
+from .repeats import candidates, covered, flat, halves, keyed, types, windows_of, with_places
 
 #: Most occurrences of one anchor that are sorted in one block.
 HOT = 10_000
@@ -207,9 +207,10 @@ def later_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     place = F.struct("d", "th", "start", "shape")
     whole = saved(segments.join(again, ["anchor", "hash"]).filter(place != F.col("first"))
                   .select("d", "th", "start", windows_of(F.col("shape")).alias("n")), "whole")
-    open_ = saved(halves(kinds, rows, "bytes", length, k, "bytes").select("anchor", "d", "th", "start", "n", "bytes"), "open")
+    discard(segments)
+    open_ = halves(kinds, rows, "bytes", length, k, "bytes")
     hot = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT).select("anchor")
-    few = open_.join(hot, "anchor", "left_anti")
+    few = open_.join(hot, "anchor", "left_anti").select("anchor", "d", "th", "start", "n", "bytes")
     shape = "d bigint, th int, start int, n int"
     sorted_ = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_blocks(length), shape)
     strings = (open_.join(hot, "anchor").select("anchor", "d", "th", "start", "bytes")
@@ -219,13 +220,15 @@ def later_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     earliest = strings.groupBy("anchor", "w").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     hashed = strings.join(earliest, ["anchor", "w"]).filter("at != first").select("at.d", "at.th", "at.start", F.lit(1).alias("n"))
     places = saved(whole.unionByName(sorted_).unionByName(hashed), "places")
+    discard(kinds, whole, open_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, places in zip(batch.column(1), batch.column(2)):
+            begin, end, found = flat(batch.column(2))
+            for text, a, b in zip(batch.column(1), begin, end):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                gone = covered(len(data), places.as_py(), length)
+                gone = covered(len(data), found["start"][a:b], found["n"][a:b], length)
                 for col, v in zip(out, (len(data), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)),
                                         data[~gone].tobytes())):
                     col.append(v)
