@@ -256,7 +256,8 @@ def redacted(text: Column, found: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; all columns stay, and ``n_chars``, if
     there is one, follows the text. NULL texts stay NULL."""
-    found = personal_data(docs).select("d", "th", "found").dropDuplicates(["d", "th"])
+    # rows with spans only; how many there are is not bounded, so the plan is a shuffle at every size
+    found = personal_data(docs).filter(F.size("found") > 0).select("d", "th", "found").dropDuplicates(["d", "th"]).hint("merge")
     text = F.coalesce(F.col("r.text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
     rows = rows.withColumn("d", F.coalesce(F.col("r.doc_id"), F.lit(_MISSING))).withColumn("th", F.hash(text))
