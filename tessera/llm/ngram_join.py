@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .common import count_words, saved
+from .common import count_words, discard, saved
 from .graph import components
 
 #: Rows of a signature that are compared before sets are, and the least share that must agree.
-ROWS = 96
-PLAUSIBLE = 0.6
+ROWS = 48
+PLAUSIBLE = 0.55
 #: Texts of one block.
 BLOCK = 256
 
@@ -221,12 +221,17 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     meeting = signed.select("t", "sig", F.explode("bands").alias("band")).join(met, "band")
     near = saved(_blocked(meeting, "band", "n").select("band", "bi", "bj", "t", "sig").repartition("band", "bi", "bj")
                  .sortWithinPartitions("band", "bi", "bj").mapInArrow(_meet, "a binary, b binary"), "meetings")
+    discard(signed)
     hoods = components(near)
+    discard(near)
     sizes = hoods.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    # one row per text of a neighbourhood, taken from one of its documents
-    wanted = (hoods.join(sizes, "root").join(texts, F.col("v") == F.col("t")).select("t", "root", "n", "copies"))
-    with_text = (rows.select("t", "text").join(wanted, "t").mapInArrow(_sets(n), "t binary, root binary, n bigint, copies bigint, grams array<bigint>")
-                 .dropDuplicates(["t"]))
+    # one row per text of a neighbourhood: its document with the least id, so that copies of a text
+    # neither meet in one task nor are shuffled on; rows that are wholly repeated are in one partition
+    wanted = (hoods.join(sizes, "root").join(texts, F.col("v") == F.col("t"))
+              .select("t", F.coalesce("least", F.lit(-(1 << 63))).alias("d"), "root", "n", "copies"))
+    with_text = (rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "t", "text").join(wanted, ["d", "t"])
+                 .dropDuplicates(["d", "t"]).select("t", "root", "n", "copies", "text")
+                 .mapInArrow(_sets(n), "t binary, root binary, n bigint, copies bigint, grams array<bigint>"))
     found = saved(_blocked(with_text, "root", "n").select("root", "bi", "bj", "t", "mine", "copies", "grams")
                   .repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
                   .mapInArrow(_verify(threshold), "t binary, root binary, texts bigint, docs bigint"), "verified")
