@@ -19,7 +19,8 @@ _MISSING = -(1 << 63)
 
 def sketch(rows: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: the sorted least hashes (int) of the closed syncmers of column ``text``. A text
-    of fewer than K words has one, of all its words; one without words has none."""
+    that has no closed syncmer (always below K words, at times with 5 or 6) has one hash, of all its
+    words; one without words has none."""
     inner = K - S + 1
     rows = rows.withColumn("_w", words_of(F.col(text)))
     w = F.col("_w")
@@ -33,7 +34,7 @@ def sketch(rows: DataFrame, text: str, out: str) -> DataFrame:
 
     chosen = F.filter(F.transform(h, closed), lambda x: x.isNotNull())
     short = F.when(F.size(w) > 0, F.array(F.hash(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<int>"))
-    return (rows.withColumn("_c", F.when(F.size(w) >= K, chosen).otherwise(short))
+    return (rows.withColumn("_c", chosen).withColumn("_c", F.when(F.size("_c") > 0, F.col("_c")).otherwise(short))
             .withColumn(out, F.slice(F.sort_array(F.array_distinct("_c")), 1, SIZE)).drop("_w", "_h", "_c"))
 
 

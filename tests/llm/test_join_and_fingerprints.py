@@ -144,3 +144,11 @@ def test_fingerprint_likeness_follows_jaccard(spark, make):
     a, b = grams(rows[0][1]), grams(rows[1][1])
     assert abs(got[2].near_next - len(a & b) / len(a | b)) < 0.2
     assert len(hashlib.sha256(got[2].edited.encode()).hexdigest()) == 64
+
+
+def test_fingerprints_of_five_and_six_words(spark, make):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(5 + i % 2)), "en", "s") for i in range(60)] + [(60, " ", "en", "s")]
+    got = {r.doc_id: r for r in fingerprints(make(rows)).collect()}
+    assert all(got[i].fingerprint and got[i].near_next == 0 for i in range(60)) and got[60].fingerprint == ""
+    assert len({r.fingerprint for r in got.values()}) == 61
