@@ -3,7 +3,9 @@
 DataFrame and SQL functions only. The units are words. Of a text's runs of ``K`` words, those are
 chosen whose least run of ``S`` words (by hash) is their first or last: a choice that depends on
 the run alone, so an edit changes only the runs that it touches, and two texts choose the same runs
-of what they share. The fingerprint is the ``SIZE`` least hashes of the chosen runs.
+of what they share. The fingerprint has all chosen runs (*anchors*) with their places. Two texts are
+compared by the anchors that match in place: a shared passage moves as a whole, so each of its
+anchors is followed by the same one at the same distance, wherever it lies.
 """
 
 from __future__ import annotations
@@ -13,41 +15,58 @@ from pyspark.sql import functions as F
 
 from .common import saved, words_of
 
-K, S, SIZE = 5, 2, 64
+K, S = 5, 2
 _MISSING = -(1 << 63)
+_PLACE = (1 << 32) - 1
 
 
 def sketch(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the sorted least hashes (int) of the closed syncmers of column ``text``. A text
-    that has no closed syncmer (always below K words, at times with 5 or 6) has one hash, of all its
-    words; one without words has none."""
+    """Add ``out``: all anchors (closed syncmers) of column ``text`` in order, each a long of its
+    hash (upper half) and the place of its first word (lower half). A text that has no closed
+    syncmer (always below K words, at times with 5 or 6) has one anchor, of all its words; one
+    without words has none."""
     inner = K - S + 1
     rows = rows.withColumn("_w", words_of(F.col(text)))
     w = F.col("_w")
     rows = rows.withColumn("_h", F.transform(w, lambda x, i: F.xxhash64(*[x if j == 0 else F.get(w, i + j) for j in range(S)])))
     h = F.col("_h")
 
+    def anchor(hashed: Column, i: Column) -> Column:
+        return F.shiftleft(hashed.cast("long"), 32).bitwiseOR(i.cast("long"))
+
     def closed(x: Column, i: Column) -> Column:
         least = F.least(*[x if j == 0 else F.get(h, i + j) for j in range(inner)])
         edge = (least == x) | (least == F.get(h, i + inner - 1))
-        return F.when((i <= F.size(w) - K) & edge, F.hash(*[F.get(w, i + j) for j in range(K)]))
+        return F.when((i <= F.size(w) - K) & edge, anchor(F.hash(*[F.get(w, i + j) for j in range(K)]), i))
 
     chosen = F.filter(F.transform(h, closed), lambda x: x.isNotNull())
-    short = F.when(F.size(w) > 0, F.array(F.hash(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<int>"))
-    return (rows.withColumn("_c", chosen).withColumn("_c", F.when(F.size("_c") > 0, F.col("_c")).otherwise(short))
-            .withColumn(out, F.slice(F.sort_array(F.array_distinct("_c")), 1, SIZE)).drop("_w", "_h", "_c"))
+    short = F.when(F.size(w) > 0, F.array(anchor(F.hash(F.concat_ws(" ", w)), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    return (rows.withColumn("_c", chosen).withColumn(out, F.when(F.size("_c") > 0, F.col("_c")).otherwise(short)).drop("_w", "_h", "_c"))
+
+
+def as_text(anchors: Column) -> Column:
+    """Sixteen hexadecimal digits per anchor: eight of its hash, eight of its place."""
+    return F.lower(F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def links(rows: DataFrame, anchors: str, out: str) -> DataFrame:
+    """Add ``out``: the set of hashes of each anchor with its successor and the distance of the two.
+    A text of one anchor has the hash of that one alone."""
+    a = F.col(anchors)
 
+    def link(x: Column, i: Column) -> Column:
+        # hash and place of the successor less the own place: its hash and the distance
+        return F.xxhash64(F.shiftright(x, 32), F.get(a, i + 1) - x.bitwiseAND(F.lit(_PLACE)))
 
-def as_text(hashes: Column) -> Column:
-    """Eight hexadecimal digits per hash."""
-    return F.array_join(F.transform(hashes, lambda x: F.lower(F.substring(F.hex(x.cast("long") + (1 << 32)), -8, 8))), "")
+    every = F.transform(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))), link)
+    return rows.withColumn(out, F.array_distinct(every))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the syncmer sets of two fingerprints; 1 if both are empty."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    """Jaccard similarity of the links of two texts, that is of anchors that match in place: with the
+    same next anchor at the same distance. 1 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -88,22 +107,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     equal ids are ordered by a hash of the text; NULL ids come last; NULL texts are empty. The only
     row of a table is its own next. Returns doc_id, n_chars, edited, fingerprint,
     edited_fingerprint, near_edited, near_next, next_id, next_chars. An empty table gives no rows; other columns are not
-    read. Texts are shuffled by key, and what is taken from the next document once more. next_id and
-    next_chars tell which document that is; with them, both sides of the last join read the same
-    columns, so that Spark reuses the shuffle of the texts.
+    read. Texts are shuffled by key, and each once more to the document before it, which makes the
+    next one's anchors there: they would take more room than the text. next_id and next_chars tell
+    which document that is; with them, both sides of the last join read the same columns, so that
+    Spark reuses the shuffle of the texts.
     """
     prev = followers(docs)
     rows = _numbered(_rows(docs)).alias("r").join(prev.alias("p"), (F.col("r.d") == F.col("p.d")) & (F.col("r.th") == F.col("p.th"))
                                                   & (F.col("r.occ") - F.col("p.occ") == 0)).select("r.*", "p.prev")
-    mine = sketch(rows, "text", "own")
-    given = mine.select(F.col("prev.d").alias("d"), F.col("prev.th").alias("th"), F.col("prev.occ").alias("occ"), F.col("own").alias("next"),
-                        F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"),
-                        F.expr("substring(text, 1, cast(floor(prev.n_chars / 2) as int))").alias("tail"))
-    both = (mine.drop("prev").alias("m").join(given.alias("g"), (F.col("m.d") == F.col("g.d")) & (F.col("m.th") == F.col("g.th"))
+    given = rows.select(F.col("prev.d").alias("d"), F.col("prev.th").alias("th"), F.col("prev.occ").alias("occ"), F.col("text").alias("next"),
+                        F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"))
+    both = (rows.drop("prev").alias("m").join(given.alias("g"), (F.col("m.d") == F.col("g.d")) & (F.col("m.th") == F.col("g.th"))
                                               & (F.col("m.occ") - F.col("g.occ") == 0))
-            .select("m.doc_id", "m.n_chars", "m.own", "g.next", "g.next_id", "g.next_chars",
-                    F.concat(F.expr("substring(m.text, 1, cast(m.n_chars - floor(m.n_chars / 2) as int))"), F.col("g.tail")).alias("edited")))
-    done = sketch(both, "edited", "after")
-    return done.select("doc_id", "n_chars", "edited", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("after")).alias("edited_fingerprint"),
-                       likeness(F.col("own"), F.col("after")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
-                       "next_id", "next_chars")
+            .select("m.doc_id", "m.n_chars", "m.text", "g.next", "g.next_id", "g.next_chars",
+                    F.concat(F.expr("substring(m.text, 1, cast(m.n_chars - floor(m.n_chars / 2) as int))"),
+                             F.expr("substring(g.next, 1, cast(floor(m.n_chars / 2) as int))")).alias("edited")))
+    done = both
+    for text in ("text", "edited", "next"):
+        done = links(sketch(done, text, f"{text}_anchors"), f"{text}_anchors", f"{text}_links")
+    return done.select("doc_id", "n_chars", "edited", as_text(F.col("text_anchors")).alias("fingerprint"),
+                       as_text(F.col("edited_anchors")).alias("edited_fingerprint"), likeness(F.col("text_links"), F.col("edited_links")).alias("near_edited"),
+                       likeness(F.col("text_links"), F.col("next_links")).alias("near_next"), "next_id", "next_chars")

@@ -152,3 +152,23 @@ def test_fingerprints_of_five_and_six_words(spark, make):
     got = {r.doc_id: r for r in fingerprints(make(rows)).collect()}
     assert all(got[i].fingerprint and got[i].near_next == 0 for i in range(60)) and got[60].fingerprint == ""
     assert len({r.fingerprint for r in got.values()}) == 61
+
+
+def test_fingerprints_keep_all_anchors_in_place(spark, make):
+    """A small passage at another place of long documents counts; the same words in other places don't."""
+    rng = random.Random(12)
+    long = lambda k: [f"{k}{rng.randrange(10**7)}" for _ in range(6000)]
+    a, b, shared = long("a"), long("b"), [f"s{i}" for i in range(100)]
+    rows = [(3, " ".join(a[:100] + shared + a[100:]), "en", "s"), (2, " ".join(b[:5000] + shared + b[5000:]), "en", "s")]
+    got = {r.doc_id: r for r in fingerprints(make(rows)).collect()}
+    jaccard = 96 / (2 * 6096 - 96)
+    assert jaccard / 2 < got[3].near_next < jaccard * 2
+    anchors = [got[3].fingerprint[i:i + 16] for i in range(0, len(got[3].fingerprint), 16)]
+    places = [int(x[8:], 16) for x in anchors]
+    assert len(places) > 2000 and places == sorted(set(places)) and places[-1] < 6100
+    # 5-grams of one text, far apart and in reverse order in the other: anchors match, places don't
+    parts = [" ".join(f"p{i}_{j}" for j in range(5)) for i in range(200)]
+    rows = [(2, " ".join(parts), "en", "s"), (1, " ".join(f"{p} x{i} y{i}" for i, p in reversed(list(enumerate(parts)))), "en", "s")]
+    got = {r.doc_id: r for r in fingerprints(make(rows)).collect()}
+    assert {got[2].fingerprint[i:i + 8] for i in range(0, len(got[2].fingerprint), 16)} & {got[1].fingerprint[i:i + 8] for i in range(0, len(got[1].fingerprint), 16)}
+    assert got[2].near_next == 0
