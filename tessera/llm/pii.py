@@ -3,9 +3,9 @@
 DataFrame and SQL functions only; the trees are Spark's own gradient boosting.
 
 1. *Base spans*: four strict patterns with validators; they always count.
-2. *Generators* of high recall propose further spans, which may overlap: written-out or spaced
-   e-mail addresses, telephone numbers in national form, long and grouped numbers, identifiers,
-   keys and assigned secrets.
+2. *Generators* propose further spans, which may overlap: written-out or spaced e-mail addresses,
+   whole runs of digits and, from each group of digits in them, the forms of a number (telephone
+   numbers, 3-2-4, dates, groups of four), identifiers, keys and assigned secrets.
 3. *Boosted trees* score each candidate by its format and by the words around it. They are trained
    on candidates of the corpus: the ones that a validator or a secret's own form confirms against
    the ones that contradict it.
@@ -36,12 +36,30 @@ KINDS = {
 # FIXED VALUES: generators of candidates, with the kind that an accepted span gets.
 GENERATORS = {
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,63}+){1,8}+",
-    "number": r"(?<![0-9A-Za-z])\(?[0-9][0-9() ./-]{6,40}+",
+    "number": r"(?<![0-9A-Za-z])(?=[0-9() ./-]{7})\(?[0-9]++(?:[() ./-]++[0-9]++)*+",
     "dotted": r"(?<![0-9A-Za-z.])[0-9]{1,5}+(?:\.[0-9]{1,5}+){1,5}+",
-    "key": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,40}[0-9])[A-Za-z0-9_/+-]{12,200}+",
-    "secret": r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? {0,2}[:=] {0,2}[\"']?[^\s\"']{4,200}+",
+    "key": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,}+",
+    "secret": r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? {0,2}[:=] {0,2}[\"']?[^\s\"']{4,}+",
 }
 
+# FIXED VALUES: the forms of a number inside a run of digits and separators. Each is sought at each
+# group of digits, so that spans of all forms and starts are judged on their own; they end on a
+# digit. Their candidates are of the kind "number".
+_GROUP = r"[ ./-]{1,2}[0-9]{2,8}"
+FORMS = [
+    r"\(?[2-9][0-9]{2}\)?[ ./-]{0,2}[0-9]{3}[ ./-][0-9]{4}(?![0-9])",  # telephone 3-3-4
+    r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9])",  # 3-2-4
+    r"[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",  # telephone 3-4
+    r"(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}(?![0-9])",  # a date, which counts against
+    r"[0-9]{7,}+",  # one group
+    r"[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -][0-9]{1,7}(?![0-9])",  # groups of four
+    *[r"\(?0[0-9]{1,4}\)?(?:%s){%d}(?![0-9])" % (_GROUP, k) for k in (1, 2, 3, 4)],  # telephone with area code
+]
+#: Kind of each generator's spans: those of GENERATORS, then of FORMS.
+NAMES = [*GENERATORS, *["number"] * len(FORMS)]
+#: A form at a group of digits: the match is the group, group 1 is the form.
+STARTS = [r"(?<![0-9A-Za-z])(?=(%s))\(?[0-9]++" % form for form in FORMS]
+
 # FIXED VALUES: words before a span that speak for personal data.
 CUES = r"(?i)(?:mail|phone|tel|call|fax|mobile|card|visa|iban|account|ssn|passport|password|passwd|pwd|secret|token|key|login|user|address|ip)\W{0,4}$"
 CONTEXT = 24
@@ -55,8 +73,9 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _matches(rows: DataFrame, text: str, pattern: str, out: str, only: Column) -> DataFrame:
-    """Add ``out``: the matches of a pattern as (start, end, m); code points, end exclusive.
+def _matches(rows: DataFrame, text: str, pattern: str, out: str, only: Column, ahead: bool = False) -> DataFrame:
+    """Add ``out``: the matches of a pattern as (start, end, m); code points, end exclusive. With
+    ``ahead``, m is group 1, which starts with the match and may be longer, so that spans overlap.
 
     Starts are sums of the lengths of matches and of what lies between them, taken in blocks of 64
     so that a text with very many matches isn't summed again for each.
@@ -66,6 +85,7 @@ def _matches(rows: DataFrame, text: str, pattern: str, out: str, only: Column) -
             .withColumn("_g", F.when(F.size("_m") > 0, F.split(text, pattern, -1)).otherwise(none)))
     m, g = F.col("_m"), F.col("_g")
     rows = rows.withColumn("_l", F.transform(m, lambda x, i: (F.length(x) + F.length(F.get(g, i))).cast("long")))
+    rows = rows.withColumn("_s", F.when(F.size("_m") > 0, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(none) if ahead else m)
     size = F.lit(64)
     blocks = F.when(F.size("_l") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / size).cast("int")),
                                                   lambda b: _sum(F.slice("_l", b * size + 1, size)))).otherwise(F.array().cast("array<bigint>"))
@@ -79,7 +99,7 @@ def _matches(rows: DataFrame, text: str, pattern: str, out: str, only: Column) -
         start = before + F.length(F.get(g, i))
         return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("m"))
 
-    return rows.withColumn(out, F.transform(m, place)).drop("_m", "_g", "_l", "_b", "_p")
+    return rows.withColumn(out, F.transform("_s", place)).drop("_m", "_s", "_g", "_l", "_b", "_p")
 
 
 def _digits(m: Column) -> Column:
@@ -130,10 +150,10 @@ def spans(docs: DataFrame) -> DataFrame:
         found.append(_kept(kind, k))
     rows = rows.withColumn("base", F.sort_array(F.concat(*found))).drop(*KINDS)
     proposed = []
-    for g, pattern in enumerate(GENERATORS.values()):
+    for g, pattern in enumerate([*GENERATORS.values(), *STARTS]):
         name = f"_g{g}"
         only = F.col("t").rlike(r"(?i)@|[(\[]at[)\]]") if g == 0 else F.lit(True) if g == 4 else F.col("_digit")
-        rows = _matches(rows, "t", pattern, name, only)
+        rows = _matches(rows, "t", pattern, name, only, ahead=g >= len(GENERATORS))
         proposed.append(_with_context(name, g))
     return rows.select("doc_id", "d", "th", "base", F.concat(*proposed).alias("cand"))
 
@@ -146,7 +166,7 @@ def _features(c: DataFrame) -> tuple[DataFrame, list[str]]:
         return F.length(F.regexp_replace(text, pattern, "")).cast("double")
 
     made = {
-        **{f"g{g}": (F.col("g") == g).cast("double") for g in range(len(GENERATORS))},
+        **{f"g{g}": (F.col("g") == g).cast("double") for g in range(len(NAMES))},
         "length": n.cast("double"), "digits": count("[^0-9]+"), "digit_share": count("[^0-9]+") / n,
         "upper_share": count("[^A-Z]+") / n, "lower_share": count("[^a-z]+") / n, "separators": count("[^ ()./-]+"),
         "groups": F.size(F.split(m, r"[^0-9]+")).cast("double"), "dots": count("[^.]+"), "dashes": count("[^-]+"),
@@ -164,19 +184,24 @@ def _features(c: DataFrame) -> tuple[DataFrame, list[str]]:
 def _confirmed() -> Column:
     """Weak label of a candidate: 1 confirmed, 0 contradicted, NULL unknown."""
     m, n = F.col("m"), F.length(_digits(F.col("m")))
+    number = (F.col("g") == 1) | (F.col("g") >= len(GENERATORS))
     own = (m.rlike("^AKIA[0-9A-Z]{16}$") | m.rlike("^(?:sk|pk|ghp|gho|xox[bp])[-_][0-9A-Za-z-]{16,}$") | m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
            | m.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}$")
            | ((F.col("g") == 4) & m.rlike("[0-9]") & m.rlike("[A-Za-z]")) | (m.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,64}$") & F.col("before").rlike(CUES)))
-    against = ((F.col("g") == 2) & (F.size(F.split(m, r"\.")) != 4)) | ((F.col("g") == 1) & (n < 7)) | (m.rlike(r"^(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}$")) \
-        | ((F.col("g") == 3) & m.rlike("^[A-Za-z]+[-_/][A-Za-z]+[-_/]?[0-9]{1,3}$")) | (F.col("g").isin(1, 3) & m.rlike("^[0-9() ./-]+$") & (n >= 12) & ~F.col("inside"))
-    return F.when(F.col("inside") | own, 1.0).when(against | ((F.col("g") == 2) & ~F.col("inside")), 0.0)
+    against = ((F.col("g") == 2) & (F.size(F.split(m, r"\.")) != 4)) | (number & (n < 7)) | (m.rlike(r"^(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}$")) \
+        | ((F.col("g") == 3) & m.rlike("^[A-Za-z]+[-_/][A-Za-z]+[-_/]?[0-9]{1,3}$")) | ((number | (F.col("g") == 3)) & m.rlike("^[0-9() ./-]+$") & (n >= 12) & ~F.col("inside"))
+    # a number that only touches a base span, or a part of one, says nothing
+    part = F.col("inside") & number & ~F.col("whole")
+    return F.when(part, F.lit(None).cast("double")).when(F.col("inside") | own, 1.0).when(against | ((F.col("g") == 2) & ~F.col("inside")), 0.0)
 
 
 def added(found: DataFrame, seed: int = 5) -> DataFrame:
     """The candidates that the trees accept: d, th, extra (sorted (start, g, end))."""
     c = found.filter(F.size("cand") > 0).select("d", "th", "base", F.explode("cand").alias("c")).select("d", "th", "base", "c.*")
     meets = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    c, names = _features(c.withColumn("inside", meets))
+    # numbers begin behind the plus of a telephone number
+    whole = F.exists("base", lambda b: (b["end"] == F.col("end")) & (F.col("start") - b["start"]).between(0, 2))
+    c, names = _features(c.withColumn("inside", meets).withColumn("whole", whole))
     c = saved(c.withColumn("label", _confirmed()).drop("base", "before", "after"), "candidates")
     known = c.filter("label IS NOT NULL").dropDuplicates(["m", "label", *names])
     n = known.count()
@@ -205,7 +230,10 @@ def added(found: DataFrame, seed: int = 5) -> DataFrame:
         open_ = score(open_)
     # a candidate whose label contradicts it is never added
     taken = open_.filter((F.col("score") >= limit) & (F.coalesce("label", F.lit(1.0)) > 0))
-    per = taken.groupBy("d", "th").agg(F.array_distinct(F.collect_list(F.struct("start", "g", "end", "score"))).alias("x"))
+    # what is confirmed goes before what is only scored, and a number before a key of digits alone
+    digits = (F.col("g") == list(GENERATORS).index("key")) & F.col("m").rlike("^[0-9/-]+$")
+    rank = F.col("score") + F.coalesce("label", F.lit(0.0)) - F.when(digits, 2.0).otherwise(0.0)
+    per = taken.groupBy("d", "th").agg(F.array_distinct(F.collect_list(F.struct("start", "g", "end", rank.alias("score")))).alias("x"))
     better = lambda a, b: (b["start"] < a["end"]) & (a["start"] < b["end"]) & (
         (b["score"] > a["score"]) | ((b["score"] == a["score"]) & ((b["end"] - b["start"] > a["end"] - a["start"])
                                                                   | ((b["end"] - b["start"] == a["end"] - a["start"]) & ((b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["g"] < a["g"])))))))
@@ -214,7 +242,7 @@ def added(found: DataFrame, seed: int = 5) -> DataFrame:
 
 
 def _joined(found: Column) -> Column:
-    names = F.array(*[F.lit(n) for n in (*KINDS, *GENERATORS)])
+    names = F.array(*[F.lit(n) for n in (*KINDS, *NAMES)])
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"], s["end"])), ",")
 
 
@@ -243,7 +271,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(text: Column, found: Column) -> Column:
     """A text with its spans replaced by their kinds in angle brackets; of overlapping spans the
     first counts, and what of a later one lies behind it goes too."""
-    names = F.array(*[F.lit(f"<{n}>") for n in (*KINDS, *GENERATORS)])
+    names = F.array(*[F.lit(f"<{n}>") for n in (*KINDS, *NAMES)])
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     piece = lambda a, b: F.substring(text, a.cast("int") + 1, F.greatest(F.lit(0), (b - a).cast("int")))
     step = lambda acc, s: F.struct(

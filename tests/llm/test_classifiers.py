@@ -179,3 +179,16 @@ def test_redact(spark, make):
     text = "mail <email> now \U0001f600 <card>!"
     assert rows == [(1, text, len(text)), (1, text, len(text)), (3, "none here", 9)]
     assert out.filter("text is null").count() == 1
+
+
+def test_personal_data_neighbouring_numbers_and_long_keys(spark, make):
+    """Numbers that follow each other or a date are judged one by one; keys go to their end."""
+    rng = random.Random(13)
+    tel = lambda: f"{rng.randrange(212, 990)}-555-{rng.randrange(1000, 9999)}"
+    rows = [(i, f"call {tel()} or write version {rng.randrange(9)}.{rng.randrange(9)} on 20{rng.randrange(10, 24)}-01-05 in time", "en", "s") for i in range(150)]
+    rows += [(200, "call 212-555-0199 646-555-0123 today", "en", "s"), (201, "call 212-555-0199 2024-01-05 today", "en", "s"),
+             (202, "ssn 078-05-1120 212-555-0199. Thanks", "en", "s")]
+    rows += [(300 + i, "token = " + "".join(rng.choice("abcdef0123456789") for _ in range(400)) + " end", "en", "s") for i in range(20)]
+    got = {r.doc_id: r.spans for r in personal_data(make(rows)).collect()}
+    assert got[200] == "number:5:17,number:18:30" and got[201] == "number:5:17" and got[202] == "number:4:15,number:16:28"
+    assert all(re.search(r":408(,|$)", got[300 + i]) for i in range(20))
