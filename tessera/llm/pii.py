@@ -9,7 +9,7 @@ DataFrame and SQL functions only; the trees are Spark's own gradient boosting.
 3. *Boosted trees* score each candidate by its format and by the words around it. They are trained
    on candidates of the corpus: the ones that a validator or a secret's own form confirms against
    the ones that contradict it.
-4. *Calibration*: on candidates kept out of training, the least score whose precision reaches
+4. *Calibration*: on all candidates kept out of training, the least score whose precision reaches
    ``PRECISION`` becomes the threshold. Candidates above it are added if they overlap no base span
    and no better candidate.
 """
@@ -195,6 +195,16 @@ def _confirmed() -> Column:
     return F.when(part, F.lit(None).cast("double")).when(F.col("inside") | own, 1.0).when(against | ((F.col("g") == 2) & ~F.col("inside")), 0.0)
 
 
+def training(known: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The labelled candidates with ``held`` (a third by a hash of the span), and those of the others
+    that the trees are fitted on, about ``MAX_TRAINING`` of them."""
+    known = saved(known.withColumn("held", F.pmod(F.xxhash64("m", F.lit(seed + 1)), F.lit(3)) == 0), "training")
+    open_ = known.filter("NOT held")
+    take = min(1.0, MAX_TRAINING / max(1, open_.count()))
+    die = F.pmod(F.xxhash64("m", F.lit(seed)), F.lit(1_000_000))
+    return known, open_.filter(die < int(take * 1_000_000))
+
+
 def added(found: DataFrame, seed: int = 5) -> DataFrame:
     """The candidates that the trees accept: d, th, extra (sorted (start, g, end))."""
     c = found.filter(F.size("cand") > 0).select("d", "th", "base", F.explode("cand").alias("c")).select("d", "th", "base", "c.*")
@@ -204,22 +214,19 @@ def added(found: DataFrame, seed: int = 5) -> DataFrame:
     c, names = _features(c.withColumn("inside", meets).withColumn("whole", whole))
     c = saved(c.withColumn("label", _confirmed()).drop("base", "before", "after"), "candidates")
     known = c.filter("label IS NOT NULL").dropDuplicates(["m", "label", *names])
-    n = known.count()
-    take = min(1.0, MAX_TRAINING / max(1, n))
-    die = F.pmod(F.xxhash64("m", F.lit(seed)), F.lit(1_000_000))
-    known = saved(known.filter(die < int(take * 1_000_000)).withColumn("held", F.pmod(F.xxhash64("m", F.lit(seed + 1)), F.lit(3)) == 0).coalesce(4), "training")
-    counts = {(r["held"], r["label"]): r["n"] for r in known.groupBy("held", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known, fitted = training(known, seed)
+    counts = {r["label"]: r["n"] for r in fitted.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     open_ = c.filter(~F.col("inside"))
-    if not all(counts.get((False, y)) for y in (0.0, 1.0)):
+    if not all(counts.get(y) for y in (0.0, 1.0)):
         # nothing to tell apart: what is confirmed counts
         open_ = open_.withColumn("score", F.coalesce("label", F.lit(0.0)))
         limit = 0.5
     else:
         vector = VectorAssembler(inputCols=names, outputCol="x")
         trees = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="_y", maxIter=12, maxDepth=4, stepSize=0.3, seed=seed)
-        model = trees.setProbabilityCol("_p").setRawPredictionCol("_r").fit(vector.transform(known.filter("NOT held").coalesce(2)))
+        model = trees.setProbabilityCol("_p").setRawPredictionCol("_r").fit(vector.transform(fitted.coalesce(2)))
         score = lambda rows: model.transform(vector.transform(rows)).withColumn("score", vector_to_array("_p")[1])
-        # least of a hundred thresholds that is precise enough on the candidates held out
+        # least of a hundred thresholds that is precise enough on all candidates held out
         grid = (score(known.filter("held")).groupBy(F.floor(F.col("score") * 100).alias("s")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())
         limit, good, n = 1.0, 0.0, 0
         for r in sorted(grid, key=lambda r: -r["s"]):

@@ -192,3 +192,11 @@ def test_personal_data_neighbouring_numbers_and_long_keys(spark, make):
     got = {r.doc_id: r.spans for r in personal_data(make(rows)).collect()}
     assert got[200] == "number:5:17,number:18:30" and got[201] == "number:5:17" and got[202] == "number:4:15,number:16:28"
     assert all(re.search(r":408(,|$)", got[300 + i]) for i in range(20))
+
+
+def test_personal_data_threshold_uses_all_held_out_candidates(spark, monkeypatch):
+    from tessera.llm import pii
+    monkeypatch.setattr(pii, "MAX_TRAINING", 100)
+    known, fitted = pii.training(spark.range(3000).selectExpr("concat('m', id) AS m", "cast(id % 2 AS double) AS label"), 5)
+    assert known.count() == 3000 and 900 < known.filter("held").count() < 1100
+    assert 50 < fitted.count() < 150 and fitted.filter("held").count() == 0
