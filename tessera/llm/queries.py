@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import documents, table
 from .langid import held_out, identify, learn
 from .mixing import mix
+from .negatives import hard_negatives
 from .ngram_join import near_duplicates
-from .oracles import NGRAM_JOIN, SUBSTRING, SUFFIX
+from .oracles import HARD_NEGATIVES, NGRAM_JOIN, SUBSTRING, SUFFIX
 from .packing import pack
 from .pii import personal_data
 from .quality import classify
@@ -21,7 +22,8 @@ from .suffix import later_bytes
 from .syncmer import fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING, "op4_suffix_dedup": SUFFIX, "op9_ngram_jaccard_join": NGRAM_JOIN}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING, "op4_suffix_dedup": SUFFIX, "op9_ngram_jaccard_join": NGRAM_JOIN,
+                           "op13_hard_negatives": HARD_NEGATIVES}
 
 
 def query(fn):
@@ -88,3 +90,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = personal_data(documents(spark, sf_dir))
     return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), own.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives(rows, F.col("id") % 100 == 0)
