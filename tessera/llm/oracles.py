@@ -55,3 +55,23 @@ n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS p
   row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+#: Phrases by listing all n-grams of all pieces; every cut and every longer candidate is looked at.
+COLLOCATIONS = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM s, range(1, 6) t(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, phrase, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT * FROM f WHERE m >= 2),
+cut AS (SELECT c.lang, c.phrase, c.a, k, array_to_string(string_split(c.phrase, ' ')[1:k], ' ') AS x,
+  array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ') AS y FROM c, range(1, 5) t(k) WHERE k < m),
+sc AS (SELECT cut.lang, cut.phrase, cut.a, cut.k, f1.a AS l, f2.a AS r, n.n,
+  CAST((1000::HUGEINT * cut.a * n.n) // (f1.a::HUGEINT * f2.a) AS BIGINT) AS score
+  FROM cut JOIN f f1 ON f1.lang = cut.lang AND f1.phrase = x JOIN f f2 ON f2.lang = cut.lang AND f2.phrase = y JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+gone AS (SELECT DISTINCT b.lang, b.phrase FROM c b JOIN c o ON o.lang = b.lang AND o.m > b.m AND 100 * o.a >= 100 * b.a
+  AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""

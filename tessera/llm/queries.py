@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import documents, table
 from .langid import held_out, identify, learn
 from .mixing import mix
 from .negatives import hard_negatives
 from .ngram_join import near_duplicates
-from .oracles import HARD_NEGATIVES, NGRAM_JOIN, SUBSTRING, SUFFIX
+from .oracles import COLLOCATIONS, HARD_NEGATIVES, NGRAM_JOIN, SUBSTRING, SUFFIX
 from .packing import pack
 from .pii import personal_data
 from .quality import classify
@@ -23,7 +24,7 @@ from .syncmer import fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING, "op4_suffix_dedup": SUFFIX, "op9_ngram_jaccard_join": NGRAM_JOIN,
-                           "op13_hard_negatives": HARD_NEGATIVES}
+                           "op12_collocations": COLLOCATIONS, "op13_hard_negatives": HARD_NEGATIVES}
 
 
 def query(fn):
@@ -97,3 +98,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), own.alias("label"), F.col("embedding").alias("vector"))
     return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
