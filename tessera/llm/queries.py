@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .collocations import collocations
 from .common import documents, table
 from .langid import held_out, identify, learn
@@ -103,3 +104,12 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    own = held_out(F.col("doc_id"))
+    model = toxicity.learn(docs.filter(~own), table(spark, sf_dir, "labels").filter(~own))
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", own.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_windows", "worst")
