@@ -7,12 +7,12 @@ FM-index. Suffixes are sorted by their first ``longest`` words only, which is as
 Phrases grow by one word a level, in turn to the right (through the transform of the reverse) and to the
 left (through the other one). A phrase is a pair of intervals, one in each order; extending one narrows
 the other by the number of smaller neighbours, so both directions stay open. The neighbours in an
-interval are all extensions of the phrase with their counts. Counts are summed over shards, and only
-phrases that are frequent in their whole language are extended further, so each level's table has no
-more rows than the shards have places of frequent phrases.
+interval are all extensions of the phrase with their counts.
 
-Phrases are keyed by (shorter phrase, added word) as numbers that the level before gave out: sums are
-exact, without hashes of phrases.
+Counts are summed over shards three times: of words, of pairs of frequent words, and of longer phrases
+whose adjacent pairs are all frequent. The frequent pairs go to the shards as a bitmap of a fixed size; what
+it lets through by chance is counted like the rest and found infrequent. Phrases are keyed by their words'
+numbers in the whole language, so sums are exact.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import discard, saved
 SHARD = 1 << 21
 #: Bytes of text that are cut into words at a time; the cut is made at the next end of a piece.
 CHUNK = 1 << 22
+#: Bits of the bitmap of frequent pairs (8 MB), whatever their number.
+BITS = 1 << 26
 #: First rounds of the ranking split each language this many ways.
 SPREAD = 64
 INDEX = "lang string, shard bigint, words array<string>, counts array<int>, forward binary, backward binary"
@@ -129,52 +131,106 @@ def index(docs: DataFrame, longest: int) -> DataFrame:
     return saved(rows.mapInArrow(_index(longest), INDEX), "index")
 
 
-CHILDREN = "shard bigint, parent bigint, word bigint, n int, forward int, backward int"
-
-
-def _extend(main: str):
-    """Extensions of a shard's phrases by one word through the transform ``main`` (forward: to the left).
-
-    left: words (kind 0: gid, local id as n) and phrases (kind 1: gid, count n and the starts of both
-    intervals; with no starts it is a word itself). right: the shard's row of the index.
-    """
-    other = "backward" if main == "forward" else "forward"
+def _bit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Place of a pair of words in the bitmap."""
+    h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)).astype(np.int64) % BITS
+
+
+def _bitmap(pairs: DataFrame) -> np.ndarray:
+    """Bits of the pairs (w0, w1): at most BITS / 8 bytes reach the driver."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = _bit(b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(np.int64(1) << (bit & 31))], ["cell", "bit"])
+
+    cells = pairs.select("w0", "w1").mapInArrow(place, "cell bigint, bit bigint").groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits"))
+    got = cells.toPandas()
+    out = np.zeros(BITS // 32, np.uint32)
+    out[got["cell"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint32)
+    return out
+
+
+class _Shard:
+    """A shard's index and the numbers of its frequent words."""
+
+    def __init__(self, left: pa.Table, right: pa.Table):
+        self.transforms = {c: np.frombuffer(right[c][0].as_buffer(), np.int32) for c in ("forward", "backward") if c in right.column_names}
+        size = len(next(iter(self.transforms.values())))
+        counts = right["counts"].combine_chunks().flatten().to_numpy()
+        self.counts = np.append(size - counts.sum(dtype=np.int64), counts).astype(np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.word = np.full(len(self.counts), -1, np.int64)
+        ids = left["id"].to_numpy().astype(np.int64)
+        self.word[ids] = left["gid"].to_numpy()
+        self.ids = np.sort(ids)
+        self.leads: dict[str, np.ndarray] = {}
+
+    def phrases(self) -> dict[str, np.ndarray]:
+        """The frequent words, as phrases: their numbers, count and intervals."""
+        return {"words": self.word[self.ids][:, None], "n": self.counts[self.ids], "forward": self.first[self.ids], "backward": self.first[self.ids]}
+
+    def lead(self, main: str) -> np.ndarray:
+        """Where a word's k-th place in a transform leads: its first place in the order and k more."""
+        if main not in self.leads:
+            x = self.transforms[main]
+            self.leads[main] = np.empty(len(x), np.int64)
+            self.leads[main][np.argsort(x, kind="stable")] = np.arange(len(x))
+        return self.leads[main]
+
+    def extend(self, p: dict[str, np.ndarray], main: str, bits: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """All extensions by a frequent word through a transform (backward: to the right), with intervals
+        if ``bits`` are given; then the new pair of words must be one of them."""
+        n, start = p["n"], p[main]
+        before = np.cumsum(n) - n
+        node = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(node)) - before[node] + start[node]
+        key = node << 32 | self.transforms[main][at].astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(key)))
+        node, new = key[head] >> 32, self.word[key[head] & 0xFFFFFFFF]
+        keep = new >= 0
+        if bits is not None:
+            beside = p["words"][node]
+            bit = _bit(beside[:, -1], new) if main == "backward" else _bit(new, beside[:, 0])
+            keep &= (bits[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)) > 0
+        head, size, node, new = head[keep], size[keep], node[keep], new[keep][:, None]
+        old = p["words"][node]
+        out = {"words": np.concatenate([old, new] if main == "backward" else [new, old], 1), "n": size}
+        if bits is not None:
+            other = "backward" if main == "forward" else "forward"
+            out |= {main: self.lead(main)[at[order[head]]], other: p[other][node] + head - before[node]}
+        return out
+
+
+def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of frequent words in a shard, with counts."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("w0", "w1", "n")})
+    shard = _Shard(left, right)
+    got = shard.extend(shard.phrases(), "backward")
+    return pa.table({"w0": got["words"][:, 0], "w1": got["words"][:, 1], "n": got["n"]})
+
+
+def _longer(bits, longest: int):
+    """Phrases of 3 to ``longest`` words in a shard whose pairs are in the bitmap; -1 stands for no word."""
+    names = [f"w{i}" for i in range(longest)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {c: np.zeros(0, np.int64 if c in ("shard", "parent", "word") else np.int32) for c in ("shard", "parent", "word", "n", "forward", "backward")}
+        rows, counts = [np.zeros((0, longest), np.int64)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
-            transform = np.frombuffer(right["transform"][0].as_buffer(), np.int32)
-            counts = right["counts"].combine_chunks().flatten().to_numpy()
-            counts = np.append(len(transform) - counts.sum(dtype=np.int64), counts).astype(np.int64)
-            first = np.cumsum(counts) - counts
-            kind, gid, n, start, also = (left[c].to_numpy().astype(np.int64) for c in ("kind", "gid", "n", main, other))
-            word = np.full(len(counts), -1, np.int64)
-            word[n[kind == 0]] = gid[kind == 0]
-            if not (kind == 1).any():  # the first level: phrases are the words
-                at = n[kind == 0]
-                gid, n, start, also = gid[kind == 0], counts[at], first[at], first[at]
-            else:
-                gid, n, start, also = (x[kind == 1] for x in (gid, n, start, also))
-            # neighbours of all places of all phrases
-            before = np.cumsum(n) - n
-            node = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(node)) - before[node] + start[node]
-            symbol = transform[at].astype(np.int64)
-            key = node << 32 | symbol
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(head, len(key)))
-            symbol, node = key[head] & 0xFFFFFFFF, key[head] >> 32
-            keep = word[symbol] >= 0
-            head, size, symbol, node = head[keep], size[keep], symbol[keep], node[keep]
-            # where a word's k-th place in the transform leads: first[word] + k
-            sorted_ = np.argsort(transform, kind="stable")
-            lead = np.empty(len(transform), np.int64)
-            lead[sorted_] = np.arange(len(transform))
-            out = {"shard": np.full(len(head), right["shard"][0].as_py()), "parent": gid[node], "word": word[symbol], "n": size.astype(np.int32),
-                   main: lead[at[order[head]]].astype(np.int32), other: (also[node] + head - before[node]).astype(np.int32)}
-        return pa.table({c: pa.array(out[c]) for c in ("shard", "parent", "word", "n", "forward", "backward")})
+            shard = _Shard(left, right)
+            got = shard.extend(shard.phrases(), "backward", bits.value)
+            for size in range(3, longest + 1):
+                got = shard.extend(got, "backward" if size % 2 else "forward", bits.value)
+                rows.append(np.pad(got["words"], ((0, 0), (0, longest - size)), constant_values=-1))
+                counts.append(got["n"])
+        rows = np.concatenate(rows)
+        return pa.table({**{c: rows[:, i] for i, c in enumerate(names)}, "n": np.concatenate(counts)})
 
     return run
 
@@ -198,50 +254,38 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
         "lang", "shard", (F.col("id") + 1).alias("id"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counted = saved(vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
     total = saved(counted.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-    # every frequent word and phrase gets a number; the tables are stored, so it stays the same
-    frequent = [saved(counted.filter(F.col("a") >= least).select("lang", "word", "a", F.monotonically_increasing_id().alias("gid"))
-                      .select("lang", F.col("word").alias("phrase"), "a", "gid", F.array("gid").alias("words")), "frequent")]
+    # every frequent word gets a number; the table is stored, so it stays the same
+    known = saved(counted.filter(F.col("a") >= least).withColumn("gid", F.monotonically_increasing_id()), "frequent")
     discard(counted)
-    places = saved(vocabulary.join(frequent[0].select("lang", F.col("phrase").alias("word"), "gid"), ["lang", "word"]).select(
-        "shard", F.lit(0).alias("kind"), "gid", F.col("id").cast("int").alias("n"), F.lit(0).alias("forward"), F.lit(0).alias("backward")), "places")
-    text = frequent[0].select(F.col("gid").alias("word"), F.col("phrase").alias("text"))
-    nodes = places
-    for level in range(2, longest + 1):
-        main = "backward" if level % 2 == 0 else "forward"
-        right = shards.select("shard", "counts", F.col(main).alias("transform"))
-        children = saved(nodes.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_extend(main), CHILDREN), "children")
-        if nodes is not places:
-            discard(grown)
-        grown = children
-        sums = children.groupBy("parent", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        shorter = frequent[-1].select("lang", "phrase", F.col("gid").alias("parent"), "words")
-        if main == "backward":
-            phrase, words = F.concat_ws(" ", "phrase", "text"), F.concat("words", F.array("word"))
-        else:
-            phrase, words = F.concat_ws(" ", "text", "phrase"), F.concat(F.array("word"), "words")
-        frequent.append(saved(sums.join(shorter, "parent").join(text, "word").select(
-            "lang", phrase.alias("phrase"), "a", F.monotonically_increasing_id().alias("gid"), words.alias("words"), "parent", "word"), "frequent"))
-        alive = children.join(frequent[-1].select("parent", "word", "gid"), ["parent", "word"]).select(
-            "shard", F.lit(1).alias("kind"), "gid", "n", "forward", "backward")
-        nodes = places.unionByName(alive)
-    discard(grown, places, shards)
-    return _ranked(frequent, total, top)
-
-
-def _ranked(frequent: list[DataFrame], total: DataFrame, top: int) -> DataFrame:
-    """Scores of the candidates (all but the first of ``frequent``) and the first ones of each language."""
-    columns = ["lang", "phrase", "a", "words"]
-    found = frequent[0].select(columns)
-    for level in frequent[1:]:
-        found = found.unionByName(level.select(columns))
-    count = found.select("words", "a")
+    places = saved(vocabulary.join(known.select("lang", "word", "gid"), ["lang", "word"]).select("shard", "gid", "id"), "places")
+    left = places.groupBy("shard")
+    pairs = left.cogroup(shards.select("shard", "counts", "backward").groupBy("shard")).applyInArrow(_pairs, "w0 bigint, w1 bigint, n bigint")
+    pairs = saved(pairs.groupBy("w0", "w1").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
+    names = [f"w{i}" for i in range(longest)]
+    words = F.filter(F.array(*names), lambda w: w >= 0)
+    found = known.select(F.array("gid").alias("words"), "a").unionByName(pairs.select(F.array("w0", "w1").alias("words"), "a"))
+    if longest > 2:
+        bits = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))  # BITS / 8 bytes
+        longer = left.cogroup(shards.select("shard", "counts", "forward", "backward").groupBy("shard")).applyInArrow(
+            _longer(bits, longest), ", ".join(f"{c} bigint" for c in [*names, "n"]))
+        longer = longer.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        found = found.unionByName(saved(longer.select(words.alias("words"), "a"), "longer"))
+    discard(places, shards)
+    return _ranked(found, known, total, top)
+
+
+def _ranked(found: DataFrame, known: DataFrame, total: DataFrame, top: int) -> DataFrame:
+    """Scores of the phrases (words, a) of two words and more and the first ones of each language."""
     longer = found.filter(F.size("words") > 2)
     inside = longer.select(F.explode(F.array(F.expr("slice(words, 1, size(words) - 1)"), F.expr("slice(words, 2, size(words) - 1)"))).alias("words"), "a").distinct()
     candidates = found.filter(F.size("words") > 1).join(inside, ["words", "a"], "left_anti")
+    each = candidates.select("words", "a", F.posexplode("words").alias("i", "gid")).join(known.select("gid", "lang", "word"), "gid")
+    candidates = each.groupBy("words", "a").agg(F.first("lang").alias("lang"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))  # at most ``longest`` rows
     cuts = candidates.select("*", F.explode(F.expr("sequence(1, size(words) - 1)")).alias("k"))
     cuts = (cuts.withColumns({"first": F.expr("slice(words, 1, k)"), "rest": F.expr("slice(words, k + 1, size(words) - k)")})
-            .join(count.select(F.col("words").alias("first"), F.col("a").alias("l")), "first")
-            .join(count.select(F.col("words").alias("rest"), F.col("a").alias("r")), "rest").join(total, "lang"))
+            .join(found.select(F.col("words").alias("first"), F.col("a").alias("l")), "first")
+            .join(found.select(F.col("words").alias("rest"), F.col("a").alias("r")), "rest").join(total, "lang"))
     big = lambda c: F.col(c).cast("decimal(19,0)")
     cuts = cuts.withColumns({"over": (big("a") * big("n") * F.lit(1000).cast("decimal(4,0)")).cast("decimal(38,0)"), "under": (big("l") * big("r")).cast("decimal(38,0)")})
     scored = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr("over div under").alias("score"), "k", "l", "r")).alias("x"))
