@@ -1,8 +1,7 @@
 """Phrase collocations from sharded FM-indexes over word ids (dealt operator 12).
 
 A task cuts its documents into shards of one language. A shard's words get local ids, and the
-Burrows-Wheeler transforms of the word sequence and of its reverse are stored as one row: the shard's
-FM-index. Suffixes are sorted by their first ``longest`` words only, which is as deep as a phrase goes.
+Burrows-Wheeler transforms of the word sequence and of its reverse are stored: the shard's FM-index. Suffixes are sorted by their first ``longest`` words only, which is as deep as a phrase goes.
 
 Phrases grow by one word a level, in turn to the right (through the transform of the reverse) and to the
 left (through the other one). A phrase is a pair of intervals, one in each order; extending one narrows
@@ -30,14 +29,16 @@ from pyspark.sql.window import Window
 from .common import discard, saved
 
 #: Words of a shard, beyond which it is closed; a shard ends with a document or, in a long one, with a piece.
-SHARD = 1 << 21
+SHARD = 1 << 20
+#: Symbols of a transform in one row of the index; a shard has as many rows as it takes.
+PART = 1 << 18
 #: Bytes of text that are cut into words at a time; the cut is made at the next end of a piece.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Bits of the bitmap of frequent pairs (8 MB), whatever their number.
 BITS = 1 << 26
 #: First rounds of the ranking split each language this many ways.
 SPREAD = 64
-INDEX = "lang string, shard bigint, words array<string>, counts array<int>, forward binary, backward binary"
+INDEX = "lang string, shard bigint, part int, words array<string>, counts array<int>, forward binary, backward binary"
 
 
 def _separators() -> bytes:
@@ -94,12 +95,15 @@ def _index(longest: int):
             counts = np.bincount(codes, minlength=len(ids)).astype(np.int32)
             words = pa.array(list(ids)[1:], pa.binary()).cast(pa.string())
             ids.clear()
-            transforms = [x[_order(x, longest) - 1].astype(np.int32).tobytes() for x in (codes, codes[::-1].copy())]
-            cols = [pa.array([lang]), pa.array([shard]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(counts[1:])),
-                    *(pa.array([x], pa.binary()) for x in transforms)]
+            transforms = [x[_order(x, longest) - 1].astype(np.int32) for x in (codes, codes[::-1].copy())]
+            cuts = range(0, len(codes), PART)
+            n = len(cuts)
+            lists = pa.array([0, *[len(words)] * n], pa.int32())  # the first row has the words
+            cols = [pa.array([lang] * n), pa.array([shard] * n), pa.array(range(n), pa.int32()), pa.ListArray.from_arrays(lists, words),
+                    pa.ListArray.from_arrays(lists, pa.array(counts[1:])),
+                    *(pa.array([x[i:i + PART].tobytes() for i in cuts], pa.binary()) for x in transforms)]
             shard += 1
-            return pa.RecordBatch.from_arrays(cols, ["lang", "shard", "words", "counts", "forward", "backward"])
+            return pa.RecordBatch.from_arrays(cols, ["lang", "shard", "part", "words", "counts", "forward", "backward"])
 
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
@@ -126,7 +130,7 @@ def _index(longest: int):
 
 
 def index(docs: DataFrame, longest: int) -> DataFrame:
-    """FM-indexes over the words of ``docs`` (lang, text): one row a shard."""
+    """FM-indexes over the words of ``docs`` (lang, text): a few rows a shard, the first with its words."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     return saved(rows.mapInArrow(_index(longest), INDEX), "index")
 
@@ -157,7 +161,9 @@ class _Shard:
     """A shard's index and the numbers of its frequent words."""
 
     def __init__(self, left: pa.Table, right: pa.Table):
-        self.transforms = {c: np.frombuffer(right[c][0].as_buffer(), np.int32) for c in ("forward", "backward") if c in right.column_names}
+        parts = np.argsort(right["part"].to_numpy())
+        self.transforms = {c: np.concatenate([np.frombuffer(right[c][int(i)].as_buffer(), np.int32) for i in parts])
+                           for c in ("forward", "backward") if c in right.column_names}
         size = len(next(iter(self.transforms.values())))
         counts = right["counts"].combine_chunks().flatten().to_numpy()
         self.counts = np.append(size - counts.sum(dtype=np.int64), counts).astype(np.int64)
@@ -185,9 +191,9 @@ class _Shard:
         if ``bits`` are given; then the new pair of words must be one of them."""
         n, start = p["n"], p[main]
         before = np.cumsum(n) - n
-        node = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(node)) - before[node] + start[node]
-        key = node << 32 | self.transforms[main][at].astype(np.int64)
+        at = np.arange(n.sum(), dtype=np.int32) + np.repeat((start - before).astype(np.int32), n)
+        key = np.repeat(np.arange(len(n)) << 32, n)
+        key |= self.transforms[main][at]
         order = np.argsort(key, kind="stable")
         key = key[order]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -259,14 +265,14 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     discard(counted)
     places = saved(vocabulary.join(known.select("lang", "word", "gid"), ["lang", "word"]).select("shard", "gid", "id"), "places")
     left = places.groupBy("shard")
-    pairs = left.cogroup(shards.select("shard", "counts", "backward").groupBy("shard")).applyInArrow(_pairs, "w0 bigint, w1 bigint, n bigint")
+    pairs = left.cogroup(shards.select("shard", "part", "counts", "backward").groupBy("shard")).applyInArrow(_pairs, "w0 bigint, w1 bigint, n bigint")
     pairs = saved(pairs.groupBy("w0", "w1").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
     names = [f"w{i}" for i in range(longest)]
     words = F.filter(F.array(*names), lambda w: w >= 0)
     found = known.select(F.array("gid").alias("words"), "a").unionByName(pairs.select(F.array("w0", "w1").alias("words"), "a"))
     if longest > 2:
         bits = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))  # BITS / 8 bytes
-        longer = left.cogroup(shards.select("shard", "counts", "forward", "backward").groupBy("shard")).applyInArrow(
+        longer = left.cogroup(shards.select("shard", "part", "counts", "forward", "backward").groupBy("shard")).applyInArrow(
             _longer(bits, longest), ", ".join(f"{c} bigint" for c in [*names, "n"]))
         longer = longer.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
         found = found.unionByName(saved(longer.select(words.alias("words"), "a"), "longer"))

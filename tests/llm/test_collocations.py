@@ -54,6 +54,7 @@ def check(make, rows, **limits):
 def test_equals_brute_force_over_many_shards(make, monkeypatch):
     monkeypatch.setattr(C, "SHARD", 700)
     monkeypatch.setattr(C, "CHUNK", 50)
+    monkeypatch.setattr(C, "PART", 100)
     rows = corpus(250, 1)
     check(make, rows, least=8, longest=5, top=60)
     check(make, rows, least=3, longest=3, top=2000)
