@@ -74,3 +74,10 @@ def per_worker(name: str, make):
     if name not in tables:
         tables[name] = make()
     return tables[name]
+
+
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """(d, th): a row's key. d is the id; th, a 64-bit hash of the text, tells rows of equal ids apart. Rows
+    without an id have 61 more bits of hash in d, below all ids from -6 917 529 027 641 081 856 on."""
+    more = F.xxhash64(F.lit(1), text).bitwiseAND(F.lit((1 << 61) - 1))
+    return F.coalesce(doc_id, more + F.lit(-(1 << 63))), F.xxhash64(text)

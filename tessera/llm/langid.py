@@ -24,7 +24,9 @@ from .common import per_worker
 BUCKETS = 1 << 14
 #: Text is scored in pieces of this many characters, to bound a task's memory.
 PIECE = 1 << 20
-BATCH = 1 << 22
+BATCH = 1 << 19
+#: Rows are labelled in slices of about this many bytes of text; a longer text is a slice of its own.
+SLICE = 1 << 21
 
 # FIXED VALUES: first and last code points of scripts (Unicode blocks).
 SCRIPTS = [
@@ -91,20 +93,30 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield at, batch
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about ``SLICE`` bytes of text together."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    part = (np.cumsum(size) - size) // SLICE
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    for a, b in zip(edges, np.append(edges[1:], len(part))):
+        yield batch.slice(int(a), int(b - a))
+
+
 def learn(docs: DataFrame) -> dict | None:
     """Trigram model of ``docs`` (text, lang); rows with a NULL text or lang teach nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for lang in set(langs):
-                texts = [t.as_py() for t, x in zip(batch.column(1), langs) if x == lang]
-                cells = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
-                for _, piece in _pieces(texts):
-                    h, starts, _, script = _trigrams(piece)
-                    cells[:BUCKETS] += np.bincount(h, minlength=BUCKETS)
-                    cells[BUCKETS:] += np.bincount(script, minlength=len(SCRIPT_NAMES))
+            for part in _slices(batch):
+                langs = part.column(0).to_pylist()
+                for lang in set(langs):
+                    texts = [t.as_py() for t, x in zip(part.column(1), langs) if x == lang]
+                    cells = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
+                    for _, piece in _pieces(texts):
+                        h, starts, _, script = _trigrams(piece)
+                        cells[:BUCKETS] += np.bincount(h, minlength=BUCKETS)
+                        cells[BUCKETS:] += np.bincount(script, minlength=len(SCRIPT_NAMES))
         for lang, cells in sums.items():
             at = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(cells[at])], ["lang", "cell", "n"])
@@ -131,8 +143,8 @@ def _viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) -
     first = (np.cumsum(counts) - counts)[order]
     lengths = counts[order]
     k = scores.shape[1]
-    back = np.empty(scores.shape, np.int8)
-    own = np.arange(k, dtype=np.int8)
+    back = np.empty(scores.shape, np.int32)
+    own = np.arange(k, dtype=np.int32)
     best = np.zeros((n_docs, k), np.float32)
     active = np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), "right")
     for t, a in enumerate(active):
@@ -141,10 +153,10 @@ def _viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) -
         top = v.argmax(1)
         high = v[np.arange(a), top] - np.float32(penalty)
         switch = v < high[:, None]
-        back[w] = np.where(switch, top[:, None].astype(np.int8), own)
+        back[w] = np.where(switch, top[:, None].astype(np.int32), own)
         best[:a] = np.maximum(v, high[:, None]) + scores[w]
-    label = np.empty(len(doc), np.int8)
-    now = best.argmax(1).astype(np.int8)
+    label = np.empty(len(doc), np.int32)
+    now = best.argmax(1).astype(np.int32)
     for t in range(len(active) - 1, -1, -1):
         a = active[t]
         w = first[:a] + t
@@ -167,8 +179,7 @@ def identify(docs: DataFrame, model: dict | None, penalty: float = 12.0) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for rows in range(0, batch.num_rows, 2000):
-                part = batch.slice(rows, 2000)
+            for part in _slices(batch):
                 yield _label(part, m, penalty)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, spans string")
@@ -181,8 +192,7 @@ def keep_identified(docs: DataFrame, model: dict | None, least: float = 0.5, pen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in range(0, batch.num_rows, 2000):
-                part = batch.slice(rows, 2000)
+            for part in _slices(batch):
                 got = _label(part.select(["doc_id", "text"]), shared.value, penalty)
                 yield part.filter(pc.and_(pc.not_equal(got.column(1), "und"), pc.greater_equal(got.column(2), least)))
 

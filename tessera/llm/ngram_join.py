@@ -30,8 +30,9 @@ from .graph import components
 #: Rows of a signature that are compared before sets are, and the least share that must agree.
 ROWS = 48
 PLAUSIBLE = 0.55
-#: Texts of one block.
+#: Texts of one block, and n-grams of one, about (a longer text is a block by itself).
 BLOCK = 256
+BLOCK_GRAMS = 1 << 20
 
 
 def bands(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -112,11 +113,19 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(x)) for i, x in enumerate(label) if x != i]
 
 
+def _column(c: pa.Array) -> list:
+    """Values of a column; lists of numbers as arrays, without Python numbers."""
+    if not pa.types.is_list(c.type):
+        return c.to_pylist()
+    ends, values = c.offsets.to_numpy(), c.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows of sorted batches by their first ``keys`` columns."""
     at, rows = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in zip(*(_column(c) for c in batch.columns)):
             if row[:keys] != at:
                 if rows:
                     yield at, rows
@@ -143,11 +152,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edges(out)
 
 
-def _blocked(rows: DataFrame, key: str, n: str) -> DataFrame:
-    """Copies of rows for each pair of blocks of their group: bi <= bj. A group of one block (n at
-    most BLOCK) has one pair, of the block with itself."""
-    g = F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = rows.withColumn("_g", g).withColumn("_b", F.pmod(F.xxhash64("t", F.lit(5)), F.col("_g")).cast("int"))
+def _blocked(rows: DataFrame, n: str) -> DataFrame:
+    """Copies of rows for each pair of the ``n`` blocks of their group: bi <= bj. A group of one block
+    has one pair, of the block with itself."""
+    rows = rows.withColumn("_g", F.col(n).cast("int")).withColumn("_b", F.pmod(F.xxhash64("t", F.lit(5)), F.col("_g")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
     return (rows.withColumn("_o", other).withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o"))
             .withColumn("mine", F.col("_b")).drop("_g", "_b", "_o", n))
@@ -160,7 +168,7 @@ def _verify(threshold: float):
         out: list[tuple] = []
         for (_, bi, bj), rows in _groups(batches, 3):
             # rows: t, block, copies, n-grams
-            sets = [np.asarray(r[3], np.int64) for r in rows]
+            sets = [r[3] for r in rows]
             size = np.array([len(x) for x in sets])
             of = np.repeat(np.arange(len(rows)), size)
             grams = np.concatenate(sets)
@@ -212,27 +220,32 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     """Rows (doc_id, some, t: hash of the text) and texts (t, copies, least doc_id, root of its
     class, texts and docs: numbers of links)."""
     b, r = bands(threshold, recall)
-    rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("t"), (count_words(F.col("text")) > 0).alias("some"))
-    members = saved(rows.select("doc_id", "some", "t"), "members")
-    texts = saved(members.filter("some").groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "texts")
+    rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("t"), count_words(F.col("text")).alias("words"))
+    rows = rows.withColumn("some", F.col("words") > 0)
+    members = saved(rows.select("doc_id", "some", "t", "words"), "members")
+    texts = saved(members.filter("some").groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"),
+                                                          F.first("words").alias("words")), "texts")
+    members = members.drop("words")
     signed = saved(rows.filter("some").select("t", "text").mapInArrow(_signed(n, b, r), "t binary, bands array<bigint>, sig binary")
                    .dropDuplicates(["t"]), "signatures")
     met = signed.select("t", F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = met.withColumn("n", F.ceil(F.col("n") / BLOCK))
     meeting = signed.select("t", "sig", F.explode("bands").alias("band")).join(met, "band")
-    near = saved(_blocked(meeting, "band", "n").select("band", "bi", "bj", "t", "sig").repartition("band", "bi", "bj")
+    near = saved(_blocked(meeting, "n").select("band", "bi", "bj", "t", "sig").repartition("band", "bi", "bj")
                  .sortWithinPartitions("band", "bi", "bj").mapInArrow(_meet, "a binary, b binary"), "meetings")
     discard(signed)
     hoods = components(near)
     discard(near)
-    sizes = hoods.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    hoods = hoods.join(texts, F.col("v") == F.col("t"))
+    sizes = hoods.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("words") / BLOCK_GRAMS)).alias("n"))
     # one row per text of a neighbourhood: its document with the least id, so that copies of a text
     # neither meet in one task nor are shuffled on; rows that are wholly repeated are in one partition
-    wanted = (hoods.join(sizes, "root").join(texts, F.col("v") == F.col("t"))
+    wanted = (hoods.join(sizes, "root")
               .select("t", F.coalesce("least", F.lit(-(1 << 63))).alias("d"), "root", "n", "copies"))
     with_text = (rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "t", "text").join(wanted, ["d", "t"])
                  .dropDuplicates(["d", "t"]).select("t", "root", "n", "copies", "text")
                  .mapInArrow(_sets(n), "t binary, root binary, n bigint, copies bigint, grams array<bigint>"))
-    found = saved(_blocked(with_text, "root", "n").select("root", "bi", "bj", "t", "mine", "copies", "grams")
+    found = saved(_blocked(with_text, "n").select("root", "bi", "bj", "t", "mine", "copies", "grams")
                   .repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
                   .mapInArrow(_verify(threshold), "t binary, root binary, texts bigint, docs bigint"), "verified")
     links = found.filter("root IS NULL").groupBy("t").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
@@ -257,7 +270,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     """
     members, per_text = _linked(docs, n, threshold, recall)
     per_class = per_text.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    per_text = saved(per_text.join(per_class, "root").select(
+    per_text = saved(per_text.drop("words").join(per_class, "root").select(
         "t", "class_id", "class_size", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_text_links")), "classes")
     got = members.filter("some").join(per_text, "t").drop("t", "some")

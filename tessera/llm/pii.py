@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_key, saved
 
 # FIXED VALUES: base patterns. Quantifiers are possessive and starts are anchored at the start of a
 # run, which changes no match but keeps Java's matcher from recursion and from quadratic scans.
@@ -66,7 +66,6 @@ CONTEXT = 24
 #: A bound on the candidates that the trees are fitted on.
 MAX_TRAINING = 20_000
 PRECISION = 0.95
-_MISSING = -(1 << 63)
 
 
 def _sum(a: Column) -> Column:
@@ -138,11 +137,12 @@ def _with_context(name: str, g: int) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """Base spans and candidates of each row of ``docs`` (doc_id, text).
 
-    doc_id; d and th (key of the row, see ``personal_data``); base: sorted (start, k, end), k the
+    doc_id; d and th (see ``row_key``); base: sorted (start, k, end), k the
     place of the kind in ``KINDS``; cand: (g, start, end, m, before, after), g the generator.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(_MISSING)).alias("d"), F.hash(t).alias("th"), t.alias("t"))
+    d, th = row_key(F.col("doc_id"), t)
+    rows = docs.select("doc_id", d.alias("d"), th.alias("th"), t.alias("t"))
     rows = rows.withColumn("_digit", F.col("t").rlike("[0-9]")).withColumn("_at", F.contains("t", F.lit("@")))
     found = []
     for k, (kind, pattern) in enumerate(KINDS.items()):
@@ -240,7 +240,7 @@ def added(found: DataFrame, seed: int = 5) -> DataFrame:
     # what is confirmed goes before what is only scored, and a number before a key of digits alone
     digits = (F.col("g") == list(GENERATORS).index("key")) & F.col("m").rlike("^[0-9/-]+$")
     rank = F.col("score") + F.coalesce("label", F.lit(0.0)) - F.when(digits, 2.0).otherwise(0.0)
-    per = taken.groupBy("d", "th").agg(F.array_distinct(F.collect_list(F.struct("start", "g", "end", rank.alias("score")))).alias("x"))
+    per = taken.groupBy("d", "th").agg(F.collect_set(F.struct("start", "g", "end", rank.alias("score"))).alias("x"))
     better = lambda a, b: (b["start"] < a["end"]) & (a["start"] < b["end"]) & (
         (b["score"] > a["score"]) | ((b["score"] == a["score"]) & ((b["end"] - b["start"] > a["end"] - a["start"])
                                                                   | ((b["end"] - b["start"] == a["end"] - a["start"]) & ((b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["g"] < a["g"])))))))
@@ -262,8 +262,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_email, n_ip, n_card, n_phone (base spans), base (their list as text), spans
     (all as text: kind:start:end by start, then kind; code points, end exclusive), found (all as an
-    array of (start, k, end)), d and th (the row's key: the id, the least number for NULL, and a
-    hash of the text). NULL texts are empty. Rows with equal id and text get equal spans. An empty
+    array of (start, k, end)), d and th (see ``row_key``). NULL texts are empty. Rows with equal id and text get equal spans. An empty
     table gives no rows; other columns are not read. Texts are read once and not shuffled.
     """
     found = saved(spans(docs), "spans")
@@ -295,7 +294,8 @@ def redact(docs: DataFrame) -> DataFrame:
     found = personal_data(docs).filter(F.size("found") > 0).select("d", "th", "found").dropDuplicates(["d", "th"]).hint("merge")
     text = F.coalesce(F.col("r.text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    rows = rows.withColumn("d", F.coalesce(F.col("r.doc_id"), F.lit(_MISSING))).withColumn("th", F.hash(text))
+    d, th = row_key(F.col("r.doc_id"), text)
+    rows = rows.withColumn("d", d).withColumn("th", th)
     rows = rows.join(found, ["d", "th"], "left")
     rows = rows.withColumn("clean", F.when(F.col("found").isNotNull(), redacted(F.col("r.text"), F.col("found"))).otherwise(F.col("r.text")))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(dict(docs.dtypes).get("n_chars", "bigint"))}

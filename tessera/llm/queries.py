@@ -91,7 +91,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = personal_data(documents(spark, sf_dir))
-    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans",
+                      F.size("found").cast("long").alias("n_spans"))
 
 
 @query

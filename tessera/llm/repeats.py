@@ -22,15 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .common import discard, saved
-
-_MISSING = -(1 << 63)
+from .common import discard, row_key, saved
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key of a row: d (the id; the least number for NULL) and th (a hash of
-    the text, so that rows with equal ids and other texts stay apart)."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(_MISSING)).alias("d"), F.hash("text").alias("th"))
+    """doc_id, text and the key of a row (see ``row_key``)."""
+    d, th = row_key(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.select("doc_id", "text", d.alias("d"), th.alias("th"))
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -67,7 +65,7 @@ def candidates(rows: DataFrame, unit: str, length: int, k: int) -> DataFrame:
     counts = rows.select("text").mapInArrow(_anchors(unit, length, k), "anchor bigint, n bigint")
     repeated = saved(counts.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
     found = rows.select("d", "th", "text").mapInArrow(
-        _segments(unit, length, k), "anchor bigint, hash bigint, d bigint, th int, start int, shape int")
+        _segments(unit, length, k), "anchor bigint, hash bigint, d bigint, th bigint, start int, shape int")
     segments = saved(found.join(repeated, "anchor"), "segments")
     discard(repeated)
     return segments
@@ -131,7 +129,7 @@ def halves(kinds: DataFrame, rows: DataFrame, unit: str, length: int, k: int, pa
                     yield pa.RecordBatch.from_arrays(cols, ["anchor", "side", "context", "d", "th", "start", "n", "c", payload])
 
     found = saved(rows.select("d", "th", "text").join(firsts, ["d", "th"]).select("d", "th", "text", "s").mapInArrow(
-        run, f"anchor bigint, side int, context bigint, d bigint, th int, start int, n int, c bigint, {payload} {kind}"), "halves")
+        run, f"anchor bigint, side int, context bigint, d bigint, th bigint, start int, n int, c bigint, {payload} {kind}"), "halves")
     alive = found.groupBy("anchor", "side", "context").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     kept = saved(found.join(alive, ["anchor", "side", "context"]).drop("side", "context"), "alive")
     discard(found)
@@ -140,7 +138,8 @@ def halves(kinds: DataFrame, rows: DataFrame, unit: str, length: int, k: int, pa
 
 def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
     """Each row of ``rows`` with the list ``p`` of its places (start, n); NULL if it has none."""
-    by_row = places.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n")).alias("p"))
+    # wholly repeated rows have the same places: each is kept once, before the shuffle
+    by_row = places.groupBy("d", "th").agg(F.collect_set(F.struct("start", "n")).alias("p"))
     return rows.join(by_row, ["d", "th"], "left").select("doc_id", "text", "p")
 
 

@@ -154,7 +154,7 @@ def _sort_blocks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(block: list[dict]) -> pa.RecordBatch:
             cols = list(zip(*_later(block, length))) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
                                               ["d", "th", "start", "n"])
 
         block: list[dict] = []
@@ -211,10 +211,10 @@ def later_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     open_ = halves(kinds, rows, "bytes", length, k, "bytes")
     hot = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT).select("anchor")
     few = open_.join(hot, "anchor", "left_anti").select("anchor", "d", "th", "start", "n", "bytes")
-    shape = "d bigint, th int, start int, n int"
+    shape = "d bigint, th bigint, start int, n int"
     sorted_ = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_blocks(length), shape)
     strings = (open_.join(hot, "anchor").select("anchor", "d", "th", "start", "bytes")
-               .mapInArrow(_string_hashes(length), "anchor bigint, d bigint, th int, start int, w array<bigint>")
+               .mapInArrow(_string_hashes(length), "anchor bigint, d bigint, th bigint, start int, w array<bigint>")
                .select("anchor", "d", "th", "start", F.posexplode("w").alias("i", "w"))
                .select("anchor", "w", F.struct("d", "th", (F.col("start") + F.col("i")).alias("start")).alias("at")))
     earliest = strings.groupBy("anchor", "w").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")

@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, words_of
+from .common import row_key, saved, words_of
 
 K, S = 5, 2
-_MISSING = -(1 << 63)
 _PLACE = (1 << 32) - 1
 
 
@@ -72,9 +71,8 @@ def likeness(a: Column, b: Column) -> Column:
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, text (NULL: empty), n_chars and a row's key: d, th and, within equal rows, occ."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"),
-                        F.coalesce(F.col("doc_id"), F.lit(_MISSING)).alias("d"), F.hash(text).alias("th"))
-    return keyed
+    d, th = row_key(F.col("doc_id"), text)
+    return docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), d.alias("d"), th.alias("th"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
