@@ -82,6 +82,18 @@ def _order(codes: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def _packed(symbols: np.ndarray) -> bytes:
+    """Symbols as their number and compressed planes of bytes: neighbours of equal surroundings are alike."""
+    planes = symbols.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.int32(len(symbols)).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    planes = np.frombuffer(pa.decompress(data.slice(4), 4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+
+
 def _index(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _separators()
@@ -101,7 +113,7 @@ def _index(longest: int):
             lists = pa.array([0, *[len(words)] * n], pa.int32())  # the first row has the words
             cols = [pa.array([lang] * n), pa.array([shard] * n), pa.array(range(n), pa.int32()), pa.ListArray.from_arrays(lists, words),
                     pa.ListArray.from_arrays(lists, pa.array(counts[1:])),
-                    *(pa.array([x[i:i + PART].tobytes() for i in cuts], pa.binary()) for x in transforms)]
+                    *(pa.array([_packed(x[i:i + PART]) for i in cuts], pa.binary()) for x in transforms)]
             shard += 1
             return pa.RecordBatch.from_arrays(cols, ["lang", "shard", "part", "words", "counts", "forward", "backward"])
 
@@ -162,7 +174,7 @@ class _Shard:
 
     def __init__(self, left: pa.Table, right: pa.Table):
         parts = np.argsort(right["part"].to_numpy())
-        self.transforms = {c: np.concatenate([np.frombuffer(right[c][int(i)].as_buffer(), np.int32) for i in parts])
+        self.transforms = {c: np.concatenate([_unpacked(right[c][int(i)].as_buffer()) for i in parts])
                            for c in ("forward", "backward") if c in right.column_names}
         size = len(next(iter(self.transforms.values())))
         counts = right["counts"].combine_chunks().flatten().to_numpy()
