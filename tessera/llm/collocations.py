@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import discard, saved
 
 #: Words of a shard, beyond which it is closed; a shard ends with a document or, in a long one, with a piece.
-SHARD = 1 << 20
+SHARD = 1 << 21
 #: Symbols of a transform in one row of the index; a shard has as many rows as it takes.
 PART = 1 << 18
 #: Bytes of text that are cut into words at a time; the cut is made at the next end of a piece.
