@@ -30,6 +30,8 @@ from .common import discard, saved
 
 #: Words of a shard, beyond which it is closed; a shard ends with a document or, in a long one, with a piece.
 SHARD = 1 << 21
+#: Bits of a word's id in its shard; 20 more number a task's shards.
+ID_BITS = 23
 #: Symbols of a transform in one row of the index; a shard has as many rows as it takes.
 PART = 1 << 18
 #: Bytes of text that are cut into words at a time; the cut is made at the next end of a piece.
@@ -97,7 +99,7 @@ def _unpacked(data: pa.Buffer) -> np.ndarray:
 def _index(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _separators()
-        shard = TaskContext.get().partitionId() << 32
+        shard = TaskContext.get().partitionId() << 20
         open_: dict[str, tuple[defaultdict, list, list]] = {}
 
         def close(lang: str) -> pa.RecordBatch:
@@ -265,18 +267,20 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     single word does, since counts don't rise with length. Order: score, a (both descending), phrase (UTF-8 bytes).
 
     A NULL lang is ``und``, a NULL text is empty; texts without words add nothing; repeated rows count
-    as often as they occur; an empty table gives no rows. Products are exact up to 38 digits.
+    as often as they occur; an empty table gives no rows. Products are exact up to 38 digits;
+    a piece has fewer than 8 million different words.
     """
     shards = index(docs, longest)
     vocabulary = shards.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "x")).select(
         "lang", "shard", (F.col("id") + 1).alias("id"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counted = saved(vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
-    total = saved(counted.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-    # every frequent word gets a number; the table is stored, so it stays the same
-    known = saved(counted.filter(F.col("a") >= least).withColumn("gid", F.monotonically_increasing_id()), "frequent")
-    discard(counted)
-    places = saved(vocabulary.join(known.select("lang", "word", "gid"), ["lang", "word"]).select("shard", "gid", "id"), "places")
-    left = places.groupBy("shard")
+    total = saved(shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda t, x: t + x)).alias("n")), "totals")
+    # a frequent word's number is its first place: unique, and the same for all shards
+    same = Window.partitionBy("lang", "word")
+    place = F.call_function("shiftleft", F.col("shard"), F.lit(ID_BITS)).bitwiseOR(F.col("id").cast("bigint"))
+    places = vocabulary.withColumns({"a": F.sum("n").over(same), "place": place}).withColumn("gid", F.min("place").over(same))
+    places = saved(places.filter(F.col("a") >= least).drop("n"), "places")
+    known = places.filter("gid = place").select("lang", "word", "a", "gid")
+    left = places.select("shard", "gid", "id").groupBy("shard")
     pairs = left.cogroup(shards.select("shard", "part", "counts", "backward").groupBy("shard")).applyInArrow(_pairs, "w0 bigint, w1 bigint, n bigint")
     pairs = saved(pairs.groupBy("w0", "w1").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
     names = [f"w{i}" for i in range(longest)]
@@ -288,7 +292,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
             _longer(bits, longest), ", ".join(f"{c} bigint" for c in [*names, "n"]))
         longer = longer.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
         found = found.unionByName(saved(longer.select(words.alias("words"), "a"), "longer"))
-    discard(places, shards)
+    discard(shards)
     return _ranked(found, known, total, top)
 
 
