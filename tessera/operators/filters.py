@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import lookup_case
+from ..functions.exprs import format_fixed, lookup_case
 from ..spec import OBESITY, SurveySpec
 
 
@@ -58,12 +58,12 @@ def thousands(n: Column, sep: str = ".") -> Column:
 
 def signed3(x: Column) -> Column:
     """``%+.3f``."""
-    return F.format_string("%+.3f", x)
+    return format_fixed(x, 3, plus=True)
 
 
 def percent1(x: Column) -> Column:
     """``%.1f%``."""
-    return F.concat(F.format_string("%.1f", x), F.lit("%"))
+    return F.concat(format_fixed(x, 1), F.lit("%"))
 
 
 def underscores_to_spaces(c: Column) -> Column:

@@ -80,7 +80,7 @@ def with_clean(*ctes: str) -> str:
 
 
 def pct(part: str, whole: str, places: int) -> str:
-    return (f"coalesce(round(CAST({part} AS DOUBLE) / CAST(NULLIF({whole}, 0) AS DOUBLE) * 100.0, {places}), 0.0)")
+    return (f"coalesce(round_even(CAST({part} AS DOUBLE) / CAST(NULLIF({whole}, 0) AS DOUBLE) * 100.0 * {10 ** places}.0, 0) / {10 ** places}.0, 0.0)")
 
 
 # ----------------------------------------------------------------- feature oracles
