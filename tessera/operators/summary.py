@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import class_dim
 from ..functions.exprs import pct, rnd
-from ..functions.stats import exact_quantiles_wide
+from ..functions.stats import exact_quantiles_wide, moments, rounded_mean
 from ..spec import OBESITY, SEVERE_CLASSES, SurveySpec
 
 
@@ -71,17 +71,14 @@ def family_history_impact(df: DataFrame, spec: SurveySpec = OBESITY, col: str =
 def describe(df: DataFrame, cols, places: int = 4, quartiles: bool = True) -> DataFrame:
     """Mean, median, sample std, min, max (+ quartiles) per column, long format."""
     cols = list(cols)
-    moments = [F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                        F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-               for c in cols]
-    m = df.agg(F.array(*moments).alias("m")).select(F.explode("m").alias("x")).select("x.*")
+    m = moments(df, cols)
     probs, names = ([0.25, 0.5, 0.75], ["q1", "median", "q3"]) if quartiles else ([0.5], ["median"])
     q = exact_quantiles_wide(df, cols, probs, names=names)
     out = m.join(q, "column", "left")
     stats = ["mean", "median", "std", "min", "max"] + (["q1", "q2", "q3"] if quartiles else [])
     if quartiles:
         out = out.withColumn("q2", F.col("median"))
-    return out.select("column", *[rnd(s, places).alias(s) for s in stats])
+    return out.select("column", *[(rounded_mean if s == "mean" else rnd)(s, places).alias(s) for s in stats])
 
 
 def frequency_table(df: DataFrame, cols, places: int = 2) -> DataFrame:

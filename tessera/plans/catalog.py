@@ -216,7 +216,7 @@ def _describe_sql(src: str, cols, quartiles=True) -> str:
     for c in cols:
         qs = (f", round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS q2, "
               f"round(quantile_cont({c}, 0.75), 4) AS q3") if quartiles else ""
-        parts.append(f"SELECT {O.q(c)} AS \"column\", round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, "
+        parts.append(f"SELECT {O.q(c)} AS \"column\", CAST(round(CAST(avg({c}) AS DECIMAL(28,10)), 4) AS DOUBLE) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, "
                      f"round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max{qs} FROM {src}")
     return " UNION ALL ".join(parts)
 

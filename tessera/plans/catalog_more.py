@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as E
 from ..operators import filters as P
+from ..functions.stats import moments, rounded_mean
 from ..operators import summary as A
 from ..spec import OBESITY, SEVERE_CLASSES
 from . import bases
@@ -26,7 +27,7 @@ def _feat_unscaled(spark, sf):
 
 def _describe5_sql(src: str, cols) -> str:
     return " UNION ALL ".join(
-        f"SELECT {O.q(c)} AS \"column\", round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, "
+        f"SELECT {O.q(c)} AS \"column\", CAST(round(CAST(avg({c}) AS DECIMAL(28,10)), 4) AS DOUBLE) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, "
         f"round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max FROM {src}"
         for c in cols)
 
@@ -202,10 +203,10 @@ _SC = [*S.standard_cols, *S.minmax_cols]
 def _a25_sql() -> str:
     parts = []
     for c in _SC:
-        parts.append(f"SELECT 'before' AS stage, {O.q(c)} AS \"column\", round(avg({c}), 4) AS mean, "
+        parts.append(f"SELECT 'before' AS stage, {O.q(c)} AS \"column\", CAST(round(CAST(avg({c}) AS DECIMAL(28,10)), 4) AS DOUBLE) AS mean, "
                      f"round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max FROM enc")
         x = O.scaled_sql(c)
-        parts.append(f"SELECT 'after', {O.q(c)}, round(avg({x}), 4), round(stddev_samp({x}), 4), round(min({x}), 4), "
+        parts.append(f"SELECT 'after', {O.q(c)}, CAST(round(CAST(avg({x}) AS DECIMAL(28,10)), 4) AS DOUBLE), round(stddev_samp({x}), 4), round(min({x}), 4), "
                      f"round(max({x}), 4) FROM enc CROSS JOIN fstats")
     return O.with_clean(*FEAT_ALL) + "\n" + " UNION ALL ".join(parts)
 
@@ -219,11 +220,9 @@ def a25_scaling_before_after(spark, sf):
     after = model.feature_frame(base).select(*_SC)
 
     def summ(df, stage):
-        items = [F.struct(F.lit(c).alias("column"), F.round(F.avg(c), 4).alias("mean"),
-                          F.round(F.stddev_samp(c), 4).alias("std"), F.round(F.min(c).cast("double"), 4).alias("min"),
-                          F.round(F.max(c).cast("double"), 4).alias("max")) for c in _SC]
-        return df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("x")).select(
-            F.lit(stage).alias("stage"), "x.*")
+        m = moments(df, _SC)
+        return m.select(F.lit(stage).alias("stage"), "column", rounded_mean("mean", 4).alias("mean"),
+                        *[F.round(c, 4).alias(c) for c in ("std", "min", "max")])
     return summ(before, "before").unionByName(summ(after, "after"))
 
 

@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import average_ranks, exact_quantiles, running_total
+from tessera.functions import stats
+from tessera.functions.stats import average_ranks, exact_quantiles, moments, rounded_mean, running_total
 from tessera.operators.correlate import spearman_matrix, spearman_vs_target
 
 
@@ -38,6 +39,65 @@ def test_exact_quantiles_even_count_and_constant(spark):
     assert exact_quantiles(const, ["v"], [0.5]).first()["value"] == 2.0
 
 
+@pytest.mark.parametrize("between", [100_000, 0])
+def test_exact_quantiles_of_many_values(spark, monkeypatch, between):
+    """More values than a sketch keeps, ties in the middle; with histograms between the bounds as well."""
+    monkeypatch.setattr(stats, "BETWEEN", between)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(60_000) < 0.3, np.round(rng.normal(0, 1, 60_000), 1), rng.lognormal(0, 3, 60_000))
+    g = rng.integers(0, 3, 60_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x})).repartition(5)
+    got = {(r["g"], r["p"]): r["value"] for r in exact_quantiles(df, ["x"], [0.0, 0.01, 0.5, 0.75, 1.0], by=["g"]).collect()}
+    assert len(got) == 15
+    for (k, p), v in got.items():
+        assert v == pytest.approx(np.quantile(x[g == k], p), abs=1e-12)
+
+
+def test_exact_quantiles_recover_from_wrong_bounds(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SKETCH_ERROR", -0.2)  # bounds that exclude the rank
+    x = np.random.default_rng(1).normal(0, 1, 3000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    assert exact_quantiles(df, ["x"], [0.3]).first()["value"] == pytest.approx(np.quantile(x, 0.3), abs=1e-12)
+
+
+def test_quantiles_take_two_scans(spark, monkeypatch, tmp_path):
+    reads = []
+    real = stats.to_long
+    monkeypatch.setattr(stats, "to_long", lambda *a, **k: reads.append(1) or real(*a, **k))
+    written = []
+    keep = stats.materialize
+    monkeypatch.setattr(stats, "materialize", lambda df: written.append(df) or keep(df))
+    df = frame(spark, 2000)
+    exact_quantiles(df, ["x"], [0.25, 0.5]).collect()
+    # the sketch's table, and one round of counts: each of the two reads the rows once
+    assert len(reads) == 1 and len(written) == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_moments_dont_depend_on_partitions(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 1e6, 3000), rng.integers(0, 999, 3000) / 10, [None, np.nan]])
+    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(x)], "i int, x double")
+    got = [moments(df.orderBy(F.xxhash64("i", F.lit(k))).repartition(n), ["x"]).first() for k, n in enumerate((1, 4, 16))]
+    assert got[0] == got[1] == got[2]
+    ok = np.array([v for v in x if v is not None and not np.isnan(float(v))], float)
+    assert got[0]["n"] == len(ok) and got[0]["mean"] == pytest.approx(ok.mean()) and got[0]["std"] == pytest.approx(ok.std(ddof=1))
+    assert (got[0]["min"], got[0]["max"]) == (ok.min(), ok.max())
+
+
+def test_moments_by_group_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, None), ("b", 5.0, None)], "g string, x double, y double")
+    got = {(r["g"], r["column"]): (r["n"], r["mean"], r["std"]) for r in moments(df, ["x", "y"], by=["g"]).collect()}
+    assert got == {("a", "x"): (2, 2.0, pytest.approx(2 ** 0.5)), ("b", "x"): (1, 5.0, None), ("a", "y"): (1, 2.0, None)}
+    empty = moments(df.where("g = 'z'"), ["x"]).first()
+    assert (empty["column"], empty["n"], empty["mean"]) == ("x", None, None)
+
+
+def test_a_mean_on_a_tie_rounds_up(spark):
+    df = spark.createDataFrame([(38.07235,), (38.07234999999999,), (38.07235000000001,), (-1e-17,)], "m double")
+    assert [r[0] for r in df.select(rounded_mean("m", 4)).collect()] == [38.0724, 38.0724, 38.0724, 0.0]
+
+
 def test_running_total_matches_cumsum(spark):
     df = frame(spark, n=300)
     got = {r["id"]: r["before"] for r in running_total(df, ["g"], ["x", "id"], "y", "before", partitions=5).collect()}
