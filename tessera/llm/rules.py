@@ -3,7 +3,8 @@
 DataFrame and SQL functions only. A document's histogram of character classes and of common words
 is compared with its language's by Jensen-Shannon distance (base 2, 0 to 1). The references are
 gathered from the corpus itself by grouped aggregates: a common word is one that makes up at least
-``COMMON`` of a language's words, so a language has at most 1 / COMMON of them.
+``COMMON`` of a language's words, so a language has at most 1 / COMMON of them. Words are compared by
+32-bit hashes, of which a common word shares its own with next to no others.
 """
 
 from __future__ import annotations
@@ -15,10 +16,6 @@ from .common import saved, words_of
 
 #: Least share of a language's words that a common word has.
 COMMON = 1 / 400
-#: Common words are sought among words of at most this many letters.
-SHORT = 6
-#: References are made for the languages with the most documents, at most so many.
-MAX_LANGUAGES = 200
 MIN_WORDS = 50
 #: Least number of words for a comparison of common words.
 GUARD_WORDS = 100
@@ -41,8 +38,8 @@ def _term(p: Column, q: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: doc_id, lang, the base counts, ``classes`` (characters per class)
-    and ``short`` (words of at most ``SHORT`` letters with their counts). NULL texts are empty.
+    """One pass over the texts: doc_id, lang, the base counts, ``classes`` (characters per class),
+    ``words`` (32-bit hashes of the different words) and ``times`` (their counts). NULL texts are empty.
 
     Three-word windows are packed as 36 bits of a hash and the place, and sorted as numbers.
     Neighbours with the same hash are compared word by word, so a chance collision counts nothing.
@@ -71,40 +68,35 @@ def measure(docs: DataFrame) -> DataFrame:
     # each repeated window covers three words, less what the next one covers too
     covered = _sum(F.transform(at, lambda i, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - i, F.lit(3)))), F.lit(0))
     # what a lambda refers to is a column of its own, or it would be computed for each element
-    rows = rows.withColumn("_short", F.sort_array(F.filter(w, lambda x: F.length(x) <= SHORT)))
-    a = F.col("_short")
+    rows = rows.withColumn("_sorted", F.sort_array(F.transform(w, lambda x: F.hash(x))))
+    a = F.col("_sorted")
     rows = rows.withColumn("_runs", F.filter(F.transform(a, lambda x, i: F.when((i > 0) & (x == F.get(a, i - 1)), F.lit(-1)).otherwise(i)), lambda i: i >= 0))
-    runs = F.transform("_runs", lambda i, j: F.struct(F.get(a, i).alias("w"), (F.coalesce(F.get(F.col("_runs"), j + 1), F.size(a)) - i).alias("n")))
+    words = F.transform("_runs", lambda i: F.get(a, i))
+    times = F.transform("_runs", lambda i, j: F.coalesce(F.get(F.col("_runs"), j + 1), F.size(a)) - i)
     n, chars = F.size("_w").cast("long"), F.length("t").cast("long")
     classes = F.array(chars - F.col("word_chars"), F.col("n_symbols"), *[F.regexp_count("_rare", F.lit(p)).cast("long") for p in CLASSES.values()])
     return rows.select(
         "doc_id", "lang", n.alias("n_words"), "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"), chars.alias("chars"), classes.alias("classes"),
-        runs.alias("short"))
+        words.alias("words"), times.alias("times"))
 
 
 def references(rows: DataFrame) -> DataFrame:
     """One row per language of measured rows: lang, cc (shares of the character classes, the rest
-    last), common (map of common words to their shares). Rows with empty text or NULL lang add
-    nothing. At most ``MAX_LANGUAGES`` rows, and 1 / ``COMMON`` words in each."""
-    spark = rows.sparkSession
+    last), common (hashes of its common words, at most 1 / ``COMMON``) and shares (theirs). Rows with
+    empty text or NULL lang add nothing."""
     known = rows.filter(F.col("lang").isNotNull() & (F.col("chars") > 0))
     parts = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 2)]
-    counts = (known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("chars").alias("n"), F.sum("n_words").alias("words"), *parts)
-              .orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).collect())
-    total = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["words"])]) if counts else None
-    by: dict[str, dict[str, float]] = {}
-    if counts:
-        words = (known.filter(F.col("lang").isin([r["lang"] for r in counts])).select("lang", F.explode("short").alias("s"))
-                 .groupBy("lang", F.col("s.w").alias("w")).agg(F.sum("s.n").alias("n")))
-        for r in words.filter(F.col("n") >= COMMON * F.element_at(total, F.col("lang"))).collect():
-            by.setdefault(r["lang"], {})[r["w"]] = r["n"]
-    out = []
-    for r in counts:
-        shares = [r[f"c{i}"] / r["n"] for i in range(len(CLASSES) + 2)]
-        out.append((r["lang"], [*shares, max(0.0, 1 - sum(shares))], {w: n / r["words"] for w, n in by.get(r["lang"], {}).items()}))
-    return spark.createDataFrame(out, "lang string, cc array<double>, common map<string,double>")
+    langs = known.groupBy("lang").agg(F.sum("chars").alias("n"), F.sum("n_words").alias("all"), *parts)
+    each = F.array(*[F.col(f"c{i}") / F.col("n") for i in range(len(CLASSES) + 2)])
+    rest = F.greatest(F.lit(0.0), 1 - _sum(F.col("cc"), F.lit(0.0)))
+    langs = saved(langs.select("lang", "all", each.alias("cc")).withColumn("cc", F.concat("cc", F.array(rest))), "languages")
+    words = known.select("lang", F.explode(F.arrays_zip("words", "times")).alias("x")).groupBy("lang", F.col("x.words").alias("w")).agg(F.sum("x.times").alias("n"))
+    words = words.join(langs.select("lang", "all"), "lang").filter(F.col("n") >= COMMON * F.col("all"))
+    common = words.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("w", (F.col("n") / F.col("all")).alias("share")))).alias("x"))
+    none = lambda c, kind: F.coalesce(F.col(f"x.{c}"), F.array().cast(kind))
+    return saved(langs.join(common, "lang", "left").select("lang", "cc", none("w", "array<int>").alias("common"), none("share", "array<double>").alias("shares")), "references")
 
 
 def quality_rules(docs: DataFrame, max_class: float = 0.25, max_common: float = 0.5) -> DataFrame:
@@ -115,21 +107,19 @@ def quality_rules(docs: DataFrame, max_class: float = 0.25, max_common: float =
     is above its limit. Guards: distances are NULL, and don't reject, for NULL or empty texts and
     for a language without a reference; common words are compared from ``GUARD_WORDS`` words on.
     Repeated rows are judged one by one; an empty table gives no rows; other columns are not read.
-    Texts are read once; the reference table is bounded (see ``references``) and broadcast.
+    Texts are read once; references are made for all languages and joined.
     """
     rows = saved(measure(docs), "measured")
-    refs = references(rows)
-    vocabulary = sorted({w for r in refs.select("common").collect() for w in r[0]})
-    # a literal set is looked up by hash, a map by scanning it
-    known = F.filter("short", lambda r: r["w"].isin(vocabulary)) if vocabulary else F.slice("short", 1, 0)
-    rows = rows.withColumn("short", known).join(F.broadcast(refs), "lang", "left")
+    # as large as there are languages: Spark broadcasts it if it is small
+    rows = rows.join(references(rows), "lang", "left")
     zero, n, chars = F.lit(0.0), F.col("n_words"), F.col("chars")
     cells = F.concat("classes", F.array(chars - _sum(F.col("classes"), F.lit(0).cast("long"))))
     class_js = _sum(F.transform(cells, lambda c, i: _term(c / chars, F.get(F.col("cc"), i))), zero) / 2
     # words that the document lacks add their share of the reference; so does the rest of both
-    shared = F.filter(F.transform("short", lambda r: F.struct((r["n"] / n).alias("p"), F.try_element_at("common", r["w"]).alias("q"))),
-                      lambda r: r["q"].isNotNull())
-    rows = rows.withColumn("_shared", shared).withColumn("_all", _sum(F.map_values("common"), zero))
+    at = lambda values, keys, w: F.get(values, (F.array_position(keys, w) - 1).cast("int"))
+    shared = F.transform(F.array_intersect("words", "common"), lambda w: F.struct(
+        (at(F.col("times"), F.col("words"), w) / n).alias("p"), at(F.col("shares"), F.col("common"), w).alias("q")))
+    rows = rows.withColumn("_shared", shared).withColumn("_all", _sum(F.col("shares"), zero))
     p_sum = _sum(F.transform("_shared", lambda r: r["p"]), zero)
     q_sum = _sum(F.transform("_shared", lambda r: r["q"]), zero)
     common_js = (_sum(F.transform("_shared", lambda r: _term(r["p"], r["q"])), zero) + (F.col("_all") - q_sum)

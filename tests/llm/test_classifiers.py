@@ -1,5 +1,6 @@
 """Language identification, quality, rules and personal data."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -138,6 +139,49 @@ def base_brute(text):
     return ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in sorted(out))
 
 
+def divergence(words, classes, docs):
+    """Distances of a document by plain counting: of common words and of character classes."""
+    def js(p, q):
+        both = set(p) | set(q)
+        part = lambda a, b: sum(a.get(k, 0) * math.log2(a.get(k, 0) / ((a.get(k, 0) + b.get(k, 0)) / 2)) for k in both if a.get(k, 0) > 0)
+        return math.sqrt(max(0.0, min(1.0, (part(p, q) + part(q, p)) / 2)))
+
+    total = Counter(w for d in docs for w in d)
+    n = sum(total.values())
+    common = {w: c / n for w, c in total.items() if c >= n / 400}
+    own = Counter(words)
+    p = {w: own[w] / len(words) for w in common if own[w]}
+    return js({**p, None: 1 - sum(p.values())}, {**common, None: 1 - sum(common.values())})
+
+
+def test_rules_distances_of_many_languages_and_long_words(make):
+    """300 languages, some of long words only: each has its own reference, and distances are those of plain counting."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        own = [f"{'langeswort' if k % 3 else 'w'}{k}x{j}" for j in range(12)]
+        for i in range(3):
+            rows.append((k * 10 + i, " ".join(rng.choice(own) for _ in range(130)), f"l{k}", "s"))
+    rows.append((9999, " ".join(f"fremd{rng.randrange(60)}" for _ in range(140)), "l1", "s"))
+    got = {r.doc_id: r for r in quality_rules(make(rows)).collect()}
+    by = {}
+    for i, text, lang, _ in rows:
+        by.setdefault(lang, []).append(text.split())
+    for i, text, lang, _ in rows:
+        assert got[i].common_distance == pytest.approx(divergence(text.split(), None, by[lang]), abs=1e-9)
+    assert not got[9999].kept and sum(r.kept for r in got.values()) >= 890
+
+
+def test_many_languages_are_told_apart(make):
+    """More than 128 learned languages keep their labels."""
+    rng = random.Random(4)
+    alphabet = [chr(0x4E00 + i) for i in range(200)] + [chr(0x3400 + i) for i in range(100)]
+    rows = [(k * 4 + i, " ".join(alphabet[k] * rng.randrange(1, 5) for _ in range(30)), f"l{k:03}", "s") for k in range(300) for i in range(2)]
+    docs = make(rows)
+    got = {r.doc_id: r.lang_pred for r in identify(docs, learn(docs)).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) >= 0.98 * len(rows)
+
+
 def test_personal_data_base_against_brute_force(spark, make):
     rng = random.Random(9)
     parts = ["a@b.co", "x.y+z@mail.example.com", "_q@r.s", "@", ".", "1.2.3.4", "256.1.1.1", "001.002.003.004", "4532015112830366", "4532 0151-1283 0366",
