@@ -8,9 +8,10 @@ left (through the other one). A phrase is a pair of intervals, one in each order
 the other by the number of smaller neighbours, so both directions stay open. The neighbours in an
 interval are all extensions of the phrase with their counts.
 
-Counts are summed over shards three times: of words, of pairs of frequent words, and of longer phrases
-whose adjacent pairs are all frequent. The frequent pairs go to the shards as a bitmap of a fixed size; what
-it lets through by chance is counted like the rest and found infrequent. Phrases are keyed by their words'
+Counts are summed over shards four times: of words, of pairs of frequent words, of triples of frequent
+pairs, and of longer phrases whose adjacent triples are all frequent. Frequent pairs and triples go to the
+shards as bitmaps of a fixed size; what they let through by chance is counted like the rest and found
+infrequent. Phrases are keyed by their words'
 numbers in the whole language, so sums are exact.
 """
 
@@ -29,14 +30,14 @@ from pyspark.sql.window import Window
 from .common import discard, saved
 
 #: Words of a shard, beyond which it is closed; a shard ends with a document or, in a long one, with a piece.
-SHARD = 1 << 21
+SHARD = 1 << 22
 #: Bits of a word's id in its shard; 20 more number a task's shards.
 ID_BITS = 23
 #: Symbols of a transform in one row of the index; a shard has as many rows as it takes.
 PART = 1 << 18
 #: Bytes of text that are cut into words at a time; the cut is made at the next end of a piece.
 CHUNK = 1 << 20
-#: Bits of the bitmap of frequent pairs (8 MB), whatever their number.
+#: Bits of the bitmaps of frequent pairs and triples (8 MB each), whatever their number.
 BITS = 1 << 26
 #: First rounds of the ranking split each language this many ways.
 SPREAD = 64
@@ -149,22 +150,24 @@ def index(docs: DataFrame, longest: int) -> DataFrame:
     return saved(rows.mapInArrow(_index(longest), INDEX), "index")
 
 
-def _bit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Place of a pair of words in the bitmap."""
-    h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+def _bit(*words: np.ndarray) -> np.ndarray:
+    """Place of neighbouring words in a bitmap."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(32)).astype(np.int64) % BITS
 
 
-def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """Bits of the pairs (w0, w1): at most BITS / 8 bytes reach the driver."""
+def _bitmap(phrases: DataFrame, names: list[str]) -> np.ndarray:
+    """Bits of the phrases in the columns ``names``: at most BITS / 8 bytes reach the driver."""
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bit = _bit(b.column(0).to_numpy(), b.column(1).to_numpy())
+            bit = _bit(*(c.to_numpy() for c in b.columns))
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(np.int64(1) << (bit & 31))], ["cell", "bit"])
 
-    cells = pairs.select("w0", "w1").mapInArrow(place, "cell bigint, bit bigint").groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits"))
+    cells = phrases.select(*names).mapInArrow(place, "cell bigint, bit bigint").groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits"))
     got = cells.toPandas()
     out = np.zeros(BITS // 32, np.uint32)
     out[got["cell"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint32)
@@ -200,9 +203,9 @@ class _Shard:
             self.leads[main][np.argsort(x, kind="stable")] = np.arange(len(x))
         return self.leads[main]
 
-    def extend(self, p: dict[str, np.ndarray], main: str, bits: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    def extend(self, p: dict[str, np.ndarray], main: str, bits: tuple[np.ndarray, ...] = ()) -> dict[str, np.ndarray]:
         """All extensions by a frequent word through a transform (backward: to the right), with intervals
-        if ``bits`` are given; then the new pair of words must be one of them."""
+        if ``bits`` are given; then the new pair of words must be in the first bitmap, the new triple in the next."""
         n, start = p["n"], p[main]
         before = np.cumsum(n) - n
         at = np.arange(n.sum(), dtype=np.int32) + np.repeat((start - before).astype(np.int32), n)
@@ -214,14 +217,15 @@ class _Shard:
         size = np.diff(np.append(head, len(key)))
         node, new = key[head] >> 32, self.word[key[head] & 0xFFFFFFFF]
         keep = new >= 0
-        if bits is not None:
-            beside = p["words"][node]
-            bit = _bit(beside[:, -1], new) if main == "backward" else _bit(new, beside[:, 0])
-            keep &= (bits[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)) > 0
+        for size_, cells in zip((1, 2), bits):
+            if p["words"].shape[1] >= size_:
+                beside = p["words"][node]
+                bit = _bit(*beside[:, -size_:].T, new) if main == "backward" else _bit(new, *beside[:, :size_].T)
+                keep &= (cells[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)) > 0
         head, size, node, new = head[keep], size[keep], node[keep], new[keep][:, None]
         old = p["words"][node]
         out = {"words": np.concatenate([old, new] if main == "backward" else [new, old], 1), "n": size}
-        if bits is not None:
+        if bits:
             other = "backward" if main == "forward" else "forward"
             out |= {main: self.lead(main)[at[order[head]]], other: p[other][node] + head - before[node]}
         return out
@@ -236,19 +240,22 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"w0": got["words"][:, 0], "w1": got["words"][:, 1], "n": got["n"]})
 
 
-def _longer(bits, longest: int):
-    """Phrases of 3 to ``longest`` words in a shard whose pairs are in the bitmap; -1 stands for no word."""
+def _longer(shared: list, least: int, longest: int):
+    """Phrases of ``least`` to ``longest`` words in a shard whose pairs (and triples) are in the bitmaps; -1
+    stands for no word."""
     names = [f"w{i}" for i in range(longest)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, counts = [np.zeros((0, longest), np.int64)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
+            bits = tuple(b.value for b in shared)
             shard = _Shard(left, right)
-            got = shard.extend(shard.phrases(), "backward", bits.value)
-            for size in range(3, longest + 1):
-                got = shard.extend(got, "backward" if size % 2 else "forward", bits.value)
-                rows.append(np.pad(got["words"], ((0, 0), (0, longest - size)), constant_values=-1))
-                counts.append(got["n"])
+            got = shard.phrases()
+            for size in range(2, longest + 1):
+                got = shard.extend(got, "forward" if size % 2 else "backward", bits)
+                if size >= least:
+                    rows.append(np.pad(got["words"], ((0, 0), (0, longest - size)), constant_values=-1))
+                    counts.append(got["n"])
         rows = np.concatenate(rows)
         return pa.table({**{c: rows[:, i] for i, c in enumerate(names)}, "n": np.concatenate(counts)})
 
@@ -283,15 +290,17 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     left = places.select("shard", "gid", "id").groupBy("shard")
     pairs = left.cogroup(shards.select("shard", "part", "counts", "backward").groupBy("shard")).applyInArrow(_pairs, "w0 bigint, w1 bigint, n bigint")
     pairs = saved(pairs.groupBy("w0", "w1").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
-    names = [f"w{i}" for i in range(longest)]
-    words = F.filter(F.array(*names), lambda w: w >= 0)
     found = known.select(F.array("gid").alias("words"), "a").unionByName(pairs.select(F.array("w0", "w1").alias("words"), "a"))
-    if longest > 2:
-        bits = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))  # BITS / 8 bytes
+    bits, before = [], pairs
+    for least_, most in ((3, 3), (4, longest)):
+        if most > longest or least_ > longest:
+            break
+        names = [f"w{i}" for i in range(most)]
+        bits.append(docs.sparkSession.sparkContext.broadcast(_bitmap(before, names[:least_ - 1])))  # BITS / 8 bytes
         longer = left.cogroup(shards.select("shard", "part", "counts", "forward", "backward").groupBy("shard")).applyInArrow(
-            _longer(bits, longest), ", ".join(f"{c} bigint" for c in [*names, "n"]))
-        longer = longer.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        found = found.unionByName(saved(longer.select(words.alias("words"), "a"), "longer"))
+            _longer(list(bits), least_, most), ", ".join(f"{c} bigint" for c in [*names, "n"]))
+        before = saved(longer.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "longer")
+        found = found.unionByName(before.select(F.filter(F.array(*names), lambda w: w >= 0).alias("words"), "a"))
     discard(shards)
     return _ranked(found, known, total, top)
 
