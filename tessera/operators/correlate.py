@@ -1,11 +1,11 @@
 """Spearman correlation from distributed average ranks.
 
-Spearman ρ is Pearson's r of tie-averaged ranks. Ranks come from the distinct
-(value → rank) tables built by ``average_ranks`` (range partitions + offsets), so
-no window ever spans a whole column in one task. Against a target, only
-``(feature, value)`` aggregates with the sum of target ranks are needed: one
-shuffle of already pre-aggregated rows. Constant columns give NULL (K7: no
-divide-by-zero error under ANSI).
+Spearman ρ is Pearson's r of tie-averaged ranks, and pairwise deletion ranks the rows where both columns
+are there. One scan counts each column's values, for all rows and for those rows that each combination of
+columns with NULLs leaves; running totals over these value tables give all ranks at once. A second scan
+looks a row's ranks up and adds the products of all pairs. Small value tables are broadcast (their size
+is checked); rows are joined with all large ones in one exchange and put together again in a second,
+however many columns there are. Constant columns give NULL (K7: no divide-by-zero error under ANSI).
 """
 
 from __future__ import annotations
@@ -13,44 +13,88 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import feature_text_dim
-from ..functions.stats import average_ranks
+from ..functions.exprs import nan_to_null
+from ..functions.stats import running_total
 from ..session import materialize
 
-
-def _rho(cov, vx, vy):
-    den = F.sqrt(vx * vy)
-    return F.when((vx > 0) & (vy > 0), cov / den)
+#: Values of a column up to which its ranks are broadcast (some 100 bytes each).
+SMALL_COLUMN = 10_000
+
+
+def _ranks(df: DataFrame, cols: list[str], masks: list[tuple[str, ...]]) -> DataFrame:
+    """Per column (its place in ``cols``) and value: n_<m> and r_<m>, its number of rows and its average rank
+    among the rows where the columns of mask m are there."""
+    there = [F.lit(True) if not m else F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in m)) for m in masks]
+    flags = F.array(*[t.cast("int") for t in there])
+    long = df.select(flags.alias("f"), F.posexplode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("col", "v")).where("v IS NOT NULL")
+    n = [f"n_{m}" for m in range(len(masks))]
+    values = long.groupBy("col", "v").agg(*[F.sum(F.get("f", F.lit(m))).cast("long").alias(c) for m, c in enumerate(n)])
+    before = [f"before_{m}" for m in range(len(masks))]
+    ranked = running_total(values, ["col"], ["v"], n, before)
+    return materialize(ranked.select("col", "v", *n, *[(F.col(x) + (F.col(c) + 1) / 2.0).alias(f"r_{m}") for m, (c, x) in enumerate(zip(n, before))]))
+
+
+def _with_ranks(df: DataFrame, cols: list[str], ranks: DataFrame, sizes: dict[int, int], n_masks: int) -> DataFrame:
+    """Each row of ``df`` as r_<column place>: the array of its ranks, one a mask; NULL for a NULL value."""
+    own = F.array(*[F.col(f"r_{m}") for m in range(n_masks)])
+    large = [i for i in range(len(cols)) if sizes.get(i, 0) > SMALL_COLUMN]
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(cols)])
+    if large:
+        small = [f"c_{i}" for i in range(len(cols)) if i not in large]
+        first = F.struct(*[F.col(c) for c in small], F.lit(1).alias("one"))
+        each = F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"c_{i}").alias("v"), F.when(F.lit(k == 0), first).alias("rest")) for k, i in enumerate(large)])
+        # numbered before rows are multiplied
+        long = rows.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(each).alias("x")).select("row", "x.*")
+        found = long.join(ranks.where(F.col("col").isin(large)).select("col", "v", own.alias("r")), ["col", "v"], "left")
+        rows = found.groupBy("row").agg(F.first("rest", ignorenulls=True).alias("rest"),
+                                        *[F.first(F.when(F.col("col") == i, F.col("r")), ignorenulls=True).alias(f"r_{i}") for i in large])
+        rows = rows.select("rest.*", *[f"r_{i}" for i in large]).drop("one")
+    for i in range(len(cols)):
+        if i not in large:  # at most SMALL_COLUMN rows
+            table = ranks.where(F.col("col") == i).select(F.col("v").alias(f"c_{i}"), own.alias(f"r_{i}"))
+            rows = rows.join(F.broadcast(table), f"c_{i}", "left")
+    return rows.select(*[f"r_{i}" for i in range(len(cols))])
 
 
 def pair_spearman(df: DataFrame, pairs) -> DataFrame:
     """ρ(a, b) for each pair of columns over the rows where both are there: ``a, b, n, rho``. A pair
-    without any complete row has no row; one with a constant side has a NULL ρ.
-
-    The rows are read once into (pair, value, value, count) cells; both rankings are taken from the
-    margins of that table, per pair.
-    """
+    without any complete row has no row; one with a constant side has a NULL ρ."""
     pairs = list(pairs)
-    items = [F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("v"), F.col(b).cast("double").alias("y"))
-             for i, (a, b) in enumerate(pairs)]
-    long = df.select(F.explode(F.array(*items)).alias("x")).select("x.*")
-    long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & F.col("y").isNotNull() & ~F.isnan("y"))
-    cells = materialize(long.groupBy("pair", "v", "y").agg(F.count("*").alias("cnt")))
-    rx = average_ranks(cells, ["pair"], "v", "cnt").select("pair", "v", F.col("rank").alias("_rx"))
-    ry = average_ranks(cells, ["pair"], "y", "cnt").select("pair", "y", F.col("rank").alias("_ry"))
-    joined = cells.join(rx, ["pair", "v"]).join(ry, ["pair", "y"])
-    c, x, y = F.col("cnt"), F.col("_rx"), F.col("_ry")
-    agg = joined.groupBy("pair").agg(F.sum("cnt").alias("n"), F.sum(c * x * y).alias("_sxy"),
-                                     F.sum(c * x * x).alias("_sxx"), F.sum(c * y * y).alias("_syy"))
-    m2 = F.col("n") * ((F.col("n") + 1) / 2.0) * ((F.col("n") + 1) / 2.0)
-    rho = _rho(F.col("_sxy") - m2, F.col("_sxx") - m2, F.col("_syy") - m2)
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
-    return agg.join(F.broadcast(names), "pair").select("a", "b", F.col("n").cast("long").alias("n"), rho.alias("rho"))
+    spark = df.sparkSession
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    df = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
+    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols]).first()
+    mask_of = {p: tuple(c for c in cols if c in p and nulls[c]) for p in pairs}
+    masks = list(dict.fromkeys([(), *mask_of.values()]))
+    place = {c: i for i, c in enumerate(cols)}
+    ranks = _ranks(df, cols, masks)
+    # per column and mask: rows, and the spread of the ranks around their mean (columns x masks numbers)
+    totals = ranks.groupBy("col").agg(F.count(F.lit(1)).alias("values"), *[F.sum(f"n_{m}").alias(f"n_{m}") for m in range(len(masks))]).collect()
+    size = {r["col"]: r["values"] for r in totals}
+    n = {(r["col"], m): r[f"n_{m}"] for r in totals for m in range(len(masks))}
+    mean = lambda i, m: (n.get((i, m), 0) + 1) / 2.0
+    middle = spark.createDataFrame([(i, [mean(i, m) for m in range(len(masks))]) for i in range(len(cols))], "col int, mean array<double>")
+    away = [F.col(f"r_{m}") - F.get("mean", F.lit(m)) for m in range(len(masks))]
+    spread = ranks.join(F.broadcast(middle), "col").groupBy("col").agg(*[F.sum(F.col(f"n_{m}") * a * a).alias(f"s_{m}") for m, a in enumerate(away)])
+    var = {(r["col"], m): r[f"s_{m}"] for r in spread.collect() for m in range(len(masks))}
+    sums = []
+    for k, (a, b) in enumerate(pairs):
+        i, j, m = place[a], place[b], masks.index(mask_of[a, b])
+        left, right = (F.get(f"r_{x}", F.lit(m)) - F.lit(mean(x, m)) for x in (i, j))
+        sums.append(F.sum(left * right).alias(f"p_{k}"))
+    got = _with_ranks(df, cols, ranks, size, len(masks)).agg(*sums).first()
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        i, j, m = place[a], place[b], masks.index(mask_of[a, b])
+        rows = n.get((i, m), 0)
+        if rows and n.get((j, m), 0):
+            vx, vy = var[i, m], var[j, m]
+            out.append((a, b, rows, got[f"p_{k}"] / math.sqrt(vx * vy) if vx > 0 and vy > 0 else None))
+    return spark.createDataFrame(out, "a string, b string, n bigint, rho double")
 
 
 def spearman_vs_target(df: DataFrame, features, target: str, places: int = 4) -> DataFrame:
@@ -61,39 +105,12 @@ def spearman_vs_target(df: DataFrame, features, target: str, places: int = 4) ->
                     F.round(F.abs("rho"), places).alias("abs_correlation"), "n")
 
 
-def spearman_matrix(df: DataFrame, cols, id_col: str = "id", places: int = 4) -> DataFrame:
-    """K2: full Spearman matrix with pairwise deletion, long format ``(a, b, rho)``.
-
-    Columns without NULLs share one ranking over all rows: ranks per column from the distinct-value
-    tables, looked up per row, then Pearson over the rank vectors (``ml.stat.Correlation``, one
-    tree-aggregated Gramian of k × k numbers). All pairs with a column that has NULLs are counted in
-    one scan and ranked over their complete rows (``pair_spearman``).
-    """
+def spearman_matrix(df: DataFrame, cols, places: int = 4) -> DataFrame:
+    """K2: full Spearman matrix with pairwise deletion, long format ``(a, b, rho)``."""
     cols = list(cols)
     spark = df.sparkSession
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    clean = [c for c in cols if nulls[c] == 0]
-    mixed = [(a, b) for a, b in combinations(cols, 2) if not (a in clean and b in clean)]
-    rows = []
-    if len(clean) > 1:
-        sub = df.select(*[F.col(c).cast("double").alias(c) for c in clean])
-        long = sub.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in clean])).alias("x")).select("x.col", "x.v")
-        ranks = materialize(average_ranks(long, ["col"], "v").select("col", "v", "rank"))
-        per_row = sub
-        for c in clean:  # a rank table is as large as its column has values; Spark picks the join by its size
-            rc = ranks.where(F.col("col") == c).select(F.col("v").alias(c), F.col("rank").alias(f"_r_{c}"))
-            per_row = per_row.join(rc, c, "left")
-        per_row = per_row.select(*[F.col(f"_r_{c}").alias(c) for c in clean])
-        vec = VectorAssembler(inputCols=clean, outputCol="_ranks").transform(per_row).select("_ranks")
-        mat = Correlation.corr(vec, "_ranks", "pearson").first()[0].toArray()
-        for (i, a), (j, b) in combinations(enumerate(clean), 2):
-            v = float(mat[i, j])
-            rows.append((a, b, None if math.isnan(v) else v))
-    out = spark.createDataFrame(rows, "a string, b string, rho double")
-    if mixed:
-        every = spark.createDataFrame(mixed, "a string, b string")
-        out = out.unionByName(every.join(pair_spearman(df, mixed), ["a", "b"], "left").select("a", "b", "rho"))
+    every = spark.createDataFrame(list(combinations(cols, 2)), "a string, b string")
+    out = every.join(pair_spearman(df, combinations(cols, 2)), ["a", "b"], "left").select("a", "b", "rho")
     sym = out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))
     diag = spark.createDataFrame([(c, c, 1.0) for c in cols], "a string, b string, rho double")
     return sym.unionByName(diag).select("a", "b", F.round("rho", places).alias("rho"))

@@ -274,7 +274,7 @@ def _k2_sql() -> str:
 def k2_spearman_matrix(spark, sf):
     """K2: 17×17 Spearman matrix with pairwise NULL deletion (long format)."""
     x = E.exploratory_encoding(bases.base_clean(spark, sf))
-    return K.spearman_matrix(x, _XENC_COLS, "id")
+    return K.spearman_matrix(x, _XENC_COLS)
 
 
 _W1 = ["Age", "Weight", "FAF"]

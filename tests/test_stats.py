@@ -116,6 +116,24 @@ def test_average_ranks_match_pandas(spark):
         assert r[(g, y)] == pytest.approx(rk)
 
 
+@pytest.mark.parametrize("small", [10_000, 3, 0])
+def test_spearman_with_broadcast_and_shuffled_ranks(spark, monkeypatch, small):
+    """Pairwise deletion over columns with many and few values; all, some and no rank tables are broadcast."""
+    from tessera.operators import correlate
+    monkeypatch.setattr(correlate, "SMALL_COLUMN", small)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.normal(0, 1, 400), "b": rng.integers(0, 3, 400).astype(float), "c": rng.normal(0, 1, 400), "e": 1.0})
+    pdf["d"] = pdf.a + rng.normal(0, 1, 400)
+    pdf.loc[rng.random(400) < 0.3, "a"] = np.nan
+    pdf.loc[rng.random(400) < 0.2, "b"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = {(r["a"], r["b"]): r["rho"] for r in spearman_matrix(df, list(pdf.columns), places=10).collect()}
+    want = pdf.corr("spearman")
+    assert len(got) == 25
+    for (x, y), rho in got.items():
+        assert (rho is None and x != y and "e" in (x, y)) or rho == pytest.approx(want.loc[x, y] if x != y else 1.0, abs=1e-9)
+
+
 def spearman_np(a, b):
     ra, rb = pd.Series(a).rank().to_numpy(), pd.Series(b).rank().to_numpy()
     return float(np.corrcoef(ra, rb)[0, 1])
