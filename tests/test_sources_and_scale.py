@@ -123,12 +123,13 @@ def test_scoring_stream_and_its_retry(spark, survey_rows, tmp_path):
     params = {"n_estimators": 3, "max_depth": 3, "min_samples_leaf": 1, "max_features": "sqrt"}
     model = M.build_pipeline(M.make_classifier(M.RANDOM_FOREST, params, 3)).fit(train)
     source = train.drop("Obesity").withColumn("Age", F.when(F.col("id") == "1-0", 5.0).otherwise(F.col("Age")))
-    src, out, bad = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "bad")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
     source.write.parquet(src)
-    for attempt in ("a", "b"):  # a lost checkpoint replays the batch: the same folders are replaced
-        run_scoring_stream(spark, model, src, source.schema, out, bad, str(tmp_path / attempt))
-        assert spark.read.parquet(out).count() == len(rows) - 1
-        assert [r["id"] for r in spark.read.parquet(bad).collect()] == ["1-0"]
+    for attempt in ("a", "b"):  # a lost checkpoint replays the batch: what it wrote is there and stays
+        run_scoring_stream(spark, lambda: (model, None), src, source.schema, out, str(tmp_path / attempt))
+        got = spark.read.parquet(out)
+        assert got.where("route = 'scored'").count() == len(rows) - 1
+        assert [r["id"] for r in got.where("route = 'rejected'").collect()] == ["1-0"]
 
 
 def test_metadata_defaults_and_errors(spark, tmp_path):
