@@ -125,3 +125,31 @@ def test_form_decoding_and_activity_days(spark):
     from tessera.operators.enrich import activity_days_to_faf
     assert [x[0] for x in days.select(activity_days_to_faf(F.col("d"))).collect()] == [0.0, 1.0, 1.0, 2.0, 2.0,
                                                                                           3.0, 3.0, 3.0]
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_duplicates_of_odd_rows_without_moving_the_others(spark, monkeypatch, limit):
+    """The hashes of repeated rows are broadcast, or joined where there are too many; rows without a copy are
+    not sorted or grouped."""
+    monkeypatch.setattr(C, "BROADCAST_HASHES", limit)
+    base = dict(Gender="Male", Age=25.0, Height=1.75, Weight=None, family_history=None, FAVC="yes", FCVC=0.0, NCP=3.0, CAEC=None,
+                SMOKE="no", CH2O=2.0, SCC="no", FAF=1.0, TUE=1.0, CALC="no", MTRANS="Walking", Obesity=None)
+    rows = [dict(base, id="5"), dict(base, id="31"), dict(base, id=None, FCVC=-0.0), dict(base, id=None, Age=None), dict(base, id=None, Age=None),
+            dict(base, id="7", FAVC=None, family_history="yes"), dict(base, id="8", FAVC="yes", family_history=None, TUE=2.0), dict(base, id="9", CALC="NO")]
+    out = C.remove_duplicates(make_survey(spark, rows))
+    assert out.columns == ["id", *C.OBESITY.columns]
+    assert sorted((str(r.id), r.Age, r.FCVC, r.CALC) for r in out.collect()) == [
+        ("31", 25.0, 0.0, "no"), ("7", 25.0, 0.0, "no"), ("8", 25.0, 0.0, "no"), ("9", 25.0, 0.0, "NO"), ("None", None, 0.0, "no")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Union" in plan
+
+
+def test_duplicates_of_many_rows(spark):
+    """Against a grouping of all rows by their values; one row is a third of the table."""
+    df = spark.range(3000).selectExpr("CAST(id * 7 % 3001 AS STRING) AS id", *[
+        f"CAST(CASE WHEN id % 3 = 0 THEN 1 WHEN id % 11 = 0 THEN NULL ELSE id % 500 END AS {'DOUBLE' if c in C.OBESITY.numeric_ranges else 'STRING'}) AS {c}"
+        for c in C.OBESITY.columns])
+    cols = list(C.OBESITY.columns)
+    want = df.groupBy(*cols).agg(F.min("id").alias("id")).select("id", *cols)
+    got = C.remove_duplicates(df)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
