@@ -2,10 +2,11 @@
 
 Spearman ρ is Pearson's r of tie-averaged ranks, and pairwise deletion ranks the rows where both columns
 are there. One scan counts each column's values, for all rows and for those rows that each combination of
-columns with NULLs leaves; running totals over these value tables give all ranks at once. A second scan
-looks a row's ranks up and adds the products of all pairs. Small value tables are broadcast (their size
-is checked); rows are joined with all large ones in one exchange and put together again in a second,
-however many columns there are. Constant columns give NULL (K7: no divide-by-zero error under ANSI).
+columns with NULLs leaves; running totals over these value tables give all ranks at once. Further scans
+look ranks up and add the products of all pairs. Small value tables are broadcast (their size is checked).
+The other columns' ranks are first added by the value of a large one, with map-side partial sums, and
+the sums meet its rank table: a row never moves whole. Constant columns give NULL (K7: no divide-by-zero
+error under ANSI).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import feature_text_dim
@@ -38,26 +39,55 @@ def _ranks(df: DataFrame, cols: list[str], masks: list[tuple[str, ...]]) -> Data
     return materialize(ranked.select("col", "v", *n, *[(F.col(x) + (F.col(c) + 1) / 2.0).alias(f"r_{m}") for m, (c, x) in enumerate(zip(n, before))]))
 
 
-def _with_ranks(df: DataFrame, cols: list[str], ranks: DataFrame, sizes: dict[int, int], n_masks: int) -> DataFrame:
-    """Each row of ``df`` as r_<column place>: the array of its ranks, one a mask; NULL for a NULL value."""
-    own = F.array(*[F.col(f"r_{m}") for m in range(n_masks)])
-    large = [i for i in range(len(cols)) if sizes.get(i, 0) > SMALL_COLUMN]
+def _products(df: DataFrame, cols: list[str], ranks: DataFrame, large: list[int], pairs: list[tuple[int, int, int]], mean) -> dict[int, float]:
+    """Per place in ``pairs`` (columns i and j, mask m): the sum of the products of both ranks' distances
+    from their means, over the rows that have both values.
+
+    Pairs of small columns are one scan with broadcast tables. A large column takes one scan for all its
+    small partners; a pair of large ones is summed by the value of one, then by that of the other.
+    """
+    one = lambda i: ranks.where(F.col("col") == i)
     rows = df.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(cols)])
-    if large:
-        small = [f"c_{i}" for i in range(len(cols)) if i not in large]
-        first = F.struct(*[F.col(c) for c in small], F.lit(1).alias("one"))
-        each = F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"c_{i}").alias("v"), F.when(F.lit(k == 0), first).alias("rest")) for k, i in enumerate(large)])
-        # numbered before rows are multiplied
-        long = rows.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(each).alias("x")).select("row", "x.*")
-        found = long.join(ranks.where(F.col("col").isin(large)).select("col", "v", own.alias("r")), ["col", "v"], "left")
-        rows = found.groupBy("row").agg(F.first("rest", ignorenulls=True).alias("rest"),
-                                        *[F.first(F.when(F.col("col") == i, F.col("r")), ignorenulls=True).alias(f"r_{i}") for i in large])
-        rows = rows.select("rest.*", *[f"r_{i}" for i in large]).drop("one")
-    for i in range(len(cols)):
-        if i not in large:  # at most SMALL_COLUMN rows
-            table = ranks.where(F.col("col") == i).select(F.col("v").alias(f"c_{i}"), own.alias(f"r_{i}"))
-            rows = rows.join(F.broadcast(table), f"c_{i}", "left")
-    return rows.select(*[f"r_{i}" for i in range(len(cols))])
+
+    def away(i: int, m: int) -> Column:
+        return F.col(f"r_{i}_{m}") - F.lit(mean(i, m))
+
+    def with_ranks(table: DataFrame, i: int, masks: set[int], hint=lambda t: t) -> DataFrame:
+        found = one(i).select(F.col("v").alias(f"c_{i}"), *[F.col(f"r_{m}").alias(f"r_{i}_{m}") for m in sorted(masks)])
+        return table.join(hint(found), f"c_{i}", "left")
+
+    def masks(i: int, among: list[int]) -> set[int]:
+        return {pairs[k][2] for k in among if i in pairs[k][:2]}
+
+    def looked_up(among: list[int], keep: tuple[str, ...] = ()) -> DataFrame:
+        """Rows with the ranks of the small columns of the pairs ``among``."""
+        small = sorted({x for k in among for x in pairs[k][:2]} - set(large))
+        out = rows.select(*keep, *[f"c_{i}" for i in small])
+        for i in small:  # at most SMALL_COLUMN rows
+            out = with_ranks(out, i, masks(i, among), F.broadcast)
+        return out
+
+    out: dict[int, float] = {}
+    plain = [k for k, (i, j, _) in enumerate(pairs) if i not in large and j not in large]
+    if plain:
+        got = looked_up(plain).agg(*[F.sum(away(pairs[k][0], pairs[k][2]) * away(pairs[k][1], pairs[k][2])).alias(f"p_{k}") for k in plain]).first()
+        out |= {k: got[f"p_{k}"] for k in plain}
+    for x in large:
+        of_x = [k for k, p in enumerate(pairs) if x in p[:2] and k not in out]
+        partner = {k: pairs[k][0] if pairs[k][1] == x else pairs[k][1] for k in of_x}
+        mixed = [k for k in of_x if partner[k] not in large]
+        if mixed:
+            sums = looked_up(mixed, (f"c_{x}",)).where(F.col(f"c_{x}").isNotNull()).groupBy(f"c_{x}").agg(
+                *[F.sum(away(partner[k], pairs[k][2])).alias(f"s_{k}") for k in mixed])
+            met = with_ranks(sums, x, masks(x, mixed))
+            got = met.agg(*[F.sum(F.col(f"s_{k}") * away(x, pairs[k][2])).alias(f"p_{k}") for k in mixed]).first()
+            out |= {k: got[f"p_{k}"] for k in mixed}
+        for k in (k for k in of_x if partner[k] in large):
+            y, m = partner[k], pairs[k][2]
+            cells = rows.where(F.col(f"c_{x}").isNotNull() & F.col(f"c_{y}").isNotNull()).groupBy(f"c_{x}", f"c_{y}").agg(F.count(F.lit(1)).alias("n"))
+            sums = with_ranks(cells, x, {m}).groupBy(f"c_{y}").agg(F.sum(away(x, m) * F.col("n")).alias("s"))
+            out[k] = with_ranks(sums, y, {m}).agg(F.sum(F.col("s") * away(y, m))).first()[0]
+    return out
 
 
 def pair_spearman(df: DataFrame, pairs) -> DataFrame:
@@ -66,7 +96,8 @@ def pair_spearman(df: DataFrame, pairs) -> DataFrame:
     pairs = list(pairs)
     spark = df.sparkSession
     cols = list(dict.fromkeys(c for p in pairs for c in p))
-    df = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
+    # several scans follow; what the columns are derived from is worked out once
+    df = materialize(df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in cols]))
     nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols]).first()
     mask_of = {p: tuple(c for c in cols if c in p and nulls[c]) for p in pairs}
     masks = list(dict.fromkeys([(), *mask_of.values()]))
@@ -81,19 +112,15 @@ def pair_spearman(df: DataFrame, pairs) -> DataFrame:
     away = [F.col(f"r_{m}") - F.get("mean", F.lit(m)) for m in range(len(masks))]
     spread = ranks.join(F.broadcast(middle), "col").groupBy("col").agg(*[F.sum(F.col(f"n_{m}") * a * a).alias(f"s_{m}") for m, a in enumerate(away)])
     var = {(r["col"], m): r[f"s_{m}"] for r in spread.collect() for m in range(len(masks))}
-    sums = []
-    for k, (a, b) in enumerate(pairs):
-        i, j, m = place[a], place[b], masks.index(mask_of[a, b])
-        left, right = (F.get(f"r_{x}", F.lit(m)) - F.lit(mean(x, m)) for x in (i, j))
-        sums.append(F.sum(left * right).alias(f"p_{k}"))
-    got = _with_ranks(df, cols, ranks, size, len(masks)).agg(*sums).first()
+    places = [(place[a], place[b], masks.index(mask_of[a, b])) for a, b in pairs]
+    got = _products(df, cols, ranks, [i for i in range(len(cols)) if size.get(i, 0) > SMALL_COLUMN], places, mean)
     out = []
     for k, (a, b) in enumerate(pairs):
         i, j, m = place[a], place[b], masks.index(mask_of[a, b])
         rows = n.get((i, m), 0)
         if rows and n.get((j, m), 0):
             vx, vy = var[i, m], var[j, m]
-            out.append((a, b, rows, got[f"p_{k}"] / math.sqrt(vx * vy) if vx > 0 and vy > 0 else None))
+            out.append((a, b, rows, got[k] / math.sqrt(vx * vy) if vx > 0 and vy > 0 else None))
     return spark.createDataFrame(out, "a string, b string, n bigint, rho double")
 
 

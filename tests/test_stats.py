@@ -160,3 +160,25 @@ def test_spearman_matrix_pairwise(spark):
     for a in ["x", "y", "d"]:
         for b in ["x", "y", "d"]:
             assert got[(a, b)] == pytest.approx(ref.loc[a, b], abs=1e-9)
+
+
+def test_spearman_of_large_columns_moves_sums_not_rows(spark, monkeypatch):
+    """Pairs of two small, a small and a large, and two large columns, with NULLs, against pandas."""
+    import numpy as np
+    import pandas as pd
+    from tessera.operators import correlate as K
+    rng = np.random.default_rng(5)
+    n = 400
+    p = pd.DataFrame({"a": rng.integers(0, 3, n).astype(float), "b": rng.integers(0, 2, n).astype(float), "x": rng.normal(size=n).round(2), "y": rng.integers(0, 90, n).astype(float)})
+    p["y"] += p["a"] * 20
+    p.loc[rng.random(n) < 0.1, "x"] = None
+    p.loc[rng.random(n) < 0.1, "a"] = None
+    monkeypatch.setattr(K, "SMALL_COLUMN", 10)
+    seen = []
+    products = K._products
+    monkeypatch.setattr(K, "_products", lambda df, cols, ranks, large, *rest: seen.append([cols[i] for i in large]) or products(df, cols, ranks, large, *rest))
+    rows = [tuple(None if pd.isna(v) else float(v) for v in r) for r in p.itertuples(index=False)]
+    m = {(r.a, r.b): r.rho for r in K.spearman_matrix(spark.createDataFrame(rows, "a double, b double, x double, y double"), list(p), 9).collect()}
+    assert seen == [["x", "y"]]
+    want = p.corr(method="spearman")
+    assert all(abs(m[a, b] - want.loc[a, b]) < 1e-8 for a in p for b in p)
