@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import round_columns
 from ..operators import correlate as K
 from ..operators import features as E
 from ..operators import validate as V
@@ -30,8 +31,7 @@ def unscaled(base):
 @register("e11_features", O.with_clean(*FEAT) + "\n" + O.FEATURES_SELECT)
 def e11_features(spark, sf):
     base, model = fitted(spark, sf)
-    f = model.feature_frame(base)
-    return f.select("id", *[F.round(c, 6).alias(c) for c in S.feature_names])
+    return round_columns(model.feature_frame(base), S.feature_names, 6, keep=("id",))
 
 
 _SCORES = ["BMI", "eating_score", "lifestyle_score", "high_calorie_sedentary"]

@@ -153,3 +153,11 @@ def test_duplicates_of_many_rows(spark):
     want = df.groupBy(*cols).agg(F.min("id").alias("id")).select("id", *cols)
     got = C.remove_duplicates(df)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_standard_case_compares_before_it_searches(spark):
+    values = ["no", "Sometimes", "Public_Transportation"]
+    df = spark.createDataFrame([(x,) for x in ["no", "Sometimes", " SOMETIMES\t", "\n\x0b\f\rNo ", "public_transportation", "no ", "never", "", None]], "c string")
+    out = df.select("c", C.canonical_case("c", values).alias("x"))
+    assert [r.x for r in out.collect()] == ["no", "Sometimes", "Sometimes", "no", "Public_Transportation", "no ", "never", "", None]
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()

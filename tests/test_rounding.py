@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import format_fixed, round_exact, round_half_even
+from tessera.functions.exprs import format_fixed, round_columns, round_exact, round_half_even
 from tessera.operators.filters import percent1, signed3
 
 
@@ -39,3 +39,12 @@ def test_printed_forms(spark):
     df = spark.createDataFrame([(16.65,), (-0.0004,), (None,), (math.nan,), (math.inf,), (-math.inf,)], "x double")
     assert [r[0] for r in df.select(percent1(F.col("x"))).collect()] == ["16.6%", "-0.0%", None, "nan%", "inf%", "-inf%"]
     assert [r[0] for r in df.select(signed3(F.col("x"))).collect()] == ["+16.650", "-0.000", None, "+nan", "+inf", "-inf"]
+
+
+def test_columns_rounded_as_one_array(spark):
+    x = [*values(5_000), None, math.nan, math.inf]
+    df = spark.createDataFrame([(i, v, None if v is None else -v) for i, v in enumerate(x)], "i int, a double, b double")
+    got = round_columns(df, ["b", "a"], 6, keep=("i",))
+    assert got.columns == ["i", "b", "a"]
+    want = df.select("i", F.round("b", 6).alias("b"), F.round("a", 6).alias("a"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
