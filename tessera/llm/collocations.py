@@ -39,6 +39,8 @@ PART = 1 << 18
 CHUNK = 1 << 20
 #: Bits of the bitmaps of frequent pairs and triples (8 MB each), whatever their number.
 BITS = 1 << 26
+#: Places of a transform that are read and sorted at a time, about; a phrase is not cut.
+PLACES = 1 << 19
 #: First rounds of the ranking split each language this many ways.
 SPREAD = 64
 INDEX = "lang string, shard bigint, part int, words array<string>, counts array<int>, forward binary, backward binary"
@@ -69,18 +71,19 @@ def _order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols (beyond the end: 0)."""
     bits = max(1, int(codes.max(initial=0)).bit_length())
     n = len(codes)
-    padded = np.append(codes, np.zeros(depth, codes.dtype)).astype(np.int64)
+    padded = np.append(codes, np.zeros(depth, codes.dtype))
     rank, used, at = np.zeros(n, np.int64), 0, 0
     order = np.arange(n)
     while at < depth:
         take = min(depth - at, (63 - used) // bits)
         for i in range(at, at + take):
-            rank = rank << bits | padded[i:i + n]
+            rank <<= bits
+            rank |= padded[i:i + n]
         at += take
         order = np.argsort(rank)
         if at < depth:  # ranks so far are numbered anew, to make room for more symbols
             inside = rank[order]
-            rank[order] = np.cumsum(np.append(0, inside[1:] != inside[:-1]))
+            rank[order] = np.cumsum(np.append(False, inside[1:] != inside[:-1]), dtype=np.int64)
             used = int(n).bit_length()
     return order
 
@@ -188,24 +191,31 @@ class _Shard:
         self.word = np.full(len(self.counts), -1, np.int64)
         ids = left["id"].to_numpy().astype(np.int64)
         self.word[ids] = left["gid"].to_numpy()
-        self.ids = np.sort(ids)
+        self.ids = np.sort(ids).astype(np.int32)
         self.leads: dict[str, np.ndarray] = {}
 
     def phrases(self) -> dict[str, np.ndarray]:
-        """The frequent words, as phrases: their numbers, count and intervals."""
-        return {"words": self.word[self.ids][:, None], "n": self.counts[self.ids], "forward": self.first[self.ids], "backward": self.first[self.ids]}
+        """The frequent words, as phrases: their ids in the shard, count and intervals."""
+        return {"words": self.ids[:, None], "n": self.counts[self.ids], "forward": self.first[self.ids], "backward": self.first[self.ids]}
 
     def lead(self, main: str) -> np.ndarray:
         """Where a word's k-th place in a transform leads: its first place in the order and k more."""
         if main not in self.leads:
             x = self.transforms[main]
-            self.leads[main] = np.empty(len(x), np.int64)
-            self.leads[main][np.argsort(x, kind="stable")] = np.arange(len(x))
+            self.leads[main] = np.empty(len(x), np.int32)
+            self.leads[main][np.argsort(x, kind="stable")] = np.arange(len(x), dtype=np.int32)
         return self.leads[main]
 
-    def extend(self, p: dict[str, np.ndarray], main: str, bits: tuple[np.ndarray, ...] = ()) -> dict[str, np.ndarray]:
-        """All extensions by a frequent word through a transform (backward: to the right), with intervals
-        if ``bits`` are given; then the new pair of words must be in the first bitmap, the new triple in the next."""
+    def extend(self, p: dict[str, np.ndarray], main: str, bits: tuple[np.ndarray, ...] = (), left: int = 0) -> dict[str, np.ndarray]:
+        """All extensions by a frequent word through a transform (backward: to the right). If ``bits`` are given,
+        the new pair of words must be in the first bitmap, the new triple in the next. The extensions have the
+        intervals that ``left`` further rounds need, which go through the two transforms in turn."""
+        start = np.cumsum(p["n"]) - p["n"]
+        cuts = [0, *np.flatnonzero(np.diff(start // PLACES)) + 1, len(start)]
+        some = [self._extend({k: x[a:b] for k, x in p.items()}, main, bits, left) for a, b in zip(cuts, cuts[1:])]
+        return {k: np.concatenate([x[k] for x in some]) for k in some[0]}
+
+    def _extend(self, p: dict[str, np.ndarray], main: str, bits: tuple[np.ndarray, ...], left: int) -> dict[str, np.ndarray]:
         n, start = p["n"], p[main]
         before = np.cumsum(n) - n
         at = np.arange(n.sum(), dtype=np.int32) + np.repeat((start - before).astype(np.int32), n)
@@ -215,19 +225,22 @@ class _Shard:
         key = key[order]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(key)))
-        node, new = key[head] >> 32, self.word[key[head] & 0xFFFFFFFF]
-        keep = new >= 0
+        node, new = key[head] >> 32, (key[head] & 0xFFFFFFFF).astype(np.int32)
+        keep = self.word[new] >= 0
         for size_, cells in zip((1, 2), bits):
             if p["words"].shape[1] >= size_:
-                beside = p["words"][node]
-                bit = _bit(*beside[:, -size_:].T, new) if main == "backward" else _bit(new, *beside[:, :size_].T)
-                keep &= (cells[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)) > 0
+                head, size, node, new = head[keep], size[keep], node[keep], new[keep]
+                beside, word = self.word[p["words"][node]], self.word[new]
+                bit = _bit(*beside[:, -size_:].T, word) if main == "backward" else _bit(word, *beside[:, :size_].T)
+                keep = (cells[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)) > 0
         head, size, node, new = head[keep], size[keep], node[keep], new[keep][:, None]
         old = p["words"][node]
         out = {"words": np.concatenate([old, new] if main == "backward" else [new, old], 1), "n": size}
-        if bits:
+        if left > 0:
             other = "backward" if main == "forward" else "forward"
-            out |= {main: self.lead(main)[at[order[head]]], other: p[other][node] + head - before[node]}
+            out[other] = (p[other][node] + head - before[node]).astype(np.int32)
+        if left > 1:
+            out[main] = self.lead(main)[at[order[head]]]
         return out
 
 
@@ -237,7 +250,7 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table({c: pa.array([], pa.int64()) for c in ("w0", "w1", "n")})
     shard = _Shard(left, right)
     got = shard.extend(shard.phrases(), "backward")
-    return pa.table({"w0": got["words"][:, 0], "w1": got["words"][:, 1], "n": got["n"]})
+    return pa.table({"w0": shard.word[got["words"][:, 0]], "w1": shard.word[got["words"][:, 1]], "n": got["n"]})
 
 
 def _longer(shared: list, least: int, longest: int):
@@ -246,18 +259,17 @@ def _longer(shared: list, least: int, longest: int):
     names = [f"w{i}" for i in range(longest)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, counts = [np.zeros((0, longest), np.int64)], [np.zeros(0, np.int64)]
+        found = []
         if left.num_rows and right.num_rows:
             bits = tuple(b.value for b in shared)
             shard = _Shard(left, right)
             got = shard.phrases()
             for size in range(2, longest + 1):
-                got = shard.extend(got, "forward" if size % 2 else "backward", bits)
+                got = shard.extend(got, "forward" if size % 2 else "backward", bits, longest - size)
                 if size >= least:
-                    rows.append(np.pad(got["words"], ((0, 0), (0, longest - size)), constant_values=-1))
-                    counts.append(got["n"])
-        rows = np.concatenate(rows)
-        return pa.table({**{c: rows[:, i] for i, c in enumerate(names)}, "n": np.concatenate(counts)})
+                    none = pa.array(np.full(len(got["n"]), -1))
+                    found.append(pa.table([*(pa.array(shard.word[x]) for x in got["words"].T), *[none] * (longest - size), pa.array(got["n"])], [*names, "n"]))
+        return pa.concat_tables(found) if found else pa.table({c: pa.array([], pa.int64()) for c in [*names, "n"]})
 
     return run
 

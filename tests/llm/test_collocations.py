@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import collocations as C
 
@@ -78,3 +81,43 @@ def test_order_is_that_of_the_first_symbols():
         padded = [*codes.tolist(), *[0] * 5]
         keys = [tuple(padded[i:i + 5]) for i in C._order(codes, 5)]
         assert keys == sorted(keys)
+
+
+def one_shard(text, longest=5):
+    """A shard of one text whose words are all frequent; they keep the ids of the shard as numbers."""
+    batch = pa.record_batch({"lang": pa.array(["en"]), "text": pa.array([text.encode()])})
+    run = C._index(longest)
+    C.TaskContext, real = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)), C.TaskContext
+    try:
+        right = pa.Table.from_batches(run(iter([batch])))
+    finally:
+        C.TaskContext = real
+    ids = np.arange(1, len(right["words"][0]) + 1)
+    return C._Shard(pa.table({"id": ids, "gid": ids}), right), len(text.split())
+
+
+def test_extensions_are_made_a_bounded_number_of_places_at_a_time(monkeypatch):
+    rng = random.Random(5)
+    shard, n = one_shard(" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(40_000)))
+    every = (np.full(C.BITS // 32, 0xFFFFFFFF, np.uint32),) * 2
+
+    def grown():
+        got = shard.phrases()
+        for size in range(2, 6):
+            got = shard.extend(got, "forward" if size % 2 else "backward", every, 5 - size)
+        return got
+
+    grown()  # what a shard keeps is there from now on
+    peaks, results = [], []
+    for places in (1 << 30, 1 << 10):
+        monkeypatch.setattr(C, "PLACES", places)
+        pairs = shard.phrases()
+        tracemalloc.start()
+        pairs = shard.extend(pairs, "backward", every, 0)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        results.append((pairs, grown()))
+    assert peaks[1] < peaks[0] / 3
+    for a, b in zip(*results):
+        assert a["n"].sum() > 0 and all((a[k] == b[k]).all() for k in ("words", "n"))
+    assert results[0][0]["n"].sum() == n - 1 and results[0][1]["n"].sum() == n - 4
