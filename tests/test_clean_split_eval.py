@@ -155,6 +155,24 @@ def test_duplicates_of_many_rows(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_many_repeated_rows_move_once(spark, monkeypatch):
+    """With more hashes of repeated rows than are broadcast, one shuffle moves the rows; the copies of hot
+    rows, a third of the table, are combined before they move."""
+    monkeypatch.setattr(C, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(C, "HOT_COPIES", 100)
+    df = spark.range(3000).selectExpr("CAST(CASE WHEN id % 13 > 0 THEN id * 7 % 3001 END AS STRING) AS id", *[
+        f"CAST(CASE WHEN id % 3 = 0 THEN 1 WHEN id % 11 = 0 THEN NULL ELSE id % 500 END AS {'DOUBLE' if c in C.OBESITY.numeric_ranges else 'STRING'}) AS {c}"
+        for c in C.OBESITY.columns])
+    cols = list(C.OBESITY.columns)
+    want = df.groupBy(*cols).agg(F.min("id").alias("id")).select("id", *cols)
+    got = C.remove_duplicates(df)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    moved = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert moved.count("Exchange hashpartitioning") == 2  # the usual rows, and the combined hot ones
+
+
 def test_standard_case_compares_before_it_searches(spark):
     values = ["no", "Sometimes", "Public_Transportation"]
     df = spark.createDataFrame([(x,) for x in ["no", "Sometimes", " SOMETIMES\t", "\n\x0b\f\rNo ", "public_transportation", "no ", "never", "", None]], "c string")
