@@ -11,8 +11,9 @@ interval are all extensions of the phrase with their counts.
 Counts are summed over shards four times: of words, of pairs of frequent words, of triples of frequent
 pairs, and of longer phrases whose adjacent triples are all frequent. Frequent pairs and triples go to the
 shards as bitmaps of a fixed size; what they let through by chance is counted like the rest and found
-infrequent. Phrases are keyed by their words'
-numbers in the whole language, so sums are exact.
+infrequent. Before triples are counted one by one, the shards sum them by the cells of such a bitmap: only
+triples in cells that are frequent become rows, and no frequent triple lies in another cell. Phrases are keyed by
+their words' numbers in the whole language, so sums are exact.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ PART = 1 << 18
 CHUNK = 1 << 20
 #: Bits of the bitmaps of frequent pairs and triples (8 MB each), whatever their number.
 BITS = 1 << 26
+#: Cells of the bitmap that are summed at a time.
+CELLS = 1 << 20
 #: Places of a transform that are read and sorted at a time, about; a phrase is not cut.
 PLACES = 1 << 19
 #: First rounds of the ranking split each language this many ways.
@@ -177,6 +180,59 @@ def _bitmap(phrases: DataFrame, names: list[str]) -> np.ndarray:
     return out
 
 
+def _cells(shared: list, least: int):
+    """Triples of a shard whose pairs are in the bitmap, summed by their cell: a row for each block of ``CELLS``
+    cells, with those that have any and their counts (``least`` stands for more)."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: dict[str, list] = {"block": [], "cells": [], "counts": []}
+        if left.num_rows and right.num_rows:
+            shard = _Shard(left, right)
+            got = shard.phrases()
+            for size in (2, 3):
+                got = shard.extend(got, "forward" if size % 2 else "backward", tuple(b.value for b in shared), 3 - size)
+            place = _bit(*shard.word[got["words"]].T)
+            order = np.argsort(place)
+            place = place[order]
+            head = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+            counts = np.minimum(np.add.reduceat(got["n"][order], head), least).astype(np.int32) if len(head) else np.zeros(0, np.int32)
+            place = place[head]
+            block, first = np.unique(place // CELLS, return_index=True)
+            for b, x, y in zip(block.tolist(), first, [*first[1:], len(place)]):
+                rows["block"].append(b)
+                rows["cells"].append(_packed((place[x:y] - b * CELLS).astype(np.int32)))
+                rows["counts"].append(_packed(counts[x:y]))
+        return pa.table([pa.array(rows["block"], pa.int32()), pa.array(rows["cells"], pa.binary()), pa.array(rows["counts"], pa.binary())], list(rows))
+
+    return run
+
+
+def _frequent_cells(sums: DataFrame, least: int) -> np.ndarray:
+    """Bits of the cells whose counts add up to ``least``: at most BITS / 8 bytes reach the driver."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = -1, np.zeros(CELLS, np.int64)
+
+        def bits() -> pa.RecordBatch:
+            cells = (total >= least).reshape(-1, 32)
+            packed = np.packbits(cells, axis=1, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed], pa.binary())], ["block", "bits"])
+
+        for batch in batches:
+            for i, b in enumerate(batch["block"].to_pylist()):
+                if b != block:
+                    if block >= 0:
+                        yield bits()
+                    block = b
+                    total[:] = 0
+                total[_unpacked(batch["cells"][i].as_buffer())] += _unpacked(batch["counts"][i].as_buffer())  # a cell once a row
+        if block >= 0:
+            yield bits()
+
+    out = np.zeros(BITS // 32, np.uint32)
+    for row in sums.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary").collect():
+        out[row.block * (CELLS // 32):][:CELLS // 32] = np.frombuffer(row.bits, "<u4")
+    return out
+
+
 class _Shard:
     """A shard's index and the numbers of its frequent words."""
 
@@ -304,13 +360,20 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     pairs = saved(pairs.groupBy("w0", "w1").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
     found = known.select(F.array("gid").alias("words"), "a").unionByName(pairs.select(F.array("w0", "w1").alias("words"), "a"))
     bits, before = [], pairs
+    share = docs.sparkSession.sparkContext.broadcast  # BITS / 8 bytes each
     for least_, most in ((3, 3), (4, longest)):
         if most > longest or least_ > longest:
             break
         names = [f"w{i}" for i in range(most)]
-        bits.append(docs.sparkSession.sparkContext.broadcast(_bitmap(before, names[:least_ - 1])))  # BITS / 8 bytes
-        longer = left.cogroup(shards.select("shard", "part", "counts", "forward", "backward").groupBy("shard")).applyInArrow(
-            _longer(list(bits), least_, most), ", ".join(f"{c} bigint" for c in [*names, "n"]))
+        bits.append(share(_bitmap(before, names[:least_ - 1])))
+        indexed = left.cogroup(shards.select("shard", "part", "counts", "forward", "backward").groupBy("shard"))
+        sieve = []
+        if least_ == 3:
+            sums = saved(indexed.applyInArrow(_cells(list(bits), least), "block int, cells binary, counts binary"), "cells")
+            sieve.append(share(_frequent_cells(sums, least)))
+            discard(sums)
+        longer = indexed.applyInArrow(
+            _longer([*bits, *sieve], least_, most), ", ".join(f"{c} bigint" for c in [*names, "n"]))
         before = saved(longer.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "longer")
         found = found.unionByName(before.select(F.filter(F.array(*names), lambda w: w >= 0).alias("words"), "a"))
     discard(shards)

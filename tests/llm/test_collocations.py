@@ -63,6 +63,35 @@ def test_equals_brute_force_over_many_shards(make, monkeypatch):
     check(make, rows, least=3, longest=3, top=2000)
 
 
+def test_triples_become_rows_only_where_their_cell_is_frequent(make, monkeypatch):
+    rng = random.Random(9)
+    rare = "; ".join(" ".join(rng.choices([f"w{i}" for i in range(30)], k=8)) for _ in range(800))
+    rows = [(i, text, "en", "s") for i, text in enumerate([*rare.split("; "), *["a passage of six words here"] * 40])]
+    rng.shuffle(rows)
+    made, every = (make([]).sparkSession.sparkContext.accumulator(0) for _ in range(2))
+    real = C._longer
+
+    def counted(shared, least, longest):
+        run, plain = real(shared, least, longest), real(shared[:1], least, longest)
+
+        def counting(left, right):
+            out = run(left, right)
+            if least == 3:
+                made.add(out.num_rows)
+                every.add(plain(left, right).num_rows)
+            return out
+
+        return counting
+
+    monkeypatch.setattr(C, "_longer", counted)
+    monkeypatch.setattr(C, "SHARD", 1000)
+    check(make, rows, least=6, longest=5, top=2000)
+    assert 0 < made.value < every.value / 5
+    monkeypatch.setattr(C, "BITS", 512)  # many triples in a cell: more rows, the same result
+    monkeypatch.setattr(C, "CELLS", 128)
+    check(make, rows, least=6, longest=5, top=2000)
+
+
 def test_copies_and_overlaps(make):
     rows = [(i, "the very same passage in all of them, as it is", "en", "a") for i in range(30)] + [(99, "go go go go go go go", "en", "a")] * 3
     check(make, rows, least=10, longest=5, top=2000)
