@@ -62,6 +62,36 @@ def test_split_does_not_depend_on_partitions(spark, parts):
     assert got == want and len(got) == 900
 
 
+def _one_side(monkeypatch, spark, rows, types, **k):
+    """The split of many rows against that by positions, and whether rows moved to be numbered."""
+    df = spark.createDataFrame(rows, types)
+    want = sorted(map(tuple, L.stratified_split(df, **k).select("id", "Obesity", "split").collect()), key=str)
+    calls, real = [], L.class_positions
+    with monkeypatch.context() as m:
+        m.setattr(L, "MANY_ROWS", 1)
+        m.setattr(L, "WINDOW_ROWS", 7)
+        m.setattr(L, "class_positions", lambda *a, **b: calls.append(1) or real(*a, **b))
+        got = sorted(map(tuple, L.stratified_split(df.repartition(5), **k).select("id", "Obesity", "split").collect()), key=str)
+    return got, want, bool(calls)
+
+
+def test_a_split_of_many_rows_moves_none(spark, monkeypatch):
+    rows = [(str(i), S.class_order[i % 3 if i % 2 else 0]) for i in range(900)] + [("one", S.class_order[5]), ("x", "Strange"), ("y", None)]
+    for k in ({}, {"holdout": (1, 5), "test_of_holdout": (1, 1)}):
+        got, want, moved = _one_side(monkeypatch, spark, rows, "id string, Obesity string", **k)
+        assert got == want and len(got) == 901 and not moved
+    numbers = [(i, c) for i, (_, c) in enumerate(rows)] + [(None, S.class_order[0])]
+    got, want, moved = _one_side(monkeypatch, spark, numbers, "id int, Obesity string")
+    assert got == want and not moved
+
+
+def test_rows_of_one_id_at_a_cut_are_numbered(spark, monkeypatch):
+    got, want, moved = _one_side(monkeypatch, spark, [("same", S.class_order[i % 2]) for i in range(40)], "id string, Obesity string")
+    assert got == want and len(got) == 40 and moved
+    got, want, moved = _one_side(monkeypatch, spark, [(None, S.class_order[0])] * 9 + [(str(i), S.class_order[0]) for i in range(9)], "id string, Obesity string")
+    assert got == want and len(got) == 9
+
+
 def test_positions_over_many_buckets(spark, monkeypatch):
     import hashlib
     monkeypatch.setattr(L, "WINDOW_ROWS", 5)
